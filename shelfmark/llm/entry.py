@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, decontaminate, neardup
+from shelfmark.llm import bpe, decontaminate, neardup, quality
 from shelfmark.llm.common import table
 
 
@@ -24,8 +24,13 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op5_quality": op5_quality,
     "op10_bpe": op10_bpe,
     "op6_decontaminate": op6_decontaminate,
 }
