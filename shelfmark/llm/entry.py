@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, decontaminate, neardup, quality
+from shelfmark.llm import bpe, decontaminate, linededup, neardup, quality
 from shelfmark.llm.common import table
 
 
@@ -28,11 +28,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op3_lines": op3_lines,
     "op5_quality": op5_quality,
     "op10_bpe": op10_bpe,
     "op6_decontaminate": op6_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_lines": linededup.VERDICTS_SQL,
+}
