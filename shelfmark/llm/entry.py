@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, decontaminate, linededup, neardup, quality, substrings
+from shelfmark.llm import bpe, decontaminate, linededup, neardup, pii, quality, substrings
 from shelfmark.llm.common import table
 
 
@@ -36,10 +36,15 @@ def op9_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_lines": op3_lines,
     "op5_quality": op5_quality,
+    "op7_pii": op7_pii,
     "op9_superkmers": op9_superkmers,
     "op10_bpe": op10_bpe,
     "op6_decontaminate": op6_decontaminate,
