@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, decontaminate, linededup, neardup, pii, quality, substrings
+from shelfmark.llm import bpe, decontaminate, linededup, neardup, pii, quality, substrings, suffixtree
 from shelfmark.llm.common import table
 
 
@@ -40,9 +40,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op4_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_lines": op3_lines,
+    "op4_suffixtree": op4_suffixtree,
     "op5_quality": op5_quality,
     "op7_pii": op7_pii,
     "op9_superkmers": op9_superkmers,

@@ -1,7 +1,7 @@
-"""A fixed alphabet of 32 symbols that any text can be read in.
+"""Fixed alphabets of 32 and of 64 symbols that any text can be read in.
 
-It bounds what models over characters can grow to: there are at most 32**n
-n-grams, whatever the corpus.
+They bound what models over characters can grow to: there are at most 32**n or
+64**n n-grams, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -39,14 +39,30 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def ngram_codes(symbols: np.ndarray, order: int) -> np.ndarray:
-    """For each position the last `order` symbols up to it, 5 bits each, the newest lowest.
+@lru_cache(maxsize=1)
+def fine_table() -> np.ndarray:
+    """Symbol of each code point in the alphabet of 64, which tells accents and stops apart."""
+    symbols = np.full(0x110000, 55, np.uint8)
+    for code in range(128):
+        low = chr(code).lower()
+        if "a" <= low <= "z":
+            symbols[code] = ord(low) - ord("a") + 1
+        else:
+            symbols[code] = SPACE if low.isspace() else DIGIT if low.isdigit() else 29 if low == "." else 30 if low == "," else 31
+    for code in range(0xC0, 0x100):
+        if code not in (0xD7, 0xF7):
+            symbols[code] = 32 + (code & 31)
+    return symbols
+
+
+def ngram_codes(symbols: np.ndarray, order: int, bits: int = 5) -> np.ndarray:
+    """For each position the last `order` symbols up to it, `bits` bits each, the newest lowest.
 
     symbols starts with order - 1 edges, which get no position of their own.
     """
     n = len(symbols) - order + 1
-    codes = np.zeros(max(n, 0), np.uint32 if order <= 6 else np.uint64)
+    codes = np.zeros(max(n, 0), np.uint32 if order * bits <= 32 else np.int64)
     for k in range(order):
-        codes <<= codes.dtype.type(5)
+        codes <<= codes.dtype.type(bits)
         codes |= symbols[k : k + n]
     return codes
