@@ -35,8 +35,8 @@ BANDS, ROWS_PER_BAND = 32, 4
 SKETCH_BITS = 1024
 #: Pairs whose estimate is lower are not confirmed: over four standard errors below 0.75.
 MIN_ESTIMATE = 0.55
-#: Classes outside a bucket's largest component that are compared in one round.
-ROUND_REPS = 64
+#: Classes outside a bucket's largest component that are compared in the first round.
+FIRST_REPS = 2
 ROWS = 256
 
 
@@ -189,56 +189,70 @@ def _confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of the nodes of links (a, b); comp is the smallest node reachable.
 
-    Alternates large-star and small-star steps until nothing changes. Each round
-    shuffles the links that remain; no neighbourhood is gathered in one place.
+    Alternates large-star and small-star steps until all links lead straight to a
+    root. Each round shuffles the links that remain; no neighbourhood is gathered
+    in one place.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    seen = None
-    while True:
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = materialise(edges, "links")
+    while edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").take(1) or edges.groupBy("u").count().where("count > 1").take(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = materialise(edges, "links")
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen:
-            break
-        seen = state
     roots = edges.select("v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("comp")))
 
 
+def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, comp) after more links (a, b); works on the graph of components."""
+    of_a = comp.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"))
+    of_b = comp.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    between = links.join(of_a, "a", "left").join(of_b, "b", "left")
+    moved = components(between.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))).withColumnsRenamed({"node": "comp", "comp": "root"})
+    kept = comp.join(moved, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    # Nodes that had no component yet are among the moved ones under their own name.
+    fresh = moved.select(F.col("comp").alias("node"), F.col("root").alias("comp")).join(comp.select("node"), "node", "left_anti")
+    return kept.unionByName(fresh)
+
+
 def link_buckets(buckets: DataFrame, estimate, confirm) -> DataFrame:
     """(node, comp) of linked nodes; buckets is (key, node) with several nodes to each key.
 
-    estimate(pairs) narrows candidate pairs and confirm(pairs) decides them. The
-    second and later rounds compare nodes outside a bucket's largest component
-    with the bucket's other components, ROUND_REPS at a time, until all have been.
+    estimate(pairs) narrows candidate pairs and confirm(pairs) decides them. First
+    each node is compared with the smallest nodes of its buckets. As long as a
+    bucket then holds several components, nodes outside its largest one are
+    compared with its other components, FIRST_REPS of them in the first round and
+    ever more in later ones, until each has been: every pair of a bucket is then
+    tested or within one component.
     """
     least = buckets.groupBy("key").agg(F.min("node").alias("b"))
     stars = buckets.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     best = estimate(stars).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
-    links = materialise(confirm(best), "confirmed")
-    used = None
-    for turn in range(1, 1_000_000):
-        comp = components(links)
+    comp = materialise(components(confirm(best)), "comp")
+    used, reps, turn = None, FIRST_REPS, 0
+    while True:
+        turn += 1
         placed = materialise(buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
         largest = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
         outside = placed.join(largest, "key").where("comp <> largest").select("key", "node", "comp")
         if used is not None:
             outside = outside.join(used, ["key", "node"], "left_anti")
         outside = materialise(outside, "outside")
-        waiting = outside.groupBy("key").agg(F.count("*").alias("waiting"))
-        if not waiting.take(1):
+        if not outside.take(1):
             return comp
-        share = F.ceil(F.col("waiting") / ROUND_REPS)
+        share = F.ceil(F.col("waiting") / reps)
+        waiting = outside.groupBy("key").agg(F.count("*").alias("waiting"))
         now = materialise(outside.join(waiting, "key").where(F.pmod(F.xxhash64("node", "key", F.lit(turn)), share) == 0).select("key", "node", "comp"), "reps")
         met = now.withColumnsRenamed({"node": "a", "comp": "comp_a"}).join(placed.withColumnsRenamed({"node": "b", "comp": "comp_b"}), "key").where("comp_a <> comp_b")
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = materialise(links.unionByName(confirm(estimate(pairs).select("a", "b"))), "confirmed")
+        more = materialise(confirm(estimate(pairs).select("a", "b")), "confirmed")
+        if more.take(1):
+            comp = materialise(_merge(comp, more), "comp")
         used = now.select("key", "node") if used is None else used.unionByName(now.select("key", "node"))
-    raise AssertionError("unreachable")
+        reps *= 4
 
 
 def near_duplicates(
