@@ -211,7 +211,7 @@ def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     of_a = comp.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"))
     of_b = comp.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
     between = links.join(of_a, "a", "left").join(of_b, "b", "left")
-    moved = components(between.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))).withColumnsRenamed({"node": "comp", "comp": "root"})
+    moved = components(between.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
     kept = comp.join(moved, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
     # Nodes that had no component yet are among the moved ones under their own name.
     fresh = moved.select(F.col("comp").alias("node"), F.col("root").alias("comp")).join(comp.select("node"), "node", "left_anti")
