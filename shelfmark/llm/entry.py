@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, decontaminate, linededup, neardup, pii, quality, substrings, suffixtree
+from shelfmark.llm import bpe, chat, decontaminate, linededup, neardup, pii, quality, substrings, suffixtree, warc
 from shelfmark.llm.common import table
 
 
@@ -44,17 +44,29 @@ def op4_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolved_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_preferences": op2_preferences,
     "op3_lines": op3_lines,
     "op4_suffixtree": op4_suffixtree,
     "op5_quality": op5_quality,
     "op7_pii": op7_pii,
+    "op8_revisits": op8_revisits,
     "op9_superkmers": op9_superkmers,
     "op10_bpe": op10_bpe,
     "op6_decontaminate": op6_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_preferences": chat.FORMATTED_SQL,
     "op3_lines": linededup.VERDICTS_SQL,
+    "op8_revisits": warc.RESOLVED_SQL,
 }
