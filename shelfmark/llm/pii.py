@@ -187,7 +187,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     names = docs.columns
     found = find_personal_data(docs, id_col, text_col).dropDuplicates(["row"])
-    base = [F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), (-s["stop"]).alias("less"), F.lit(f"[{k}]").alias("by"))) for k in KINDS]
+
+    def swapped(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("less"), F.lit(f"[{kind}]").alias("by")))
+
+    base = [swapped(k) for k in KINDS]
     more = F.transform(F.coalesce("term", F.array().cast("array<struct<start:int,stop:int,kind:string,action:string>>")), lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("less"), F.when(s["action"] == "remove", "").otherwise(F.concat(F.lit("["), s["kind"], F.lit(" context]"))).alias("by")))
     swaps = found.select("row", F.array_sort(F.concat(*base, more)).alias("swaps")).where(F.size("swaps") > 0)
     keyed = docs.toDF(*[f"c{i}" for i in range(len(names))])
