@@ -118,12 +118,8 @@ def disclosing_terms(rows: DataFrame, text: str, spans: DataFrame) -> DataFrame:
     near = hits.join(known, ["kind", "entity"]).select("kind", "entity", "c_e", "text_hash", F.explode(_terms(F.col("around"))).alias("term"))
     joint = near.groupBy("kind", "entity", "c_e", "term").agg(F.count_distinct("text_hash").alias("c_te")).where(F.col("c_te") >= MIN_TEXTS)
     joint = materialise(joint, "joint")
-    wanted = joint.select("term").distinct()
-    words = rows.select(F.explode(_terms(F.col(text))).alias("term"))
-    if wanted.limit(MAX_SENT_TERMS + 1).count() <= MAX_SENT_TERMS:
-        c_t = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("c_t"))
-    else:
-        c_t = words.groupBy("term").agg(F.count("*").alias("c_t")).join(wanted, "term", "left_semi")
+    # Every term is counted, added up task by task before it moves; only then is it met with the candidates.
+    c_t = rows.select(F.explode(_terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
     # A term at the edge of a cut context may be no whole word and so have no count of its own.
     scored = joint.join(c_t, "term").crossJoin(n_rows).withColumn("p", F.col("c_te") / F.greatest("c_t", "c_te"))
     content = F.log2(F.col("n") / F.col("c_e"))
