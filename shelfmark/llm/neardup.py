@@ -29,14 +29,14 @@ from shelfmark.llm.common import chunks, lower_ascii, materialise, mix64, odd_mu
 #: Words of a shingle, and the similarity in per cent from which documents are linked.
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 75
-#: 32 bands of 4: a pair at 0.75 is missed with probability 5e-6.
-BANDS, ROWS_PER_BAND = 32, 4
+#: 48 bands of 5: a pair at 0.75 is missed with probability 2e-6.
+BANDS, ROWS_PER_BAND = 48, 5
 #: Bits of an Odd sketch.
 SKETCH_BITS = 1024
-#: Pairs whose estimate is lower are not confirmed: over four standard errors below 0.75.
-MIN_ESTIMATE = 0.55
+#: Pairs whose estimate is lower are not confirmed: over four standard errors (of 0.028 with 240 samples) below 0.75.
+MIN_ESTIMATE = 0.62
 #: Classes outside a bucket's largest component that are compared in the first round.
-FIRST_REPS = 2
+FIRST_REPS = 64
 ROWS = 256
 
 
@@ -224,9 +224,10 @@ def link_buckets(buckets: DataFrame, estimate, confirm) -> DataFrame:
     estimate(pairs) narrows candidate pairs and confirm(pairs) decides them. First
     each node is compared with the smallest nodes of its buckets. As long as a
     bucket then holds several components, nodes outside its largest one are
-    compared with its other components, FIRST_REPS of them in the first round and
-    ever more in later ones, until each has been: every pair of a bucket is then
-    tested or within one component.
+    compared with single members of that; once this links nothing more, they are
+    compared, in all their buckets, with the other components there: about
+    FIRST_REPS of a bucket in the first round and ever more in later ones, until
+    each has been. Every pair of a bucket is then tested or within one component.
     """
     least = buckets.groupBy("key").agg(F.min("node").alias("b"))
     stars = buckets.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
@@ -237,21 +238,30 @@ def link_buckets(buckets: DataFrame, estimate, confirm) -> DataFrame:
         turn += 1
         placed = materialise(buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
         largest = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
-        outside = placed.join(largest, "key").where("comp <> largest").select("key", "node", "comp")
+        outside = placed.join(largest, "key").where("comp <> largest").select("key", "node")
         if used is not None:
-            outside = outside.join(used, ["key", "node"], "left_anti")
+            outside = outside.join(used, "node", "left_anti")
         outside = materialise(outside, "outside")
         if not outside.take(1):
             return comp
-        share = F.ceil(F.col("waiting") / reps)
-        waiting = outside.groupBy("key").agg(F.count("*").alias("waiting"))
-        now = materialise(outside.join(waiting, "key").where(F.pmod(F.xxhash64("node", "key", F.lit(turn)), share) == 0).select("key", "node", "comp"), "reps")
-        met = now.withColumnsRenamed({"node": "a", "comp": "comp_a"}).join(placed.withColumnsRenamed({"node": "b", "comp": "comp_b"}), "key").where("comp_a <> comp_b")
+        # Light step: each outside node against one member of the largest component in each of its buckets.
+        inner = placed.join(largest, "key").where("comp = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("b"))
+        light = outside.join(inner, "key").select(F.col("node").alias("a"), "b").distinct()
+        more = materialise(confirm(estimate(light).select("a", "b")), "confirmed")
+        if more.take(1):
+            comp = materialise(_merge(comp, more), "comp")
+            continue
+        waiting = outside.groupBy("key").agg(F.ceil(F.count("*") / reps).alias("share"))
+        # A node's largest bucket sets how likely it is chosen.
+        chosen = outside.join(waiting, "key").groupBy("node").agg(F.max("share").alias("share")).where(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("share")) == 0).select("node")
+        chosen = materialise(chosen, "reps")
+        now = placed.join(chosen, "node", "left_semi").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
+        met = now.join(placed.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "key").where("comp_a <> comp_b")
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = materialise(confirm(estimate(pairs).select("a", "b")), "confirmed")
         if more.take(1):
             comp = materialise(_merge(comp, more), "comp")
-        used = now.select("key", "node") if used is None else used.unionByName(now.select("key", "node"))
+        used = chosen if used is None else used.unionByName(chosen)
         reps *= 4
 
 
