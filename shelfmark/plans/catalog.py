@@ -13,6 +13,7 @@ from shelfmark.operators import collections as coll
 from shelfmark.operators import dedup, facets, layers, normalize, search
 from shelfmark.plans import adapters as a
 from shelfmark.plans import oracle as o
+from shelfmark.sources import readers
 from shelfmark.streaming import debounce as quiet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -566,3 +567,39 @@ SELECT path, min(ts) AS started, max(ts) AS ended, count(*) AS n, arg_max(event,
 def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quiet.debounce(_events(spark, sf_dir), "60 minutes")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+
+
+@query("stream_debounce")
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream of the events table, driven to its end; the last bursts stay open."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    where = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
+    events = _events(spark, sf_dir)
+    events.write.parquet(f"{where}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{where}/in")
+    quiet.run_stream(stream, f"{where}/out", f"{where}/state", "60 minutes", "1 hour")
+    return spark.read.schema("path string, started timestamp, ended timestamp, n long, event string").parquet(f"{where}/out")
+
+
+# --- sources ------------------------------------------------------------------------------
+
+
+@query("source_grouped_json", "SELECT p_partkey AS file_id, ns AS namespace, k AS key, v AS value FROM part, LATERAL (VALUES ('exif', 'ImageWidth', p_size::VARCHAR), ('iptc', 'Keywords', p_name)) AS x(ns, k, v)")
+def source_grouped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.struct(F.col("p_size").alias("EXIF:ImageWidth"), F.col("p_name").alias("IPTC:Keywords"), F.lit("(Binary data 9 bytes)").alias("EXIF:Thumb"), F.lit("a.jpg").alias("File:FileName"), F.lit("12").alias("ExifTool:Version"))
+    return readers.grouped_json(a.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.to_json(F.array(fields)).alias("json")))
+
+
+@query("source_parser_json", "SELECT p_partkey AS file_id, part, ns AS namespace, k AS key, v AS value FROM part, LATERAL (VALUES (0, 'dc', 'title', p_name), (0, 'tika', 'label', p_brand), (1, 'dc', 'subject', p_type), (1, 'dc', 'subject', p_brand)) AS x(part, ns, k, v)")
+def source_parser_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.create_map(F.lit("dc:title"), F.col("p_name"), F.lit("label"), F.col("p_brand"), F.lit("X-TIKA:parsed"), F.lit("x"), F.lit("blank"), F.lit(" "))
+    two = F.create_map(F.lit("dc:subject"), F.to_json(F.array("p_type", "p_brand")))
+    return readers.parser_json(a.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.to_json(F.array(one, two)).alias("json")))
+
+
+@query("source_info_json", "SELECT p_partkey AS file_id, d AS definition, v AS value FROM part, LATERAL (VALUES (73, p_name), (75, p_brand), (45, '2024-01-27'), (72, p_type), (72, p_brand)) AS x(d, v)")
+def source_info_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("channel"), F.lit("20240127").alias("upload_date"), F.array("p_type", "p_brand").alias("tags"), F.lit(" ").alias("description"))
+    return readers.info_json(a.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.to_json(fields).alias("json")))
