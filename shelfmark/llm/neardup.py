@@ -6,11 +6,8 @@ the buckets in which candidates meet; all k, folded into a parity bitmap, give
 its Odd sketch, whose XOR population count estimates the similarity of a
 candidate pair. Pairs that the estimate leaves open are confirmed on full sets.
 
-Within a bucket no more pairs are formed than needed to find components: first
-everything against the bucket's smallest class, then, while a bucket still
-holds several components, the classes outside its largest one, some at a time,
-against the rest. So a bucket of m near copies costs about m pairs, and still
-each pair of a bucket ends up in one component or tested.
+Within a bucket no more pairs are formed than needed to find components; see
+link_buckets().
 """
 
 from __future__ import annotations
@@ -35,8 +32,10 @@ BANDS, ROWS_PER_BAND = 48, 5
 SKETCH_BITS = 1024
 #: Pairs whose estimate is lower are not confirmed: over four standard errors (of 0.028 with 240 samples) below 0.75.
 MIN_ESTIMATE = 0.62
-#: Classes outside a bucket's largest component that are compared in the first round.
-FIRST_REPS = 64
+#: Nodes of a bucket up to which its pairs are joined; larger buckets are scanned by blocks of their outside nodes.
+SMALL_BUCKET = 64
+#: Outside nodes, and bytes of their full sets, in one block that is sent to the workers.
+BLOCK_NODES, BLOCK_BYTES = 2048, 32 << 20
 ROWS = 256
 
 
@@ -218,51 +217,98 @@ def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
-def link_buckets(buckets: DataFrame, estimate, confirm) -> DataFrame:
+def _scan(members: DataFrame, block: list, k: int, least: int) -> DataFrame:
+    """Links (a, b) between the nodes of a block and the members that share a key with them in another component.
+
+    members has node, comp, keys, sketch and shingles, block rows of the same. Of
+    one component of the block, a member needs one link only.
+    """
+    sent = members.sparkSession.sparkContext.broadcast([tuple(r) for r in block])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_key: dict[int, list[int]] = {}
+        for at, row in enumerate(sent.value):
+            for key in row[2]:
+                by_key.setdefault(key, []).append(at)
+        nodes = [row[0] for row in sent.value]
+        comps = [row[1] for row in sent.value]
+        sketches = np.array([np.frombuffer(row[3], np.uint64) for row in sent.value])
+        sets = [np.frombuffer(row[4], np.uint64) for row in sent.value]
+        for batch in chunks(batches, ROWS):
+            found: list[tuple[int, int]] = []
+            for node, comp, keys, sketch, own in zip(*(c.to_pylist() for c in batch.columns)):
+                met = {at for key in keys for at in by_key.get(key, ()) if comps[at] != comp}
+                if not met:
+                    continue
+                near = np.fromiter(met, np.int64, len(met))
+                value = sketch_estimate(np.bitwise_count(sketches[near] ^ np.frombuffer(sketch, np.uint64)).sum(1, dtype=np.int64), k)
+                own, linked = np.frombuffer(own, np.uint64), set()
+                for at in near[np.argsort(-value)][: int((value >= MIN_ESTIMATE).sum())].tolist():
+                    if comps[at] not in linked and similar_sets(own, sets[at], least):
+                        linked.add(comps[at])
+                        found.append((nodes[at], node))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return members.select("node", "comp", "keys", "sketch", "shingles").mapInArrow(run, "a long, b long")
+
+
+def link_buckets(buckets: DataFrame, sketches: DataFrame, full: DataFrame, k: int, least: int) -> DataFrame:
     """(node, comp) of linked nodes; buckets is (key, node) with several nodes to each key.
 
-    estimate(pairs) narrows candidate pairs and confirm(pairs) decides them. First
-    each node is compared with the smallest nodes of its buckets. As long as a
-    bucket then holds several components, nodes outside its largest one are
-    compared with single members of that; once this links nothing more, they are
-    compared, in all their buckets, with the other components there: about
-    FIRST_REPS of a bucket in the first round and ever more in later ones, until
-    each has been. Every pair of a bucket is then tested or within one component.
+    First each node is compared with the smallest nodes of its buckets, then, as
+    long as that links anything, nodes outside a bucket's largest component with
+    single members of it. What is left outside is compared with all other
+    components of its buckets: in small buckets by a join, in large ones by
+    sending blocks of outside nodes to where the members are. So every pair of a
+    bucket ends up tested or within one component.
     """
-    least = buckets.groupBy("key").agg(F.min("node").alias("b"))
-    stars = buckets.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    confirm = lambda pairs: _confirm(pairs, full, least)
+    estimate = lambda pairs: _estimates(pairs, sketches, k)
+    large = buckets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_BUCKET).select("key")
+    large = materialise(large, "large")
+    wide = buckets.join(large, "key").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    wide = materialise(wide.join(sketches, "node").join(full.dropDuplicates(["node"]), "node"), "wide")
+
+    first = buckets.groupBy("key").agg(F.min("node").alias("b"))
+    stars = buckets.join(first, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     best = estimate(stars).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
     comp = materialise(components(confirm(best)), "comp")
-    used, reps, turn = None, FIRST_REPS, 0
+    used, turn, joined = None, 0, False
     while True:
         turn += 1
         placed = materialise(buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
         largest = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
         outside = placed.join(largest, "key").where("comp <> largest").select("key", "node")
-        if used is not None:
-            outside = outside.join(used, "node", "left_anti")
-        outside = materialise(outside, "outside")
+        outside = materialise(outside if used is None else outside.join(used, "node", "left_anti"), "outside")
         if not outside.take(1):
             return comp
-        # Light step: each outside node against one member of the largest component in each of its buckets.
-        inner = placed.join(largest, "key").where("comp = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("b"))
-        light = outside.join(inner, "key").select(F.col("node").alias("a"), "b").distinct()
-        more = materialise(confirm(estimate(light).select("a", "b")), "confirmed")
-        if more.take(1):
-            comp = materialise(_merge(comp, more), "comp")
+        if not joined:
+            inner = placed.join(largest, "key").where("comp = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("b"))
+            light = outside.join(inner, "key").select(F.col("node").alias("a"), "b").distinct()
+            more = materialise(confirm(estimate(light).select("a", "b")), "confirmed")
+            if more.take(1):
+                comp = materialise(_merge(comp, more), "comp")
+                continue
+            joined = True
+            rest = placed.join(large, "key", "left_anti")
+            now = rest.join(outside, ["key", "node"], "left_semi").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
+            met = now.join(rest.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "key").where("comp_a <> comp_b")
+            more = materialise(confirm(estimate(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("a", "b")), "confirmed")
+            if more.take(1):
+                comp = materialise(_merge(comp, more), "comp")
+            used = materialise(buckets.select("node").distinct().join(wide.select("node"), "node", "left_anti"), "used")
             continue
-        waiting = outside.groupBy("key").agg(F.ceil(F.count("*") / reps).alias("share"))
-        # A node's largest bucket sets how likely it is chosen.
-        chosen = outside.join(waiting, "key").groupBy("node").agg(F.max("share").alias("share")).where(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("share")) == 0).select("node")
-        chosen = materialise(chosen, "reps")
-        now = placed.join(chosen, "node", "left_semi").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-        met = now.join(placed.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "key").where("comp_a <> comp_b")
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialise(confirm(estimate(pairs).select("a", "b")), "confirmed")
+        members = wide.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        waiting = members.join(outside.join(large, "key", "left_semi").select("node").distinct(), "node", "left_semi").select("node", "comp", "keys", "sketch", "shingles")
+        most = waiting.agg(F.max(F.octet_length("shingles"))).first()[0]
+        if most is None:
+            return comp
+        block = waiting.orderBy(F.xxhash64("node", F.lit(turn))).limit(max(1, min(BLOCK_NODES, BLOCK_BYTES // max(most, 1)))).collect()
+        more = materialise(_scan(members, block, k, least), "confirmed")
         if more.take(1):
             comp = materialise(_merge(comp, more), "comp")
-        used = chosen if used is None else used.unionByName(chosen)
-        reps *= 4
+        done = comp.sparkSession.createDataFrame([(r[0],) for r in block], "node long")
+        used = materialise(used.unionByName(done), "used")
 
 
 def near_duplicates(
@@ -290,7 +336,7 @@ def near_duplicates(
     met = nodes.join(buckets.select("node").distinct(), "node", "left_semi")
     full = materialise(_full_sets(named.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), width), "sets")
     sketches = materialise(met.select("node", "sketch"), "sketches")
-    comp = link_buckets(buckets, lambda pairs: _estimates(pairs, sketches, k), lambda pairs: _confirm(pairs, full, least))
+    comp = link_buckets(buckets, sketches, full, k, least)
 
     placed = nodes.select("fp", "node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
