@@ -92,3 +92,15 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Texts with copies that are sent to all workers; more are joined by shuffle.
+MAX_SENT_COPIES = 500_000
+
+
+def with_share(df: DataFrame, text_hash: Column) -> DataFrame:
+    """df with a column share: one over the number of rows of the same text, so that each distinct text adds up to 1."""
+    many = materialise(df.groupBy(text_hash.alias("_copied")).agg(F.count("*").alias("_n")).where("_n > 1"), "copies")
+    small = many.limit(MAX_SENT_COPIES + 1).count() <= MAX_SENT_COPIES
+    joined = df.join(F.broadcast(many) if small else many, text_hash == F.col("_copied"), "left")
+    return joined.withColumn("share", 1 / F.coalesce("_n", F.lit(1))).drop("_copied", "_n")
