@@ -12,7 +12,8 @@ from functools import lru_cache
 import numpy as np
 
 SYMBOLS = 32
-#: 0 stands before and after a text; 1 to 26 are letters without case and accent.
+#: 0 stands before and after a text; 1 to 26 are letters without case and accent,
+#: those of other scripts than Latin by a hash.
 EDGE, SPACE, DIGIT, PUNCTUATION, SIGN, OTHER = 0, 27, 28, 29, 30, 31
 
 
@@ -32,6 +33,18 @@ def symbol_table() -> np.ndarray:
             symbols[code] = PUNCTUATION
         elif code < 128:
             symbols[code] = SIGN
+    # Other scripts: letters fall into the 26 symbols of letters by hash, so that their n-grams tell.
+    for code in range(0x250, 0x32400):
+        char = chr(code)
+        if char.isalpha():
+            base = ord(unicodedata.normalize("NFD", char)[0].lower()[0]) if code < 0x2000 else code
+            symbols[code] = 1 + (base * 0x9E3779B1 & 0xFFFFFFFF) % 26
+        elif char.isspace():
+            symbols[code] = SPACE
+        elif char.isdigit():
+            symbols[code] = DIGIT
+        elif unicodedata.category(char)[0] == "P":
+            symbols[code] = PUNCTUATION
     return symbols
 
 
