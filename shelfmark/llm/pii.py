@@ -6,8 +6,8 @@ estimated from the corpus: with the entity's information content
 IC(e) = -log2 p(e) and PMI(t, e) = log2 p(e|t) / p(e), a term discloses an
 entity if PMI >= ALPHA * IC, which is p(e|t) >= p(e) ** (1 - ALPHA). A term
 counts for an entity if it stands within CONTEXT_CHARS of it, in at least
-MIN_TEXTS different texts; p(e|t) divides those texts by all rows that hold the
-term. A disclosing term is removed where p(e|t) >= REMOVE_FROM, and else
+MIN_TEXTS different texts; p(e|t) divides those texts by all different texts that
+hold the term. A disclosing term is removed where p(e|t) >= REMOVE_FROM, and else
 generalised to the kind of the entity, wherever it stands in the corpus.
 """
 
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise
+from shelfmark.llm.common import materialise, with_share
 
 # The patterns. Loops are possessive and the runs they start with
 # are entered at their front only (or where the last match ended), which finds
@@ -109,9 +109,10 @@ def _terms(text: Column) -> Column:
 def disclosing_terms(rows: DataFrame, text: str, spans: DataFrame) -> DataFrame:
     """(term, kind, p, action): terms that reveal an entity; spans is base_spans of rows with text_hash.
 
-    Of a term's entities the one it tells most of decides.
+    All counts are of distinct texts. Of a term's entities the one it tells most of decides.
     """
-    n_rows = rows.agg(F.count("*").alias("n"))
+    shared = with_share(rows, F.col("text_hash"))
+    n_texts = shared.agg(F.round(F.sum("share")).alias("n"))
     hits = reduce(DataFrame.unionByName, [spans.where(F.size(k) > 0).select("text_hash", F.lit(k).alias("kind"), F.explode(k).alias("s")) for k in KINDS])
     hits = hits.select("text_hash", "kind", F.lower("s.value").alias("entity"), F.concat_ws(" ", "s.before", "s.after").alias("around"))
     known = hits.groupBy("kind", "entity").agg(F.count_distinct("text_hash").alias("c_e")).where(F.col("c_e") >= MIN_TEXTS)
@@ -119,9 +120,10 @@ def disclosing_terms(rows: DataFrame, text: str, spans: DataFrame) -> DataFrame:
     joint = near.groupBy("kind", "entity", "c_e", "term").agg(F.count_distinct("text_hash").alias("c_te")).where(F.col("c_te") >= MIN_TEXTS)
     joint = materialise(joint, "joint")
     # Every term is counted, added up task by task before it moves; only then is it met with the candidates.
-    c_t = rows.select(F.explode(_terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
+    # Copies of a text add up to one.
+    c_t = shared.select("share", F.explode(_terms(F.col(text))).alias("term")).groupBy("term").agg(F.round(F.sum("share")).alias("c_t"))
     # A term at the edge of a cut context may be no whole word and so have no count of its own.
-    scored = joint.join(c_t, "term").crossJoin(n_rows).withColumn("p", F.col("c_te") / F.greatest("c_t", "c_te"))
+    scored = joint.join(c_t, "term").crossJoin(n_texts).withColumn("p", F.col("c_te") / F.greatest("c_t", "c_te"))
     content = F.log2(F.col("n") / F.col("c_e"))
     shown = scored.where((F.log2(F.col("p")) + content >= F.lit(ALPHA) * content) & (content > 0))
     best = shown.groupBy("term").agg(F.max_by(F.struct("kind", "p"), F.struct("p", "kind")).alias("b"))
