@@ -5,9 +5,10 @@ Their values are the protected entities. How strongly a term reveals one is
 estimated from the corpus: with the entity's information content
 IC(e) = -log2 p(e) and PMI(t, e) = log2 p(e|t) / p(e), a term discloses an
 entity if PMI >= ALPHA * IC, which is p(e|t) >= p(e) ** (1 - ALPHA). A term
-counts for an entity if it stands within CONTEXT_CHARS of it, in at least
-MIN_TEXTS different texts; p(e|t) divides those texts by all different texts that
-hold the term. A disclosing term is removed where p(e|t) >= REMOVE_FROM, and else
+counts for an entity if it stands within CONTEXT_CHARS of it; p(e|t) divides the
+different texts where it does by all different texts that hold the term, smoothed
+towards p(e) by SMOOTHING texts, so that one text alone is weaker evidence. Every
+entity is judged. A disclosing term is removed where p(e|t) >= REMOVE_FROM, and else
 generalised to the kind of the entity, wherever it stands in the corpus.
 """
 
@@ -31,7 +32,8 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
 
 ALPHA = 0.9
-MIN_TEXTS = 3
+#: Texts that p(e) weighs in p(e|t).
+SMOOTHING = 0.5
 REMOVE_FROM = 0.9
 CONTEXT_CHARS = 100
 MIN_TERM_CHARS = 4
@@ -69,27 +71,40 @@ _PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 _NEEDED = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike("[0-9][ -]?[0-9]"), "phone": lambda t: F.contains(t, F.lit("+"))}
 
 
+def _whole(context: Column, edge: str) -> Column:
+    """context without the word at its outer edge, where the text goes on there."""
+    return F.when(F.length(context) > CONTEXT_CHARS, F.regexp_replace(context, edge, "")).otherwise(context)
+
+
 def base_spans(rows: DataFrame, text: str) -> DataFrame:
     """rows with a column for each kind: its valid spans as (start, stop, value, before, after).
 
-    Positions are in code points; before and after are the text around, up to
-    CONTEXT_CHARS or the next match of the kind.
+    Positions are in code points; before and after are CONTEXT_CHARS of the text
+    around, but for a word that their outer edge would cut.
     """
     t = F.col(text)
     none = F.array().cast("array<string>")
     found = rows.withColumns({f"_m_{k}": F.when(_NEEDED[k](t), F.regexp_extract_all(t, F.lit(_PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS})
     found = found.withColumns({f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(t, _PATTERNS[k], -1)).otherwise(none) for k in KINDS})
 
+    wide = F.lit(CONTEXT_CHARS + 1)
+
     def spans(kind: str) -> Column:
         matches, gaps = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string,before:string,after:string>>").alias("out"))
+        empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast("array<struct<start:int,stop:int,value:string,before:string,after:string>>").alias("out"))
 
         def step(state: Column, i: Column) -> Column:
             match, gap = F.get(matches, i), F.get(gaps, i)
             start = state["at"] + F.length(gap)
             stop = start + F.length(match)
-            span = F.struct(start.alias("start"), stop.alias("stop"), match.alias("value"), F.right(gap, F.lit(CONTEXT_CHARS)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT_CHARS)).alias("after"))
-            return F.struct(stop.alias("at"), F.when(_valid(kind, match), F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+            # One character more than the context tells whether the edge cuts a word.
+            before = F.right(F.concat(state["last"], F.right(gap, wide)), wide)
+            # A match has two characters at least, so few matches fill the context.
+            ahead = F.sequence(i + 1, F.least(i + 1 + CONTEXT_CHARS // 2, F.size(matches)))
+            after = F.left(F.array_join(F.transform(ahead, lambda j: F.concat(F.left(F.get(gaps, j), wide), F.coalesce(F.left(F.get(matches, j), wide), F.lit("")))), ""), wide)
+            span = F.struct(start.alias("start"), stop.alias("stop"), match.alias("value"), _whole(before, r"^(?:\p{L}+|\P{L})").alias("before"), _whole(after, r"(?:\p{L}+|\P{L})$").alias("after"))
+            last = F.right(F.concat(before, F.right(match, wide)), wide)
+            return F.struct(stop.alias("at"), last.alias("last"), F.when(_valid(kind, match), F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
 
         return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), empty, step, lambda state: state["out"])).otherwise(empty["out"])
 
@@ -115,15 +130,15 @@ def disclosing_terms(rows: DataFrame, text: str, spans: DataFrame) -> DataFrame:
     n_texts = shared.agg(F.round(F.sum("share")).alias("n"))
     hits = reduce(DataFrame.unionByName, [spans.where(F.size(k) > 0).select("text_hash", F.lit(k).alias("kind"), F.explode(k).alias("s")) for k in KINDS])
     hits = hits.select("text_hash", "kind", F.lower("s.value").alias("entity"), F.concat_ws(" ", "s.before", "s.after").alias("around"))
-    known = hits.groupBy("kind", "entity").agg(F.count_distinct("text_hash").alias("c_e")).where(F.col("c_e") >= MIN_TEXTS)
+    known = hits.groupBy("kind", "entity").agg(F.count_distinct("text_hash").alias("c_e"))
     near = hits.join(known, ["kind", "entity"]).select("kind", "entity", "c_e", "text_hash", F.explode(_terms(F.col("around"))).alias("term"))
-    joint = near.groupBy("kind", "entity", "c_e", "term").agg(F.count_distinct("text_hash").alias("c_te")).where(F.col("c_te") >= MIN_TEXTS)
+    joint = near.groupBy("kind", "entity", "c_e", "term").agg(F.count_distinct("text_hash").alias("c_te"))
     joint = materialise(joint, "joint")
     # Every term is counted, added up task by task before it moves; only then is it met with the candidates.
     # Copies of a text add up to one.
     c_t = shared.select("share", F.explode(_terms(F.col(text))).alias("term")).groupBy("term").agg(F.round(F.sum("share")).alias("c_t"))
-    # A term at the edge of a cut context may be no whole word and so have no count of its own.
-    scored = joint.join(c_t, "term").crossJoin(n_texts).withColumn("p", F.col("c_te") / F.greatest("c_t", "c_te"))
+    # Letters right beside a match may be part of it, so that the term has no count of its own.
+    scored = joint.join(c_t, "term").crossJoin(n_texts).withColumn("p", (F.col("c_te") + SMOOTHING * F.col("c_e") / F.col("n")) / (F.greatest("c_t", "c_te") + SMOOTHING))
     content = F.log2(F.col("n") / F.col("c_e"))
     shown = scored.where((F.log2(F.col("p")) + content >= F.lit(ALPHA) * content) & (content > 0))
     best = shown.groupBy("term").agg(F.max_by(F.struct("kind", "p"), F.struct("p", "kind")).alias("b"))

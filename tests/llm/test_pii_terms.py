@@ -17,3 +17,23 @@ def test_copies_do_not_hide_a_term(spark):
     found, clean = verdicts(spark, near + [near[0]] * 100 + filler(100))
     assert all("term:0:10" in found[i].spans and "kingfisher" not in clean[i] for i in range(108))
     assert "common" in clean[150]
+
+
+def test_an_entity_in_one_text_or_two(spark):
+    once = "kingfisher writes boss@firm.example and common prose about nothing"
+    twice = [f"wagtail calls +49 30 1234567 {x} common prose about nothing" for x in ("today", "tomorrow")]
+    found, clean = verdicts(spark, [once, *twice, *filler(100)])
+    assert "term:0:10" in found[0].spans and "kingfisher" not in clean[0]
+    assert all("term:0:7" in found[i].spans and "wagtail" not in clean[i] for i in (1, 2))
+    assert all("common prose about nothing" in clean[i] for i in range(103))
+
+
+def test_context_goes_past_other_matches(spark):
+    from pyspark.sql import functions as F
+
+    text = "cut" + "x" * 60 + " kingfisher 1.2.3.4 and 999.1.1.1 or 5.6.7.8 then wagtail " + "y" * 120
+    df = pii.base_spans(spark.createDataFrame([(text,)], "text string").withColumn("text_hash", F.xxhash64("text")), "text")
+    first, second = df.first().ip
+    assert (first.value, second.value) == ("1.2.3.4", "5.6.7.8")
+    assert "kingfisher" in second.before and "1.2.3.4" in second.before and "999.1.1.1" in second.before
+    assert first.after == " and 999.1.1.1 or 5.6.7.8 then wagtail "
