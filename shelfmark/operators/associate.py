@@ -74,16 +74,32 @@ def associate(files: DataFrame) -> DataFrame:
     return _bundles(placed.where("root is not null")).unionByName(_folders(placed.where("root is null").drop("root")))
 
 
+#: Written by, tag, description, publisher and language; date released.
+PROMOTED_TEXTS, PROMOTED_DATES = (76, 72, 46, 59, 54), (45,)
+
+
 def promotions(associated: DataFrame, contents: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(file_id, definition, value_text): lyrics and comments that sidecars give to the primary file of their item.
+    """(file_id, definition, value_text, value_date): what sidecars give to the primary file of their item.
 
-    A value is given once, by the first path, and not where the file has one already.
+    attributes is (file_id, definition, value_text, value_date). Lyrics and
+    comments are the content of .lrc and .nfo files: given once, by the first
+    path, and not where the file has one already. Of the attributes of .opf files
+    a text is given where the file does not have the same one, and a date, of the
+    first path, where it has none.
     """
+    given = associated.where("role = 'Sidecar' and item_id is not null")
     definition = F.when(F.col("kind") == "Lrc", 15).when(F.col("kind") == "Nfo", 38)
-    given = associated.where("role = 'Sidecar' and item_id is not null").withColumn("definition", definition).where("definition is not null")
-    text = given.join(contents.select("file_id", "content"), "file_id").where(F.trim(F.coalesce("content", F.lit(""))) != "")
+    text = given.withColumn("definition", definition).where("definition is not null").join(contents.select("file_id", "content"), "file_id").where(F.trim(F.coalesce("content", F.lit(""))) != "")
     first = text.groupBy(F.col("item_id").alias("file_id"), "definition").agg(F.min_by("content", "path").alias("value_text"))
-    return first.join(attributes.select("file_id", "definition").distinct(), ["file_id", "definition"], "left_anti")
+    whole = first.join(attributes.select("file_id", "definition").distinct(), ["file_id", "definition"], "left_anti")
+
+    own = given.where("kind = 'Opf'").select("file_id", "item_id", "path").join(attributes, "file_id").drop("file_id").withColumnRenamed("item_id", "file_id")
+    texts = own.where(F.col("definition").isin(*PROMOTED_TEXTS) & F.col("value_text").isNotNull()).select("file_id", "definition", "value_text").distinct()
+    texts = texts.join(attributes.select("file_id", "definition", "value_text"), ["file_id", "definition", "value_text"], "left_anti")
+    dates = own.where(F.col("definition").isin(*PROMOTED_DATES) & F.col("value_date").isNotNull())
+    dates = dates.groupBy("file_id", "definition").agg(F.min_by("value_date", F.struct("path", "value_date")).alias("value_date"))
+    dates = dates.join(attributes.select("file_id", "definition").distinct(), ["file_id", "definition"], "left_anti")
+    return whole.unionByName(texts).unionByName(dates, allowMissingColumns=True)
 
 
 def counters(associated: DataFrame) -> DataFrame:

@@ -351,8 +351,9 @@ def association_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def promote_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _tree(spark, sf_dir)
     contents = files.select("file_id", F.concat(F.lit("text of "), "path").alias("content"))
-    known = files.where(F.col("file_id") % 2 == 0).select("file_id", F.lit(38).alias("definition"))
-    return assoc.promotions(assoc.associate(files), contents, known)
+    # The tables give .opf files no attributes, so there is none to promote and no date.
+    known = files.where(F.col("file_id") % 2 == 0).select("file_id", F.lit(38).alias("definition"), F.lit(None).cast("string").alias("value_text"), F.lit(None).cast("timestamp").alias("value_date"))
+    return assoc.promotions(assoc.associate(files), contents, known).drop("value_date")
 
 
 def _region_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
