@@ -4,16 +4,18 @@ A text is read as its words, each closed by a space, and an end. Every
 character is one of 64 symbols and, given its symbol, a character; the tree
 predicts symbols, a smoothed table predicts the character within its symbol.
 
-A context of up to DEPTH symbols is a candidate if it holds at least MIN_SHARE
-of all positions, so there are at most 1 / MIN_SHARE of them at each depth. Its
+Every context of up to DEPTH symbols that the training documents hold is judged. Its
 next-symbol distribution is smoothed towards that of the context one symbol
-shorter, and it is retained if the two diverge enough, or if a longer context
-below it is retained. A position is scored by the longest retained suffix of
-what precedes it.
+shorter, and it is retained if the two diverge enough, by position and in all, or
+if a longer context below it is retained. A position is scored by the longest
+retained suffix of what precedes it.
 
-Beside it stand counts of whole words, which grow with the vocabulary. They are
-never sent anywhere as a whole: documents are dealt into blocks, a block asks
-for the counts of its own distinct words, and gets them beside its documents.
+Contexts of up to TOP symbols, 64**TOP at most whatever the corpus, are all kept and
+sent to the workers. What lies below them grows with the corpus and stays dealt out
+by its last TOP symbols, each part with whole subtrees. Documents are dealt into
+blocks; a block asks the parts for its own distinct strings of DEPTH + 1 symbols.
+
+Counts of whole words, which grow with the vocabulary, come to the blocks likewise.
 """
 
 from __future__ import annotations
@@ -32,9 +34,10 @@ from shelfmark.llm.symbols import code_points, fine_table, ngram_codes
 
 SYMBOLS, BITS = 64, 6
 DEPTH = 6
-#: Depth up to which contexts are counted in one pass; each deeper level takes one more.
-FIRST_DEPTH = 4
-MIN_SHARE = 4e-6
+#: Depth of the contexts that are sent to all workers.
+TOP = 3
+#: Strings of DEPTH + 1 symbols in a part of the tree.
+PART_CODES = 200_000
 #: Bits a position that a context must save over its parent, and bits it must save in all.
 MIN_DIVERGENCE, MIN_GAIN = 0.001, 20.0
 #: Weight, in positions, of the parent in a context's distribution.
@@ -44,7 +47,11 @@ FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block of documents that is scored together.
 BLOCK_BYTES = 16 << 20
 ROWS = 256
-CODES = 2_000_000
+CODES = 1_000_000
+#: Rows of counts that leave a task at once.
+OUT_ROWS = 100_000
+#: Distinct codes that a counting task holds before it passes them on.
+MAX_HELD = 4_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -85,25 +92,8 @@ class Sums:
         return self.codes, self.n
 
 
-def count_deeper(docs: DataFrame, depth: int, contexts: np.ndarray) -> DataFrame:
-    """(code, n) of depth + 1 symbols over training documents, of the given contexts of depth symbols only."""
-    sent = docs.sparkSession.sparkContext.broadcast(contexts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, sums = sent.value, Sums()
-        for batch in chunks(batches, ROWS):
-            codes = [ngram_codes(read_symbols(lower_ascii(t).split())[0][DEPTH - depth :], depth + 1, BITS) for t in batch.column(0).to_pylist()]
-            codes = np.concatenate(codes)
-            at = np.minimum(np.searchsorted(wanted, codes >> BITS), len(wanted) - 1)
-            sums.add(codes[wanted[at] == codes >> BITS])
-        keys, n = sums.totals()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["code", "n"])
-
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
 def count_corpus(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) over training documents: 'g' codes of FIRST_DEPTH + 1 symbols, 'c' code points, 'w' hashed words, 'e' ends."""
+    """(kind, key, n) over training documents: 'g' codes of DEPTH + 1 symbols, 'c' code points, 'w' hashed words, 'e' ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_seen: Counter[bytes] = Counter()
@@ -111,13 +101,15 @@ def count_corpus(docs: DataFrame) -> DataFrame:
         chars = np.zeros(0x110000, np.int64)
         ends = 0
 
-        def rows(kind: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+        def rows(kind: str, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), OUT_ROWS):
+                some, many = keys[at : at + OUT_ROWS].astype(np.int64), n[at : at + OUT_ROWS].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.string()), pa.array(some), pa.array(many)], names=["kind", "key", "n"])
 
-        def word_rows() -> pa.RecordBatch:
-            batch = rows("w", hash_words(words_seen, len(words_seen)).view(np.int64), np.fromiter(words_seen.values(), np.int64, len(words_seen)))
+        def word_rows() -> Iterator[pa.RecordBatch]:
+            keys, n = hash_words(words_seen, len(words_seen)).view(np.int64), np.fromiter(words_seen.values(), np.int64, len(words_seen))
             words_seen.clear()
-            return batch
+            return rows("w", keys, n)
 
         for batch in chunks(batches, ROWS):
             for text in batch.column(0).to_pylist():
@@ -125,111 +117,122 @@ def count_corpus(docs: DataFrame) -> DataFrame:
                 words_seen.update(words)
                 ends += 1
                 symbols, points = read_symbols(words)
-                grams.add(ngram_codes(symbols[DEPTH - FIRST_DEPTH :], FIRST_DEPTH + 1, BITS))
+                grams.add(ngram_codes(symbols, DEPTH + 1, BITS))
                 seen, n = np.unique(points, return_counts=True)
                 chars[seen] += n
             if len(words_seen) > 1_000_000:
-                yield word_rows()
+                yield from word_rows()
+            if len(grams.codes) > MAX_HELD:
+                yield from rows("g", *grams.totals())
+                grams = Sums()
         if ends:
-            yield rows("g", *grams.totals())
+            yield from rows("g", *grams.totals())
             found = np.flatnonzero(chars)
-            yield rows("c", found, chars[found])
-            yield word_rows()
-            yield rows("e", np.zeros(1), np.array([ends]))
+            yield from rows("c", found, chars[found])
+            yield from word_rows()
+            yield from rows("e", np.zeros(1), np.array([ends]))
 
     return docs.select("text").mapInArrow(run, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class SuffixTree:
-    """Retained contexts as a trie read backwards from the present, node 0 the empty context.
+def part_of(context: np.ndarray, parts: int) -> np.ndarray:
+    """Part of the tree, by the last TOP symbols of a context."""
+    return ((context & (SYMBOLS**TOP - 1)) * 2654435761 >> 16 & 0xFFFF) % parts
 
-    child[node, symbol] leads to the context that has one earlier symbol more; the
-    last node is where paths that leave the tree end. log_next has a row of log10
-    probabilities for each node, log_char a log10 probability for each code point.
-    """
 
-    child: np.ndarray
-    log_next: np.ndarray
+def _part(code: str, parts: int) -> Column:
+    return F.expr(f"cast(pmod(shiftright((shiftright({code}, {BITS}) & {SYMBOLS**TOP - 1}) * 2654435761L, 16) & 65535, {parts}) as int)")
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where wanted stands in sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+@dataclass
+class Top:
+    """Contexts of up to TOP symbols: the row of each context of TOP symbols, that of its longest
+    suffix seen where it was not, and next-symbol probabilities by row; log10 probabilities of characters."""
+
+    row: np.ndarray
+    prob: np.ndarray
     log_char: np.ndarray
-    depths: np.ndarray
 
     @classmethod
-    def fit(cls, levels: list[tuple[np.ndarray, np.ndarray]], points: np.ndarray, point_counts: np.ndarray) -> SuffixTree:
-        """levels[d]: codes (context of d symbols, then the next) and counts, of all candidate contexts of that depth."""
-        contexts: list[np.ndarray] = []
-        tables: list[np.ndarray] = []
-        keep: list[np.ndarray] = []
-        for depth, (codes, n) in enumerate(levels):
-            found, at = np.unique(codes >> BITS, return_inverse=True)
+    def fit(cls, codes: np.ndarray, n: np.ndarray, points: np.ndarray, point_counts: np.ndarray) -> Top:
+        """codes: TOP symbols and the next one."""
+        row = np.zeros(1, np.int32)
+        probs = np.full((1, SYMBOLS), 1 / SYMBOLS)
+        for depth in range(TOP + 1):
+            found, at = np.unique(codes >> BITS & (SYMBOLS**depth - 1), return_inverse=True)
             table = np.zeros((len(found), SYMBOLS))
             np.add.at(table, (at, codes & (SYMBOLS - 1)), n)
-            total = table.sum(1)
-            if depth == 0:
-                contexts.append(np.zeros(1, np.int64))
-                tables.append((table + 1) / (total[:, None] + SYMBOLS) if len(found) else np.full((1, SYMBOLS), 1 / SYMBOLS))
-                keep.append(np.ones(1, bool))
-                continue
-            above = np.searchsorted(contexts[-1], found & (SYMBOLS ** (depth - 1) - 1))
-            parent = tables[-1][above]
-            share = table / total[:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                divergence = np.where(table > 0, share * np.log2(share / parent), 0).sum(1)
-            contexts.append(found)
-            tables.append((table + SMOOTHING * parent) / (total[:, None] + SMOOTHING))
-            keep.append((divergence >= MIN_DIVERGENCE) & (divergence * total >= MIN_GAIN))
-        for depth in range(len(levels) - 1, 1, -1):
-            keep[depth - 1][np.searchsorted(contexts[depth - 1], contexts[depth][keep[depth]] & (SYMBOLS ** (depth - 1) - 1))] = True
-        kept = [c[k] for c, k in zip(contexts, keep)]
-        first = np.concatenate([[0], np.cumsum([len(c) for c in kept])])
-        child = np.full((first[-1] + 1, SYMBOLS), first[-1], np.int32)
-        for depth in range(1, len(kept)):
-            parent = first[depth - 1] + np.searchsorted(kept[depth - 1], kept[depth] & (SYMBOLS ** (depth - 1) - 1))
-            child[parent, kept[depth] >> (BITS * (depth - 1))] = first[depth] + np.arange(len(kept[depth]))
+            row = np.tile(row, SYMBOLS) if depth else row
+            weight = SMOOTHING if depth else SYMBOLS
+            table = (table + weight * probs[row[found]]) / (table.sum(1, keepdims=True) + weight)
+            row = row.copy()
+            row[found] = len(probs) + np.arange(len(found))
+            probs = np.concatenate([probs, table])
         own = fine_table()
         counts = np.zeros(0x110000)
         counts[points] = point_counts
         log_char = np.log10((counts + 1) / np.maximum(np.bincount(own, counts + 1, SYMBOLS), 1)[own])
-        log_next = np.log10(np.concatenate([t[k] for t, k in zip(tables, keep)]))
-        return cls(child, log_next.astype(np.float32), log_char.astype(np.float32), np.diff(first))
-
-    def states(self, symbols: np.ndarray) -> np.ndarray:
-        """Node of the longest retained suffix before each position after the first DEPTH."""
-        n = len(symbols) - DEPTH
-        state = at = np.zeros(n, np.int32)
-        gone = len(self.child) - 1
-        for back in range(1, DEPTH + 1):
-            at = self.child[at, symbols[DEPTH - back : DEPTH - back + n]]
-            state = np.where(at < gone, at, state)
-        return state
-
-    def score(self, words: list[bytes]) -> float:
-        """log10 probability of a text."""
-        symbols, points = read_symbols(words)
-        chosen = self.log_next[self.states(symbols), symbols[DEPTH:]]
-        return float(chosen.sum(dtype=np.float64) + self.log_char[points].sum(dtype=np.float64))
-
-
-def fit_tree(docs: DataFrame, counts: DataFrame) -> SuffixTree:
-    """The tree of training documents and their count_corpus(). The driver gets candidate contexts, 1 / MIN_SHARE at most at each depth."""
-    grams = counts.where("kind = 'g'").select(F.col("key").alias("code"), "n")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-    def candidates(short: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        often = short.groupBy(F.expr(f"shiftright(code, {BITS})").alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= F.lit(MIN_SHARE * total))
-        rows = short.withColumn("context", F.expr(f"shiftright(code, {BITS})")).join(often, "context", "left_semi").select("code", "n").toArrow()
-        return rows.column(0).to_numpy(), rows.column(1).to_numpy()
-
-    levels = [candidates(grams.groupBy(F.expr(f"code & {SYMBOLS ** (d + 1) - 1}").alias("code")).agg(F.sum("n").alias("n"))) for d in range(FIRST_DEPTH + 1)]
-    for depth in range(FIRST_DEPTH + 1, DEPTH + 1):
-        # A context is as frequent as its symbols are in a row, so the last level tells which to count.
-        codes, n = levels[-1]
-        contexts = np.sort(codes[n >= MIN_SHARE * total])
-        if not len(contexts):
-            break
-        levels.append(candidates(count_deeper(docs, depth, contexts)))
+        return cls(row, probs.astype(np.float32), log_char.astype(np.float32))
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Probability of the last symbol of each code after the TOP before it."""
+        return self.prob[self.row[codes >> BITS & (SYMBOLS**TOP - 1)], codes & (SYMBOLS - 1)].astype(np.float64)
+
+
+@dataclass
+class Subtrees:
+    """Retained contexts below the top, by depth: contexts with their log10 back-off weights,
+    and codes (context, then the next symbol) with their log10 probabilities."""
+
+    top: Top
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def fit(cls, top: Top, codes: np.ndarray, n: np.ndarray) -> Subtrees:
+        """codes: all strings of DEPTH + 1 symbols of some subtrees."""
+        above = np.unique(codes & (SYMBOLS ** (TOP + 1) - 1))
+        parents = top.of(above)
+        found = []
+        for depth in range(TOP + 1, DEPTH + 1):
+            grams, at = np.unique(codes & (SYMBOLS ** (depth + 1) - 1), return_inverse=True)
+            many = np.bincount(at, n, len(grams))
+            contexts, of = np.unique(grams >> BITS, return_inverse=True)
+            total = np.bincount(of, many, len(contexts))
+            parent = parents[np.searchsorted(above, grams & (SYMBOLS**depth - 1))]
+            share = many / total[of]
+            divergence = np.bincount(of, share * np.log2(share / parent), len(contexts))
+            keep = (divergence >= MIN_DIVERGENCE) & (divergence * total >= MIN_GAIN)
+            above, parents = grams, (many + SMOOTHING * parent) / (total[of] + SMOOTHING)
+            found.append((contexts, total, keep, grams, of, parents))
+        for deeper, shallower in zip(found[:0:-1], found[-2::-1]):
+            bits = SYMBOLS ** (TOP + 1 + [x is shallower for x in found].index(True)) - 1
+            shallower[2][np.searchsorted(shallower[0], deeper[0][deeper[2]] & bits)] = True
+        return cls(top, [(c[k], np.log10(SMOOTHING / (t[k] + SMOOTHING)), g[k[of]], np.log10(p[k[of]])) for c, t, k, g, of, p in found])
+
+    def log_next(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probability of the last symbol of each code, after the longest retained suffix before it."""
+        out = np.log10(self.top.of(codes))
+        for depth, (contexts, backoff, grams, log_prob) in enumerate(self.levels, TOP + 1):
+            at, retained = _at(contexts, codes >> BITS & (SYMBOLS**depth - 1))
+            out[retained] += backoff[at[retained]]
+            at, seen = _at(grams, codes & (SYMBOLS ** (depth + 1) - 1))
+            out[seen] = log_prob[at[seen]]
+        return out
+
+
+def fit_top(counts: DataFrame) -> Top:
+    """The top of the tree from count_corpus(). The driver gets its counts, SYMBOLS ** (TOP + 1) at most."""
+    short = counts.where("kind = 'g'").groupBy(F.expr(f"key & {SYMBOLS ** (TOP + 1) - 1}").alias("code")).agg(F.sum("n").alias("n")).toArrow()
     points = counts.where("kind = 'c'").select("key", "n").toArrow()
-    return SuffixTree.fit(levels, points.column(0).to_numpy(), points.column(1).to_numpy())
+    return Top.fit(*(t.column(i).to_numpy() for t in (short, points) for i in range(2)))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -245,12 +248,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("held_out", held_out(F.col("id")))
     training = rows.where("not held_out")
     counts = materialise(count_corpus(training), "counts")
-    tree = fit_tree(training, counts)
+    top = fit_top(counts)
     words = counts.where("kind = 'w'").select(F.col("key").alias("word"), "n")
     n_words, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where("kind = 'e'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_train, n_distinct = n_words + ends, n_distinct + (1 if ends else 0)
-    sent = spark.sparkContext.broadcast(tree)
+    sent = spark.sparkContext.broadcast(top)
 
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // block_bytes))
@@ -282,11 +285,43 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = dealt.mapInArrow(ask, "block int, word long")
     slices = asked.join(words, "word").select("block", "word", "n")
 
+    grams = counts.where("kind = 'g'").select(F.col("key").alias("code"), "n")
+    parts = max(1, n_blocks, -(-grams.count() // PART_CODES))
+
+    def ask_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: dict[int, Sums] = {}
+        for batch in chunks(batches, ROWS):
+            for text, block in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                wanted.setdefault(block, Sums()).add(ngram_codes(read_symbols(lower_ascii(text).split())[0], DEPTH + 1, BITS))
+        for block in list(wanted):
+            codes, _ = wanted.pop(block).totals()
+            part = part_of(codes >> BITS, parts)
+            order = np.argsort(part, kind="stable")
+            codes, part = codes[order], part[order]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            packed = [np.diff(x, prepend=0).tobytes() for x in np.split(codes, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block, np.int32)), pa.array(part[first].astype(np.int32)), pa.array(packed, pa.binary())], names=["block", "part", "codes"])
+
+    def answer(own: pa.Table, wanted: pa.Table) -> pa.Table:
+        tree = Subtrees.fit(sent.value, own.column("code").to_numpy(), own.column("n").to_numpy())
+        logs = [tree.log_next(np.cumsum(np.frombuffer(x, np.int64))).astype(np.float32).tobytes() for x in wanted.column("codes").to_pylist()]
+        return pa.table([wanted.column("block"), wanted.column("codes"), pa.array(logs, pa.binary())], names=["block", "codes", "logs"])
+
+    asked_codes = dealt.mapInArrow(ask_codes, "block int, part int, codes binary")
+    answers = grams.withColumn("part", _part("code", parts)).groupBy("part").cogroup(asked_codes.groupBy("part")).applyInArrow(answer, "block int, codes binary, logs binary")
+    slices = slices.unionByName(answers, allowMissingColumns=True)
+
     def score(own: pa.Table, slice_: pa.Table) -> pa.Table:
+        told = slice_.filter(slice_.column("codes").is_valid())
+        codes = np.concatenate([np.empty(0, np.int64), *(np.cumsum(np.frombuffer(x, np.int64)) for x in told.column("codes").to_pylist())])
+        logs = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(x, np.float32) for x in told.column("logs").to_pylist())])
+        order = np.argsort(codes)
+        codes, logs = codes[order], logs[order]
+        slice_ = slice_.filter(slice_.column("word").is_valid())
         keys, n = slice_.column("word").to_numpy(), slice_.column("n").to_numpy()
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
-        tree = sent.value
+        log_char = sent.value.log_char
         number: dict[bytes, int] = {}
         texts = own.column("text")
         out: list[tuple[int, int, float, float]] = []
@@ -294,9 +329,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         local_count, local_gain = np.empty(0, np.int64), np.empty(0)
         floor = np.log10(n_train + n_distinct + 1.0)
         for at in range(0, len(texts), ROWS):
-            parts = [lower_ascii(t).split() for t in texts.slice(at, ROWS).to_pylist()]
+            texts_ = [lower_ascii(t).split() for t in texts.slice(at, ROWS).to_pylist()]
             known = len(number)
-            ids = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)) for ws in parts]
+            ids = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)) for ws in texts_]
             if len(number) > known:
                 fresh = hash_words(list(number)[known:], len(number) - known).view(np.int64)
                 if len(keys):
@@ -306,9 +341,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 else:
                     more_count, more_gain = np.zeros(len(fresh), np.int64), np.zeros(len(fresh))
                 local_count, local_gain = np.concatenate([local_count, more_count]), np.concatenate([local_gain, more_gain])
-            for ws, x in zip(parts, ids):
+            read = [read_symbols(ws) for ws in texts_]
+            met, where = np.unique(np.concatenate([ngram_codes(symbols, DEPTH + 1, BITS) for symbols, _ in read]), return_inverse=True)
+            chosen = np.split(logs[np.searchsorted(codes, met)][where], np.cumsum([len(points) + 1 for _, points in read])[:-1])
+            for ws, x, (_, points), log_next in zip(texts_, ids, read, chosen):
+                total = float(log_next.sum(dtype=np.float64) + log_char[points].sum(dtype=np.float64))
                 base = float(local_gain[x].sum()) + np.log10(ends + 1.0) - (len(x) + 1) * floor
-                out.append((len(x) + 1, int((local_count[x] > 0).sum()) + (1 if ends else 0), base, tree.score(ws)))
+                out.append((len(x) + 1, int((local_count[x] > 0).sum()) + (1 if ends else 0), base, total))
         columns = list(zip(*out)) or [(), (), (), ()]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([own.column("id"), own.column("held_out"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
