@@ -128,10 +128,10 @@ def features(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
                     keys.append(None)
                     sketches.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "fp", "bands", "sketch"]
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "fp", "bands", "sketch"]
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>, sketch binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, fp binary, bands array<long>, sketch binary")
 
 
 def _estimates(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -323,6 +323,11 @@ def near_duplicates(
     never linked: component_id is null and kept false. Ids are whole numbers.
     Other columns are not looked at, and an empty table gives an empty result.
     """
+    return _judged(docs, id_col, text_col, width, least, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, least: int, bands: int, rows: int) -> DataFrame:
+    """near_duplicates with text_hash and the fingerprint fp of each row."""
     k = bands * rows
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = materialise(features(named, "doc_id", "text", bands, rows, width), "features")
@@ -341,12 +346,23 @@ def near_duplicates(
     placed = nodes.select("fp", "node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
     classes = materialise(placed.join(smallest, "comp").select("fp", "component_id"), "components")
-    out = found.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
+    out = found.select("doc_id", "text_hash", "n_shingles", "fp").join(classes, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "text_hash", "fp", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document stands for its group, with their own columns."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs whose document stands for its group, with their own columns.
+
+    Of rows that share an id and have equal sets one stays. Rows without an id
+    are never linked and all stay.
+    """
+    kept = _judged(docs, "doc_id", "text", SHINGLE_WORDS, MIN_SIMILARITY, BANDS, ROWS_PER_BAND).where("kept")
+    texts = kept.groupBy("doc_id", "fp", "text_hash").agg(F.count("*").alias("n"))
+    chosen = texts.groupBy("doc_id", "fp").agg(F.min(F.struct("text_hash", "n")).alias("c")).select(F.col("doc_id").alias("_id"), F.col("c.text_hash").alias("_hash"), F.col("c.n").alias("_n"))
+    chosen = materialise(chosen, "chosen")
+    own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    single = docs.join(chosen.where("_n = 1"), own, "left_semi")
+    repeated = docs.join(chosen.where("_n > 1"), own, "left_semi").withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    lost = docs.where(F.col("doc_id").cast("long").isNull())
+    return single.unionByName(repeated).unionByName(lost).select(*docs.columns)
