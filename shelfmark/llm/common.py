@@ -35,12 +35,42 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{conf.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on Arrow batches of this session hold BATCH_BYTES at most: a worker and its JVM each hold a few."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back, which cuts its lineage.
+
+    instead_of is an earlier table of this function that nothing else reads; it is deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        forget(instead_of)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table of materialise(), of which nothing is read any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sent_if_few(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be sent to all workers in a join if it has at most so many rows (of fixed size); df is read for that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def lower_ascii(text: str | None) -> bytes:

@@ -6,14 +6,18 @@ the buckets in which candidates meet; all k, folded into a parity bitmap, give
 its Odd sketch, whose XOR population count estimates the similarity of a
 candidate pair. Pairs that the estimate leaves open are confirmed on full sets.
 
-Within a bucket no more pairs are formed than needed to find components; see
-link_buckets().
+No pairs are listed. Sketches alone first tell families: classes that are linked
+over pairs which share a bucket and which their sketches leave open. Every link
+lies within a family. So each full set then travels once, to the cell of its
+family, where pairs that are not yet in one component are compared. What is too
+large for one cell, a bucket or a family, is first held against one of its
+members, and what that leaves outside against the rest, in cells of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import chunks, lower_ascii, materialise, mix64, odd_multipliers, window_hashes
+from shelfmark.llm.common import chunks, forget, lower_ascii, materialise, mix64, odd_multipliers, sent_if_few, small_batches, window_hashes
 
 #: Words of a shingle, and the similarity in per cent from which documents are linked.
 SHINGLE_WORDS = 5
@@ -32,10 +36,10 @@ BANDS, ROWS_PER_BAND = 48, 5
 SKETCH_BITS = 1024
 #: Pairs whose estimate is lower are not confirmed: over four standard errors (of 0.028 with 240 samples) below 0.75.
 MIN_ESTIMATE = 0.62
-#: Nodes of a bucket up to which its pairs are joined; larger buckets are scanned by blocks of their outside nodes.
-SMALL_BUCKET = 64
-#: Outside nodes, and bytes of their full sets, in one block that is sent to the workers.
-BLOCK_NODES, BLOCK_BYTES = 2048, 32 << 20
+#: Nodes, and bytes of their full sets, in one cell (on average, as they are dealt out by hash).
+CELL_NODES, CELL_BYTES = 2048, 16 << 20
+#: Nodes, and keys of dropped rows, that are sent to all workers (some 200 and 20 bytes each); more are joined by shuffle.
+MAX_SENT_NODES, MAX_SENT_KEYS = 200_000, 1_000_000
 ROWS = 256
 
 
@@ -134,181 +138,231 @@ def features(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, fp binary, bands array<long>, sketch binary")
 
 
-def _estimates(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(a, b, estimate) of the pairs (a, b) whose Odd sketches allow the similarity."""
-    one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-    other = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
+def open_ones(k: int) -> int:
+    """Most ones in the XOR of two Odd sketches whose estimate is MIN_ESTIMATE or more."""
+    return int(np.flatnonzero(sketch_estimate(np.arange(SKETCH_BITS + 1), k) >= MIN_ESTIMATE).max())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
-            value = sketch_estimate(np.bitwise_count(a ^ b).sum(1, dtype=np.int64), k)
-            keep = pa.array(value >= MIN_ESTIMATE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(value).filter(keep)], names=["a", "b", "estimate"])
 
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, estimate double")
+def _bits(sketches: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(len(sketches), -1)
 
 
-def _full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the whole set of each text."""
+def _open_pairs(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) whose Odd sketches leave a link open."""
+    one = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
+    other = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
+    most = open_ones(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, ROWS):
-            sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["fp", "shingles"])
-
-    return docs.select("text").mapInArrow(run, "fp binary, shingles binary").select(F.xxhash64("fp").alias("node"), "shingles")
-
-
-def similar_sets(x: np.ndarray, y: np.ndarray, least: int) -> bool:
-    """100 * intersection >= least * union, of two sorted sets."""
-    small, large = sorted((len(x), len(y)))
-    if 100 * small < least * large:
-        return False
-    both = np.sort(np.concatenate([x, y]), kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= least * (small + large - common)
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 2048):
-            keep = pa.array([similar_sets(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+        for batch in batches:
+            if batch.num_rows:
+                ones = np.bitwise_count(_bits(batch.column(2)) ^ _bits(batch.column(3))).sum(1, dtype=np.int64)
+                keep = pa.array(ones <= most)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of the nodes of links (a, b); comp is the smallest node reachable.
 
     Alternates large-star and small-star steps until all links lead straight to a
-    root. Each round shuffles the links that remain; no neighbourhood is gathered
-    in one place.
+    root. Each round shuffles the links that remain. Those of a node of very many
+    are split over tasks: least neighbours are added up before they move, and
+    joins are such that adaptive execution can split a skewed side.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "links")
-    while edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").take(1) or edges.groupBy("u").count().where("count > 1").take(1):
+    while True:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(1_000_000).alias("up")))
+        # A root is nobody's u, and any other node is one u only.
+        if not ends.groupBy("x").agg(F.sum("up").alias("up")).where("up > 1 and up % 1000000 > 0").take(1):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialise(edges, "links")
+        step = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges = materialise(step, "links", instead_of=edges)
     roots = edges.select("v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("comp")))
 
 
 def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, comp) after more links (a, b); works on the graph of components."""
-    of_a = comp.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    of_b = comp.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    between = links.join(of_a, "a", "left").join(of_b, "b", "left")
-    moved = components(between.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    """(node, comp) after links (a, b) between components; a component that comp does not name is a node alone."""
+    moved = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
     kept = comp.join(moved, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
-    # Nodes that had no component yet are among the moved ones under their own name.
-    fresh = moved.select(F.col("comp").alias("node"), F.col("root").alias("comp")).join(comp.select("node"), "node", "left_anti")
-    return kept.unionByName(fresh)
+    named = comp.select(F.col("comp")).distinct()
+    return kept.unionByName(moved.join(named, "comp", "left_anti").select(F.col("comp").alias("node"), F.col("root").alias("comp")))
 
 
-def _scan(members: DataFrame, block: list, k: int, least: int) -> DataFrame:
-    """Links (a, b) between the nodes of a block and the members that share a key with them in another component.
+def _grid(rows: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """rows (key, node, comp, ...) of keys with several components, with the cell (o, m) of each and whether it is out there.
 
-    members has node, comp, keys, sketch and shingles, block rows of the same. Of
-    one component of the block, a member needs one link only.
+    Out are the nodes outside the component with most nodes of the key. Where all
+    of a key fits one cell it has that one. Else the nodes out are dealt into
+    blocks o, all nodes into blocks m, and each pair of blocks has a cell. So in
+    some cell a node out meets every node of its key. weight is bytes of a node.
     """
-    sent = members.sparkSession.sparkContext.broadcast([tuple(r) for r in block])
+    heavy = F.sum(weight) if weight else F.lit(0)
+    each = rows.groupBy(key, "comp").agg(F.count("*").alias("n"), heavy.cast("double").alias("w"))
+    sizes = each.groupBy(key).agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("inside"), F.max_by("w", F.struct("n", "comp")).alias("w_in"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n, w: F.greatest(F.ceil(n / CELL_NODES), F.ceil(w / CELL_BYTES), F.lit(1)).cast("int")
+    sizes = sizes.select(key, "largest", blocks(F.col("n"), F.col("w")).alias("ms"), blocks(F.col("n") - F.col("inside"), F.col("w") - F.col("w_in")).alias("os"))
+    met = rows.join(sizes, key).withColumn("out", F.col("comp") != F.col("largest"))
+    m, o = F.pmod(F.xxhash64("node"), F.col("ms")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("os")).cast("int")
+    cell = lambda o, m, out: F.struct(o.cast("int").alias("o"), m.cast("int").alias("m"), out.alias("out"))
+    member = F.transform(F.sequence(F.lit(0), F.col("os") - 1), lambda at: cell(at, m, F.lit(False)))
+    outside = F.when(F.col("out"), F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda at: cell(o, at, F.lit(True)))).otherwise(F.array().cast("array<struct<o:int,m:int,out:boolean>>"))
+    cells = F.when((F.col("ms") == 1) & (F.col("os") == 1), F.array(cell(F.lit(0), F.lit(0), F.col("out")))).otherwise(F.concat(member, outside))
+    return met.select(*rows.columns, F.explode(cells).alias("cell")).select(*rows.columns, "cell.o", "cell.m", "cell.out")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of consecutive rows that agree in their first columns."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([batch.column(i).to_numpy() for i in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(own[a].tolist())
+            if held and key != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_cell(rows: DataFrame, solve: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) that solve finds in each cell; rows begin with the cell's key, o and m, all long."""
+    key = rows.columns[:3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_key: dict[int, list[int]] = {}
-        for at, row in enumerate(sent.value):
-            for key in row[2]:
-                by_key.setdefault(key, []).append(at)
-        nodes = [row[0] for row in sent.value]
-        comps = [row[1] for row in sent.value]
-        sketches = np.array([np.frombuffer(row[3], np.uint64) for row in sent.value])
-        sets = [np.frombuffer(row[4], np.uint64) for row in sent.value]
-        for batch in chunks(batches, ROWS):
-            found: list[tuple[int, int]] = []
-            for node, comp, keys, sketch, own in zip(*(c.to_pylist() for c in batch.columns)):
-                met = {at for key in keys for at in by_key.get(key, ()) if comps[at] != comp}
-                if not met:
-                    continue
-                near = np.fromiter(met, np.int64, len(met))
-                value = sketch_estimate(np.bitwise_count(sketches[near] ^ np.frombuffer(sketch, np.uint64)).sum(1, dtype=np.int64), k)
-                own, linked = np.frombuffer(own, np.uint64), set()
-                for at in near[np.argsort(-value)][: int((value >= MIN_ESTIMATE).sum())].tolist():
-                    if comps[at] not in linked and similar_sets(own, sets[at], least):
-                        linked.add(comps[at])
-                        found.append((nodes[at], node))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    return members.select("node", "comp", "keys", "sketch", "shingles").mapInArrow(run, "a long, b long")
-
-
-def link_buckets(buckets: DataFrame, sketches: DataFrame, full: DataFrame, k: int, least: int) -> DataFrame:
-    """(node, comp) of linked nodes; buckets is (key, node) with several nodes to each key.
-
-    First each node is compared with the smallest nodes of its buckets, then, as
-    long as that links anything, nodes outside a bucket's largest component with
-    single members of it. What is left outside is compared with all other
-    components of its buckets: in small buckets by a join, in large ones by
-    sending blocks of outside nodes to where the members are. So every pair of a
-    bucket ends up tested or within one component.
+        found: list[tuple[int, int]] = []
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*found)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+        for group in _groups(batches, 3):
+            found += solve(group)
+            if len(found) > 50_000:
+                yield out()
+                found.clear()
+        yield out()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+
+
+def family_links(group: pa.Table, most: int) -> list[tuple[int, int]]:
+    """Links between the components of a cell (key, o, m, node, comp, out, sketch), as their sketches leave open."""
+    sketches = _bits(group.column("sketch"))
+    names, label = np.unique(group.column("comp").to_numpy(), return_inverse=True)
+    links: list[tuple[int, int]] = []
+    for i in np.flatnonzero(group.column("out").to_numpy(zero_copy_only=False)).tolist():
+        ones = np.bitwise_count(sketches ^ sketches[i]).sum(1, dtype=np.int64)
+        for other in np.unique(label[(ones <= most) & (label != label[i])]).tolist():
+            links.append((int(names[other]), int(names[label[i]])))
+            label[label == other] = label[i]
+    return links
+
+
+def set_links(group: pa.Table, most: int, least: int) -> list[tuple[int, int]]:
+    """Links between nodes of a cell (key, o, m, node, comp, out, sketch, shingles) that join its components.
+
+    Of a node out, all nodes of other components that the sketches leave open are
+    compared at once: its shingles are marked, and those of each other set counted.
     """
-    confirm = lambda pairs: _confirm(pairs, full, least)
-    estimate = lambda pairs: _estimates(pairs, sketches, k)
-    large = buckets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_BUCKET).select("key")
-    large = materialise(large, "large")
-    wide = buckets.join(large, "key").groupBy("node").agg(F.collect_list("key").alias("keys"))
-    wide = materialise(wide.join(sketches, "node").join(full.dropDuplicates(["node"]), "node"), "wide")
-
-    first = buckets.groupBy("key").agg(F.min("node").alias("b"))
-    stars = buckets.join(first, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    best = estimate(stars).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
-    comp = materialise(components(confirm(best)), "comp")
-    used, turn, joined = None, 0, False
-    while True:
-        turn += 1
-        placed = materialise(buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
-        largest = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
-        outside = placed.join(largest, "key").where("comp <> largest").select("key", "node")
-        outside = materialise(outside if used is None else outside.join(used, "node", "left_anti"), "outside")
-        if not outside.take(1):
-            return comp
-        if not joined:
-            inner = placed.join(largest, "key").where("comp = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("b"))
-            light = outside.join(inner, "key").select(F.col("node").alias("a"), "b").distinct()
-            more = materialise(confirm(estimate(light).select("a", "b")), "confirmed")
-            if more.take(1):
-                comp = materialise(_merge(comp, more), "comp")
-                continue
-            joined = True
-            rest = placed.join(large, "key", "left_anti")
-            now = rest.join(outside, ["key", "node"], "left_semi").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-            met = now.join(rest.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "key").where("comp_a <> comp_b")
-            more = materialise(confirm(estimate(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("a", "b")), "confirmed")
-            if more.take(1):
-                comp = materialise(_merge(comp, more), "comp")
-            used = materialise(buckets.select("node").distinct().join(wide.select("node"), "node", "left_anti"), "used")
+    nodes, first = np.unique(group.column("node").to_numpy(), return_index=True)
+    if len(nodes) < group.num_rows:
+        # Rows alike in id and text; a node that is out and a member is out.
+        out = np.zeros(len(nodes), bool)
+        np.logical_or.at(out, np.searchsorted(nodes, group.column("node").to_numpy()), group.column("out").to_numpy(zero_copy_only=False))
+        group = group.take(pa.array(first))
+    else:
+        group = group.take(pa.array(first))
+        out = group.column("out").to_numpy(zero_copy_only=False)
+    sketches = _bits(group.column("sketch"))
+    _, label = np.unique(group.column("comp").to_numpy(), return_inverse=True)
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(known), bool)
+    links: list[tuple[int, int]] = []
+    for i in np.flatnonzero(out).tolist():
+        ones = np.bitwise_count(sketches ^ sketches[i]).sum(1, dtype=np.int64)
+        near = np.flatnonzero((ones <= most) & (label != label[i]) & (100 * np.minimum(size, size[i]) >= least * np.maximum(size, size[i])))
+        if not len(near):
             continue
-        members = wide.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        waiting = members.join(outside.join(large, "key", "left_semi").select("node").distinct(), "node", "left_semi").select("node", "comp", "keys", "sketch", "shingles")
-        most = waiting.agg(F.max(F.octet_length("shingles"))).first()[0]
-        if most is None:
-            return comp
-        block = waiting.orderBy(F.xxhash64("node", F.lit(turn))).limit(max(1, min(BLOCK_NODES, BLOCK_BYTES // max(most, 1)))).collect()
-        more = materialise(_scan(members, block, k, least), "confirmed")
-        if more.take(1):
-            comp = materialise(_merge(comp, more), "comp")
-        done = comp.sparkSession.createDataFrame([(r[0],) for r in block], "node long")
-        used = materialise(used.unionByName(done), "used")
+        own = flat[ends[i] - size[i] : ends[i]]
+        marked[own] = True
+        hits = marked[np.concatenate([flat[ends[j] - size[j] : ends[j]] for j in near.tolist()])]
+        marked[own] = False
+        common = np.add.reduceat(hits, np.cumsum(size[near]) - size[near], dtype=np.int64)
+        for j in near[100 * common >= least * (size[near] + size[i] - common)].tolist():
+            if label[j] != label[i]:
+                links.append((int(nodes[i]), int(nodes[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def families(buckets: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
+    """(node, comp) of nodes that are linked over pairs of a bucket which their sketches leave open; buckets is (key, node, first)."""
+    most = open_ones(k)
+    stars = buckets.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    comp = materialise(components(_open_pairs(stars, sketches, k)), "families")
+    placed = buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    cells = _grid(materialise(placed, "placed"), "key").join(sketches, "node")
+    wide = cells.select("key", F.col("o").cast("long").alias("o"), F.col("m").cast("long").alias("m"), "node", "comp", "out", "sketch")
+    more = materialise(_by_cell(wide, lambda group: family_links(group, most)), "more")
+    return materialise(_merge(comp, more), "families")
+
+
+def link_families(family: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, k: int, least: int) -> DataFrame:
+    """(node, comp) of linked nodes, all pairs of a family (node, comp) compared on full sets.
+
+    nodes has node, fp, rep (id of a document), n_shingles and sketch; docs doc_id and text.
+    """
+    most = open_ones(k)
+    own = nodes.join(family.withColumnRenamed("comp", "family"), "node").select("node", "fp", "rep", "sketch", "family", (F.col("n_shingles") * 8).alias("bytes"))
+    sizes = own.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CELL_NODES), F.ceil(F.sum("bytes") / CELL_BYTES), F.lit(1)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    # The smallest node of a family names it; it is in all parts, so that they come together over it.
+    parts = F.when(F.col("node") == F.col("family"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
+    own = materialise(own.join(sizes, "family"), "family")
+
+    def with_sets(cells: DataFrame) -> DataFrame:
+        """cells (key, o, m, node, comp, out, sketch, fp, rep) with the sets of their nodes instead of fp and rep."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, ROWS):
+                sets = [shingle_set(t, width) for t in batch.column(8).to_pylist()]
+                keep = pa.array([_fingerprint(x) == fp for x, fp in zip(sets, batch.column(7).to_pylist())], pa.bool_())
+                packed = pa.array([x.tobytes() for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (*batch.columns[:7], packed)], names=[*batch.schema.names[:7], "shingles"])
+
+        met = docs.join(sent_if_few(cells, MAX_SENT_NODES), docs["doc_id"] == cells["rep"])
+        met = met.select("key", F.col("o").cast("long").alias("o"), F.col("m").cast("long").alias("m"), "node", cells["comp"], "out", "sketch", "fp", "text")
+        return met.mapInArrow(run, "key long, o long, m long, node long, comp long, out boolean, sketch binary, shingles binary")
+
+    cells = own.select(F.col("family").alias("key"), F.lit(0).alias("o"), F.explode(parts).alias("m"), "node", F.col("node").alias("comp"), F.lit(True).alias("out"), "sketch", "fp", "rep")
+    cells = materialise(cells, "cells")
+    comp = materialise(components(_by_cell(with_sets(cells), lambda group: set_links(group, most, least))), "components")
+    split = own.where("parts > 1")
+    if not split.take(1):
+        return comp
+    named = split.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rest = _grid(materialise(named, "named"), "family", "bytes").select(F.col("family").alias("key"), "o", "m", "node", "comp", "out", "sketch", "fp", "rep")
+    more = materialise(_by_cell(with_sets(materialise(rest, "cells")), lambda group: set_links(group, most, least)), "more")
+    of = lambda x: named.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
+    return materialise(_merge(comp, more.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))), "components")
 
 
 def near_duplicates(
@@ -321,48 +375,63 @@ def near_duplicates(
     Rows that share an id are one document if their sets are equal and else
     separate ones; repeated rows share one verdict. Rows whose id is null are
     never linked: component_id is null and kept false. Ids are whole numbers.
-    Other columns are not looked at, and an empty table gives an empty result.
+    Texts are read whole, however long. Other columns are not looked at, and an
+    empty table gives an empty result. Its jobs run when it is called.
     """
     return _judged(docs, id_col, text_col, width, least, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _nodes(sets: DataFrame) -> DataFrame:
+    """Classes of equal sets (fp, rep, n_shingles, bands, sketch), each with a node: a hash of fp that is its alone."""
+    classes = sets.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    classes = materialise(classes, "classes")
+    seed = 0
+    while classes.groupBy(F.xxhash64("fp", F.lit(seed)).alias("node")).agg(F.count("*").alias("n")).where("n > 1").take(1):
+        seed += 1
+    return classes.withColumn("node", F.xxhash64("fp", F.lit(seed)))
+
+
 def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, least: int, bands: int, rows: int) -> DataFrame:
-    """near_duplicates with text_hash and the fingerprint fp of each row."""
+    """near_duplicates with text_hash, the fingerprint fp and the component's root of each row; rows without id or shingles have no root."""
+    small_batches(docs.sparkSession)
     k = bands * rows
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = materialise(features(named, "doc_id", "text", bands, rows, width), "features")
-    sets = found.where("fp is not null and doc_id is not null")
-    nodes = sets.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    nodes = materialise(nodes.withColumn("node", F.xxhash64("fp")), "classes")
+    nodes = _nodes(found.where("fp is not null and doc_id is not null"))
 
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = materialise(keyed.join(shared, "key"), "buckets")
-    met = nodes.join(buckets.select("node").distinct(), "node", "left_semi")
-    full = materialise(_full_sets(named.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), width), "sets")
-    sketches = materialise(met.select("node", "sketch"), "sketches")
-    comp = link_buckets(buckets, sketches, full, k, least)
-
-    placed = nodes.select("fp", "node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    classes = materialise(placed.join(smallest, "comp").select("fp", "component_id"), "components")
-    out = found.select("doc_id", "text_hash", "n_shingles", "fp").join(classes, "fp", "left")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").select("key", "first")
+    buckets = materialise(keyed.join(shared, "key").select("key", "node", "first"), "buckets")
+    sketches = materialise(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "sketches")
+    family = families(buckets, sketches, k)
+    comp = link_families(family, nodes, named, width, k, least)
+    forget(buckets)
+
+    placed = nodes.select("fp", "node", "rep").join(comp, "node", "left").withColumn("root", F.coalesce("comp", "node"))
+    smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    classes = materialise(placed.join(smallest, "root").select("fp", "root", "component_id"), "components")
+    own = found.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
+    out = own.join(classes, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "text_hash", "fp", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "text_hash", "fp", "root", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document stands for its group, with their own columns.
+    """docs with one row of each group of near duplicates, the least by id and then by hash of its text, with its own columns.
 
-    Of rows that share an id and have equal sets one stays. Rows without an id
-    are never linked and all stay.
+    Rows without an id or without words are never linked and all stay. Of rows
+    alike in id and text any one stays for its group.
     """
-    kept = _judged(docs, "doc_id", "text", SHINGLE_WORDS, MIN_SIMILARITY, BANDS, ROWS_PER_BAND).where("kept")
-    texts = kept.groupBy("doc_id", "fp", "text_hash").agg(F.count("*").alias("n"))
-    chosen = texts.groupBy("doc_id", "fp").agg(F.min(F.struct("text_hash", "n")).alias("c")).select(F.col("doc_id").alias("_id"), F.col("c.text_hash").alias("_hash"), F.col("c.n").alias("_n"))
-    chosen = materialise(chosen, "chosen")
+    rows = _judged(docs, "doc_id", "text", SHINGLE_WORDS, MIN_SIMILARITY, BANDS, ROWS_PER_BAND).where("root is not null")
+    texts = rows.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    best = texts.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
+    marked = texts.join(best, "root").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n", (F.struct("doc_id", "text_hash") == F.col("best")).alias("stays"))
+    marked = materialise(marked.where("not stays or n > 1"), "marked")
     own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
-    single = docs.join(chosen.where("_n = 1"), own, "left_semi")
-    repeated = docs.join(chosen.where("_n > 1"), own, "left_semi").withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
-    lost = docs.where(F.col("doc_id").cast("long").isNull())
-    return single.unionByName(repeated).unionByName(lost).select(*docs.columns)
+    left = docs.join(sent_if_few(marked.where("not stays").select("_id", "_hash"), MAX_SENT_KEYS), own, "left_anti")
+    again = marked.where("stays").select("_id", "_hash")
+    if not again.take(1):
+        return left
+    again = sent_if_few(again, MAX_SENT_KEYS)
+    one = left.join(again, own, "left_semi").withColumn("_text_hash", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return left.join(again, own, "left_anti").unionByName(one).select(*docs.columns)

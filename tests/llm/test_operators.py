@@ -50,10 +50,10 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-@pytest.mark.parametrize("small", [64, 1])
-def test_near_duplicates(docs, empty, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
-    monkeypatch.setattr(neardup, "BLOCK_NODES", 3)
+@pytest.mark.parametrize("cell", [2048, 3])
+def test_near_duplicates(docs, empty, monkeypatch, cell):
+    monkeypatch.setattr(neardup, "CELL_NODES", cell)
+    monkeypatch.setattr(neardup, "MAX_SENT_NODES", cell)
     data = [(d, shingles(t)) for d, t, *_ in make()]
     parent = {d: d for d, _ in data if d is not None}
 
