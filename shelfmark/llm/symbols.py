@@ -54,7 +54,10 @@ def code_points(text: str) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def fine_table() -> np.ndarray:
-    """Symbol of each code point in the alphabet of 64, which tells accents and stops apart."""
+    """Symbol of each code point in the alphabet of 64, which tells accents and stops apart.
+
+    Beyond Latin-1 letters, digits and spaces are read as in symbol_table(), all else as 55.
+    """
     symbols = np.full(0x110000, 55, np.uint8)
     for code in range(128):
         low = chr(code).lower()
@@ -65,6 +68,9 @@ def fine_table() -> np.ndarray:
     for code in range(0xC0, 0x100):
         if code not in (0xD7, 0xF7):
             symbols[code] = 32 + (code & 31)
+    other = symbol_table()[0x100:]
+    told = (other >= 1) & (other <= DIGIT)
+    symbols[0x100:][told] = other[told]
     return symbols
 
 
@@ -73,9 +79,15 @@ def ngram_codes(symbols: np.ndarray, order: int, bits: int = 5) -> np.ndarray:
 
     symbols starts with order - 1 edges, which get no position of their own.
     """
-    n = len(symbols) - order + 1
-    codes = np.zeros(max(n, 0), np.uint32 if order * bits <= 32 else np.int64)
-    for k in range(order):
-        codes <<= codes.dtype.type(bits)
-        codes |= symbols[k : k + n]
-    return codes
+    kind = np.uint32 if order * bits <= 32 else np.int64
+    if len(symbols) < order:
+        return np.empty(0, kind)
+    codes, width = symbols, 1
+    # Codes of twice the width from two of half of it, in the narrowest type that holds them.
+    for digit in f"{order:b}"[1:]:
+        for more in (width, 1)[: 1 + int(digit)]:
+            wide = np.uint16 if (width + more) * bits <= 16 else np.uint32 if (width + more) * bits <= 32 else np.int64
+            tail = codes[width:] if more == width else symbols[width:]
+            codes = (codes[: len(codes) - more].astype(wide) << wide(more * bits)) | tail.astype(wide)
+            width += more
+    return codes.astype(kind)

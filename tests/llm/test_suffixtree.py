@@ -45,7 +45,7 @@ def brute(texts):
             c = c[1:]
         return log10(prob(c, x))
 
-    return [sum(score(*s) for s in strings(t)) for t in texts], kept
+    return [[score(*s) for s in strings(t)] for t in texts], kept
 
 
 def test_tree_against_brute_force(spark):
@@ -56,14 +56,38 @@ def test_tree_against_brute_force(spark):
     assert {len(c) for c in kept} == set(range(st.TOP + 1, st.DEPTH + 1))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.score for r in st.score_documents(df, block_bytes=3000).collect()}
-    chars = np.zeros(0x110000)
+    chars, shares = np.zeros(0x110000), Counter()
     for i, t in enumerate(texts):
         if not out_of_training(i):
             np.add.at(chars, st.read_symbols(t.encode().split())[1], 1)
+            shares.update([*t.split(), None])
     own = st.fine_table()
     log_char = np.log10((chars + 1) / np.maximum(np.bincount(own, chars + 1, st.SYMBOLS), 1)[own])
+    n = sum(shares.values())
     for i, t in enumerate(texts):
-        assert abs(got[i] - want[i] - log_char[st.read_symbols(t.encode().split())[1]].sum()) < 0.01
+        at, total = 0, 0.0
+        for w in [*t.split(), None]:
+            size = len(w) + 1 if w else 1
+            tree = sum(want[i][at : at + size]) + (sum(log_char[ord(c)] for c in w + " ") if w else 0)
+            total += log10((1 - st.WORD_WEIGHT) * 10**tree + st.WORD_WEIGHT * (shares[w] + 1) / (n + len(shares) + 1))
+            at += size
+        assert abs(got[i] - total) < 0.01
+
+
+def test_held_out_texts_score_better_than_the_base(spark):
+    rows = [r for r in st.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert sum(r.score > r.base_score for r in rows) > 0.8 * len(rows)
+
+
+def test_other_scripts_are_told_apart():
+    one, other = (st.read_symbols([x.encode()])[0].tolist() for x in ("молоко", "дорога"))
+    assert one != other and len({*st.fine_table()[0x430:0x450].tolist()}) > 15 and not {*one, *other} & {55}
+
+
+def test_packed_numbers():
+    for numbers in ([], [0], [-(2**63), -5, 0, 7, 2**63 - 1], list(range(0, 2**42, 2**34))):
+        assert st.unpack(st.pack(np.array(numbers, np.int64))).tolist() == numbers
 
 
 def test_rare_contexts_of_a_large_corpus_are_kept(spark):
