@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
-from shelfmark.llm.common import chunks
+from shelfmark.llm.common import chunks, small_batches
 
 #: Characters of a leaf that is encoded without being halved.
 LEAF_CHARS = 1024
@@ -117,6 +118,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     and further columns of docs are left out, whatever their names. Nothing is
     shuffled and one text is held at a time, however long.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +132,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """All columns of encoded, and decoded (binary): the bytes of ids_col. Null ids give null."""
-    schema = encoded.schema.simpleString()[len("struct<") : -1]
-    if "decoded" in encoded.columns:
-        raise ValueError("decoded is the name of the result")
+    """All columns of encoded, and decoded (binary): the bytes of ids_col. Null ids give null.
+
+    A column named decoded is replaced, unless it holds the ids. Rows are independent, an empty table gives an empty one.
+    """
+    small_batches(encoded.sparkSession)
+    if "decoded" in encoded.columns and ids_col != "decoded":
+        encoded = encoded.drop("decoded")
     at = encoded.columns.index(ids_col)
+    own = encoded.toDF(*[f"c{i}" for i in range(len(encoded.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = codec(path, pattern)
@@ -142,10 +148,12 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
             out = [None if x is None else tree.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column(at).to_pylist()]
             yield _with(batch, ["decoded"], [pa.array(out, pa.binary())])
 
-    return encoded.mapInArrow(run, f"{schema}, decoded:binary".replace(":", " "))
+    names = encoded.columns
+    done = own.mapInArrow(run, StructType(own.schema.fields[:]).add("decoded", BinaryType()))
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != "decoded"], "decoded")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs; see encode()."""
     both = decode(encode(docs, path, pattern), path, pattern)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -52,8 +52,10 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     """All columns of pairs but chosen and rejected (arrays of turns), and prompt_turns, prompt,
     chosen, chosen_mask, rejected and rejected_mask.
 
-    A null conversation counts as one without turns. Two equal conversations
-    give two empty completions.
+    Columns of pairs with these names are replaced; all others stay. A null
+    conversation counts as one without turns. Two equal conversations give two
+    empty completions. Pairs are formatted one by one, so repeated ones too; an
+    empty table gives an empty one. Texts are rendered whole, however long.
     """
     none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
     names = [c for c in pairs.columns if c not in ("chosen", "rejected", "prompt_turns", "prompt", "chosen_mask", "rejected_mask")]

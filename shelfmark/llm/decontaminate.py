@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import chunks
+from shelfmark.llm.common import chunks, small_batches
 
 #: Words of a document phrase that counts as an occurrence.
 WINDOW = 10
 #: Words of one shard.
 SHARD_WORDS = 1 << 21
-#: Benchmark items searched in one pass over the corpus.
-BLOCK_ITEMS = 20_000
+#: Benchmark items, and bytes of their texts, that are sent to the workers for one pass over the corpus.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 4 << 20
 #: Every position that is a multiple of this is sampled.
 SAMPLE_RATE = 16
 ROWS = 1024
@@ -149,15 +149,25 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.symbol: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners[tuple(ids[at : at + window])].add(item)
-        by_length = defaultdict(list)
-        for phrase in owners:
-            by_length[len(phrase)].append(phrase)
-        self.groups = [(n, np.array(rows, np.int64), [sorted(owners[p]) for p in rows]) for n, rows in sorted(by_length.items())]
+        self.names = [item for item, _ in items]
+        windows: dict[int, list[np.ndarray]] = defaultdict(list)
+        owners: dict[int, list[np.ndarray]] = defaultdict(list)
+        for at, (_, text) in enumerate(items):
+            words = words_of(text)
+            if words:
+                ids = np.fromiter((self.symbol.setdefault(w, len(self.symbol) + 1) for w in words), np.int32, len(words))
+                own = np.lib.stride_tricks.sliding_window_view(ids, min(window, len(ids)))
+                windows[own.shape[1]].append(own)
+                owners[own.shape[1]].append(np.full(len(own), at))
+        #: Of each length its phrases, and (first, owner): phrase p is in the items owner[first[p] : first[p + 1]].
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in sorted(windows):
+            phrases, phrase = np.unique(np.concatenate(windows[length]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([phrase.ravel(), np.concatenate(owners[length])], 1), axis=0)
+            self.groups.append((length, phrases, np.searchsorted(pairs[:, 0], np.arange(len(phrases) + 1)), pairs[:, 1]))
+
+    def items_of(self, first: np.ndarray, owner: np.ndarray, phrase: int) -> list[str]:
+        return [self.names[i] for i in owner[first[phrase] : first[phrase + 1]].tolist()]
 
 
 def _shard_hits(phrases: Phrases, docs: list[np.ndarray]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
@@ -173,7 +183,7 @@ def _shard_hits(phrases: Phrases, docs: list[np.ndarray]) -> tuple[list[list[tup
         return spans, items
     index = FMIndex(text, len(phrases.symbol) + 1)
     edge = np.zeros(len(text) + 1, np.int64)
-    for length, rows, owners in phrases.groups:
+    for length, rows, first, owner in phrases.groups:
         found, low, high = index.search(rows)
         if not len(found):
             continue
@@ -184,7 +194,7 @@ def _shard_hits(phrases: Phrases, docs: list[np.ndarray]) -> tuple[list[list[tup
         np.add.at(edge, places + length, -1)
         doc = np.searchsorted(starts, places, side="right") - 1
         for d, phrase in np.unique(np.stack([doc, np.repeat(found, many)], 1), axis=0).tolist():
-            items[d].update(owners[phrase])
+            items[d].update(phrases.items_of(first, owner, phrase))
     covered = np.cumsum(edge[:-1]) > 0
     turns = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
     for a, b in turns.reshape(-1, 2).tolist():
@@ -209,11 +219,17 @@ def _merge(one: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[tup
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[str, str]]]:
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
     block: list[tuple[str, str]] = []
+    n_bytes = 0
     for item, text in rows.toLocalIterator():
+        n = len(text.encode("utf-8", "surrogatepass"))
+        if block and n_bytes + n > BLOCK_BYTES:
+            yield block
+            block, n_bytes = [], 0
         block.append((item, text))
+        n_bytes += n
         if len(block) == size:
             yield block
-            block = []
+            block, n_bytes = [], 0
     if block:
         yield block
 
@@ -229,11 +245,13 @@ def find_contamination(
     on either side gives no hits. Items with a null id or text, or no words,
     match nothing; items that share an id count as one. Columns of docs named
     n_words, spans or items are replaced. A benchmark of more than block_items
-    rows is searched block by block, each in a pass of its own; one block is
-    all that is ever sent to the workers. Nothing is shuffled. carry_text=False
-    leaves the text column out of the result.
+    rows or BLOCK_BYTES of text is searched block by block, each in a pass of its
+    own; one block is all that is ever sent to the workers. Nothing is shuffled.
+    Texts are read whole, however long. carry_text=False leaves the text column
+    out of the result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     out = docs.select(*own).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"), "items": F.lit(None).cast("array<string>")})
     text_at = own.index(text_col)

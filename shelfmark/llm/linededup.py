@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise
+from shelfmark.llm.common import SPACES, materialise
 
 #: A line is boilerplate on more than this share of a host's pages ...
 MAX_RATIO = 0.03
 #: ... if it stands on so many of them at least.
 MIN_PAGES = 5
-#: Hosts with boilerplate lines that are sent to all workers; more are joined by shuffle.
-MAX_SENT_HOSTS = 20_000
+#: Boilerplate lines (8 bytes each) that are sent to all workers; more are joined by shuffle.
+MAX_SENT_LINES = 500_000
 #: Parts into which the pages of one host are dealt when joined by shuffle.
 SALTS = 64
 
@@ -31,6 +31,11 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _told(line: Column) -> Column:
+    """Whether a line has more than ASCII white space."""
+    return F.translate(line, SPACES, "") != ""
+
+
 def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line_hash, n_pages, host_pages): the lines of each host that exceed the ratio.
 
@@ -39,7 +44,7 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float =
     """
     rows = pages.select(host.alias("host"), text.alias("text"))
     totals = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
-    hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
+    hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _told), lambda x: F.xxhash64(x)))
     counts = rows.select("host", F.explode(hashes).alias("line_hash")).groupBy("host", "line_hash").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
     totals = totals.withColumnRenamed("host", "total_host")
     return counts.join(totals, counts["host"].eqNullSafe(totals["total_host"])).where(F.col("n_pages") > F.lit(max_ratio) * F.col("host_pages")).select("host", "line_hash", "n_pages", "host_pages")
@@ -51,13 +56,14 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str, max_ratio: f
     Null texts stay null and empty ones empty, with no lines dropped; lines of
     white space only are always kept. Repeated pages count as often as they
     occur. Columns named n_lines or n_dropped are replaced; an empty table
-    gives an empty one.
+    gives an empty one. Texts are read whole, however long. Lines are counted
+    when this is called.
     """
     own = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     rows = pages.select(F.struct(*own).alias("page"), host.alias("site"), F.col(text_col).alias("body"))
-    found = boilerplate(rows, F.col("site"), F.col("body"), max_ratio, min_pages)
-    per_host = materialise(found.groupBy("host").agg(F.collect_set("line_hash").alias("drop")), "boilerplate")
-    if per_host.limit(MAX_SENT_HOSTS + 1).count() <= MAX_SENT_HOSTS:
+    found = materialise(boilerplate(rows, F.col("site"), F.col("body"), max_ratio, min_pages).select("host", "line_hash"), "boilerplate")
+    per_host = found.groupBy("host").agg(F.collect_set("line_hash").alias("drop"))
+    if found.limit(MAX_SENT_LINES + 1).count() <= MAX_SENT_LINES:
         joined = rows.join(F.broadcast(per_host), rows["site"].eqNullSafe(per_host["host"]), "left")
     else:
         # A host may hold a third of all pages: its list is repeated for each part of them.
@@ -65,8 +71,11 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str, max_ratio: f
         lists = per_host.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
         joined = salted.join(lists, salted["site"].eqNullSafe(lists["host"]) & (salted["salt"] == lists["part"]), "left")
     lines = _lines(F.col("body"))
-    left = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop", F.xxhash64(x)) | (F.trim(x) == "")))
-    out = joined.select("page", lines.alias("lines"), left.alias("left"))
+    # A page has few of its host's lines: those it has are found by hash, and then each line is held against them only.
+    hit = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col("drop"))
+    out = joined.select("page", lines.alias("lines"), F.when(F.col("drop").isNotNull(), hit).alias("hit"))
+    left = F.when(F.coalesce(F.size("hit"), F.lit(0)) <= 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("hit", F.xxhash64(x)) | ~_told(x)))
+    out = out.select("page", "lines", left.alias("left"))
     return out.select(
         *[(F.array_join("left", "\n") if c == text_col else F.col("page")[c]).alias(c) for c in own], F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).cast("long").alias("n_dropped")
     )
@@ -82,7 +91,8 @@ VERDICTS_SQL = f"""
 WITH rows AS (SELECT doc_id, source, text, row_number() OVER () AS r FROM documents),
 lines AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM rows),
 totals AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
-counts AS (SELECT source, line, count(DISTINCT r) AS n_pages FROM lines WHERE trim(line) <> '' GROUP BY source, line),
+counts AS (SELECT source, line, count(DISTINCT r) AS n_pages FROM lines
+  WHERE translate(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> '' GROUP BY source, line),
 boiler AS (
   SELECT c.source, c.line FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
   WHERE c.n_pages >= {MIN_PAGES} AND c.n_pages > CAST({MAX_RATIO} AS DOUBLE) * t.host_pages),
@@ -95,7 +105,10 @@ FROM rows LEFT JOIN joined USING (r)
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs with the boilerplate lines of each source dropped; its own columns, n_chars as of the text left."""
-    done = drop_boilerplate(docs, F.col("source"), "text").select(*docs.columns)
-    if "n_chars" in docs.columns:
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    source, text = (f"c{names.index(c)}" for c in ("source", "text"))
+    done = drop_boilerplate(plain, F.col(source), text).select(*plain.columns).toDF(*names)
+    if "n_chars" in names:
         done = done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
     return done

@@ -116,6 +116,11 @@ def _listed(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["stop"].cast("string")))
 
 
+def _row(key: Column, text: Column) -> Column:
+    """What tells a row by id and text: 128 bits."""
+    return F.struct(F.xxhash64(key, text).alias("a"), F.xxhash64(text, key).alias("b"))
+
+
 def _terms(text: Column) -> Column:
     """Distinct lower-cased words of letters, long enough to tell."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\P{L}+", -1), lambda w: F.length(w) >= MIN_TERM_CHARS))
@@ -171,10 +176,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null text counts as empty. row is a hash of id and text: rows alike in both
     share it and their spans; repeated and null ids are rows like all others.
-    An empty table gives an empty result; other columns are not looked at.
+    An empty table gives an empty result; other columns are not looked at. Texts
+    are read whole, however long. Entities and terms are counted when this is called.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"row": F.xxhash64("id", "text"), "text_hash": F.xxhash64("text")})
+    rows = rows.withColumns({"row": _row(F.col("id"), F.col("text")), "text_hash": F.xxhash64("text")})
     base = materialise(base_spans(rows, "text").drop("text"), "spans")
     terms = materialise(disclosing_terms(rows, "text", base), "terms")
     where = term_spans(rows.select("row", "text"), "text", "row", terms).withColumnRenamed("spans", "term")
@@ -209,7 +215,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     swaps = found.select("row", F.array_sort(F.concat(*base, more)).alias("swaps")).where(F.size("swaps") > 0)
     keyed = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = (f"c{names.index(c)}" for c in (id_col, text_col))
-    joined = keyed.withColumn("row", F.xxhash64(key, F.coalesce(F.col(text).cast("string"), F.lit("")))).join(swaps, "row", "left")
+    joined = keyed.withColumn("row", _row(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")))).join(swaps, "row", "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, s: Column) -> Column:

@@ -15,6 +15,7 @@ by a 128-bit digest, through an aggregation that adds up before it shuffles.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import chunks, materialise, window_hashes
+from shelfmark.llm.common import chunks, materialise, small_batches, window_hashes
 from shelfmark.llm.neardup import hashes_of
 
 WIDTH = 50
 #: Words of the grams among which a minimiser is chosen.
 GRAM = 8
-#: Documents from which a minimiser's windows are dealt out singly.
-HOT_DOCS = 4000
+#: Super-k-mers beyond which a minimiser's windows are dealt out singly: its bucket would not fit one task.
+HOT_RUNS = 4000
 ROWS = 256
 
 
@@ -61,18 +62,19 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _minimisers(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(mini, doc_id): each distinct minimiser of each document."""
+    """(mini, doc_id, runs): each distinct minimiser of each document, and of how many super-k-mers it is that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, ROWS):
-            minis, ids = [], []
+            minis, ids, runs = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {m for m, _, _ in super_kmers(words_of(text), width, gram)}
+                found = Counter(m for m, _, _ in super_kmers(words_of(text), width, gram))
                 minis += found
+                runs += found.values()
                 ids += [doc] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(minis, pa.int64()), pa.array(ids, pa.int64())], names=["mini", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (minis, ids, runs)], names=["mini", "doc_id", "runs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "mini long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "mini long, doc_id long, runs long")
 
 
 def _packed(rows: DataFrame, hot: bool, width: int, gram: int) -> DataFrame:
@@ -108,8 +110,8 @@ def _packed(rows: DataFrame, hot: bool, width: int, gram: int) -> DataFrame:
     return rows.where(F.size("shared") > 0).select("row", "doc_id", "text", "shared").mapInArrow(normal, "mini long, doc_id long, row long, at int, packed binary")
 
 
-def _bucket_ranges(bucket: list[tuple[int, int, int, bytes]], width: int) -> Iterator[tuple[int, int, int]]:
-    """(row, first word, last word + 1) that the windows of one bucket remove; bucket holds (doc, row, at, packed)."""
+def _bucket_ranges(bucket: list[tuple[int, int, int, bytes]], width: int) -> Iterator[tuple[int, int, int, int]]:
+    """(doc, row, first word, last word + 1) that the windows of one bucket remove; bucket holds (doc, row, at, packed)."""
     windows: list[tuple[bytes, int, int, int]] = []
     for doc, row, at, packed in bucket:
         ends = np.flatnonzero(np.frombuffer(packed + b" ", np.uint8) == 32)
@@ -122,20 +124,20 @@ def _bucket_ranges(bucket: list[tuple[int, int, int, bytes]], width: int) -> Ite
         if window != before:
             before, first = window, doc
         elif doc > first:
-            yield row, at, at + width
+            yield doc, row, at, at + width
 
 
 def _bucket_scan(packed: DataFrame, width: int) -> DataFrame:
     """Removed ranges from buckets sorted by minimiser."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ranges: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            by_row: dict[int, list[tuple[int, int]]] = {}
-            for row, a, b in ranges:
-                by_row.setdefault(row, []).append((a, b))
-            flat = [(row, a, b) for row, found in by_row.items() for a, b in _union(found)]
-            columns = list(zip(*flat)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "start", "stop"])
+        def out(ranges: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+            by_row: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for doc, row, a, b in ranges:
+                by_row.setdefault((doc, row), []).append((a, b))
+            flat = [(*row, a, b) for row, found in by_row.items() for a, b in _union(found)]
+            columns = list(zip(*flat)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "row", "start", "stop"])
 
         at_mini, bucket, ranges = None, [], []
         for batch in chunks(batches, 1024):
@@ -152,10 +154,10 @@ def _bucket_scan(packed: DataFrame, width: int) -> DataFrame:
             ranges += _bucket_ranges(bucket, width)
         yield out(ranges)
 
-    return packed.mapInArrow(run, "row long, start long, stop long")
+    return packed.mapInArrow(run, "doc_id long, row long, start long, stop long")
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot_docs: int = HOT_DOCS) -> DataFrame:
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(row, doc_id, text, ranges) of the rows from which something is removed.
 
     ranges are the words, (start, stop) with stop exclusive, covered by windows
@@ -163,13 +165,15 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text: rows alike in both share it and their verdict. Rows that share an id
     are one document to each other and never remove each other's words. Rows
     with a null id neither lose words nor make others lose any; null and short
-    texts have no windows. Texts are judged whole, as they came in.
+    texts have no windows. Texts are judged whole, as they came in, however long;
+    an empty table gives an empty result. Minimisers are counted when this is called.
     """
+    small_batches(docs.sparkSession)
     gram = min(gram, width)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     minis = _minimisers(own, width, gram)
-    shared = minis.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    shared = materialise(shared.select("mini", (F.col("n") > hot_docs).alias("is_hot")), "shared")
+    shared = minis.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("runs").alias("n")).where("lo < hi")
+    shared = materialise(shared.select("mini", (F.col("n") > hot_runs).alias("is_hot")), "shared")
     mine = minis.join(shared, "mini").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("is_hot"), F.col("mini"))).alias("shared"), F.collect_set(F.when(F.col("is_hot"), F.col("mini"))).alias("hot"))
     rows = own.withColumn("row", F.xxhash64("doc_id", "text")).join(mine, "doc_id").select("row", "doc_id", "text", "shared", "hot")
     rows = materialise(rows, "candidates")
@@ -180,21 +184,22 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = _bucket_scan(buckets, width)
     if shared.where("is_hot").take(1):
         single = materialise(_packed(rows, True, width, gram), "windows")
-        first = single.groupBy("window").agg(F.min("doc_id").alias("first"))
-        again = single.join(first, "window").where("doc_id > first")
-        ranges = ranges.unionByName(again.select("row", F.col("at").cast("long").alias("start"), (F.col("at") + width).cast("long").alias("stop")))
+        # First documents are added up task by task and then written, so that the join may split the rows of one window.
+        first = single.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
+        again = single.join(materialise(first, "first"), "window").where("doc_id > first")
+        ranges = ranges.unionByName(again.select("doc_id", "row", F.col("at").cast("long").alias("start"), (F.col("at") + width).cast("long").alias("stop")))
     # Ranges of a row are at most its words.
-    per_row = ranges.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    return rows.dropDuplicates(["row"]).join(per_row, "row").select("row", "doc_id", "text", "ranges")
+    per_row = ranges.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    return rows.dropDuplicates(["doc_id", "row"]).join(per_row, ["doc_id", "row"]).select("row", "doc_id", "text", "ranges")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """(row, n_removed, kept): what is left of each text, its words joined by one space."""
+    """(doc_id, row, n_removed, kept): what is left of each text, its words joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, ROWS):
             removed, kept = [], []
-            for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words, at, left = words_of(text), 0, []
                 for a, b in _union([(r["start"], r["stop"]) for r in ranges]):
                     left += words[at:a]
@@ -202,9 +207,9 @@ def _cut(rows: DataFrame) -> DataFrame:
                 left += words[at:]
                 removed.append(len(words) - len(left))
                 kept.append(b" ".join(left))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["row", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "row", "n_removed", "kept"])
 
-    return rows.select("row", "text", "ranges").mapInArrow(run, "row long, n_removed long, kept binary")
+    return rows.select("doc_id", "row", "text", "ranges").mapInArrow(run, "doc_id long, row long, n_removed long, kept binary")
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -222,16 +227,17 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of docs; see repeated_ranges()."""
-    cut = _cut(repeated_ranges(docs)).select("row", "n_removed", F.sha2("kept", 256).alias("cut_sha256"))
-    out = _whole(docs).join(cut, "row", "left")
+    cut = _cut(repeated_ranges(docs)).select(F.col("doc_id").alias("cut_id"), F.col("row").alias("cut_row"), "n_removed", F.sha2("kept", 256).alias("cut_sha256"))
+    out = _whole(docs).join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.col("row") == F.col("cut_row")), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """docs with the repeated words removed; a text that loses some has its other words joined by one space."""
     names = docs.columns
-    cut = _cut(repeated_ranges(docs, id_col, text_col, width)).select("row", F.col("kept").cast("string").alias("kept"))
+    cut = _cut(repeated_ranges(docs, id_col, text_col, width)).select(F.col("doc_id").alias("cut_id"), "row", F.col("kept").cast("string").alias("kept"))
     keyed = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = (f"c{names.index(c)}" for c in (id_col, text_col))
-    joined = keyed.withColumn("row", F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))).join(cut, "row", "left")
+    keyed = keyed.withColumn("own_row", F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")))
+    joined = keyed.join(cut, (F.col("own_row") == F.col("row")) & (F.col(key).cast("long") == F.col("cut_id")), "left")
     return joined.select(*[(F.coalesce("kept", text) if f"c{i}" == text else F.col(f"c{i}")).alias(f"c{i}") for i in range(len(names))]).toDF(*names)

@@ -31,7 +31,7 @@ def canonical_url(url: Column) -> Column:
 
 
 def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
-    """One row for each revisit: record_id, url_key, response_id, outcome, headers and payload_ref.
+    """One row for each revisit: record_id, url_key, response_id, outcome and headers.
 
     records has record_id (long), url, ts (long), kind ("response" or "revisit"),
     etag, last_modified and headers (map of lower-case names). The latest
@@ -40,15 +40,20 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     the dates of modification do not disagree; "mismatch" if they do; "missing"
     without an earlier response, or without a URL or time. headers are those of
     the response, replaced by the revisit's where a 304 response may. Repeated
-    revisits are resolved one by one; null maps count as empty.
+    revisits are resolved one by one; null maps count as empty. Other columns are
+    not looked at, and a table without revisits gives an empty result.
     """
-    r = records.withColumns({"url_key": canonical_url(F.col("url")), "slot": F.floor(F.col("ts") / span)})
+    r = records.select("record_id", "url", "ts", "kind", "etag", "last_modified", "headers")
+    r = r.withColumns({"url_key": canonical_url(F.col("url")), "slot": F.floor(F.col("ts") / span)})
     body = F.struct("ts", "record_id", "etag", "last_modified", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
     responses = r.where("kind = 'response' and url_key is not null and ts is not null").select("url_key", "slot", "ts", "record_id", body.alias("found"))
-    revisits = r.where("kind = 'revisit'")
+    asked = r.where("kind = 'revisit'")
+    # Without URL or time there is nothing to look up; such rows stay out of the windows, where they would meet in one task.
+    lost = asked.where("url_key is null or ts is null").select("record_id", "url_key", F.lit(None).cast("long").alias("response_id"), F.lit("missing").alias("outcome"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
+    revisits = asked.where("url_key is not null and ts is not null")
     # Last response of a span: the map in the struct has no order, so time and id choose it.
     last = responses.groupBy("url_key", "slot").agg(F.max_by("found", F.struct("ts", "record_id")).alias("last"))
-    slots = last.select("url_key", "slot", "last").unionByName(revisits.where("url_key is not null and ts is not null").select("url_key", "slot").distinct().withColumn("last", F.lit(None).cast(last.schema["last"].dataType)))
+    slots = last.select("url_key", "slot", "last").unionByName(revisits.select("url_key", "slot").distinct().withColumn("last", F.lit(None).cast(last.schema["last"].dataType)))
     slots = slots.groupBy("url_key", "slot").agg(F.first("last", ignorenulls=True).alias("last"))
     before = Window.partitionBy("url_key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = slots.select("url_key", "slot", F.last("last", ignorenulls=True).over(before).alias("carried"))
@@ -58,14 +63,15 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     )
     within = Window.partitionBy("url_key", "slot").orderBy("ts", "late", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.last("found", ignorenulls=True).over(within)).where("late = 0").select("url_key", "slot", "ts", "record_id", "own", "near")
-    joined = near.join(carried, ["url_key", "slot"], "left").withColumn("hit", F.when(F.col("url_key").isNotNull() & F.col("ts").isNotNull(), F.coalesce("near", "carried")))
+    joined = near.join(carried, ["url_key", "slot"], "left").withColumn("hit", F.coalesce("near", "carried"))
     tags = F.col("own.etag").isNotNull() & F.col("hit.etag").isNotNull()
     agree = F.when(tags, F.col("own.etag") == F.col("hit.etag")).otherwise(F.coalesce(F.col("own.last_modified") == F.col("hit.last_modified"), F.lit(True)))
     outcome = F.when(F.col("hit").isNull(), "missing").when(agree, "resolved").otherwise("mismatch")
     may = F.map_filter("own.headers", lambda k, v: ~F.lower(k).isin(*KEPT_HEADERS))
     stays = F.map_filter("hit.headers", lambda k, v: ~F.map_contains_key(may, k))
     resolved = joined.withColumn("outcome", outcome)
-    return resolved.select("record_id", "url_key", F.when(F.col("outcome") == "resolved", F.col("hit.record_id")).alias("response_id"), "outcome", F.when(F.col("outcome") == "resolved", F.map_concat(stays, may)).otherwise(F.col("own.headers")).alias("headers"))
+    found = resolved.select("record_id", "url_key", F.when(F.col("outcome") == "resolved", F.col("hit.record_id")).alias("response_id"), "outcome", F.when(F.col("outcome") == "resolved", F.map_concat(stays, may)).otherwise(F.col("own.headers")).alias("headers"))
+    return found.unionByName(lost)
 
 
 def page_records(pages: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def test_repeated_passages(docs, hot):
         hit = {j for i in range(len(w) - 49) if d is not None and first[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}
         if hit:
             want.add((d, len(hit)))
-    got = substrings._cut(substrings.repeated_ranges(docs, hot_docs=hot)).collect()
+    got = substrings._cut(substrings.repeated_ranges(docs, hot_runs=hot)).collect()
     owner = {r.row: r.doc_id for r in substrings._whole(docs).collect()}
     assert {(owner[r.row], r.n_removed) for r in got} == want
 
@@ -149,7 +149,7 @@ def test_model_is_a_distribution():
 
     rnd = np.random.default_rng(1)
     codes, n = np.unique(rnd.integers(0, 32**4, 5000), return_counts=True)
-    table = quality.KneserNey.fit({3: (codes, n)}).dense(3)
+    table = quality.KneserNey.fit({3: (codes, n)}).look_up(3, np.arange(32**4))
     assert np.allclose((10.0 ** table.astype(np.float64)).reshape(-1, 32).sum(1), 1, atol=1e-3)
 
 

@@ -17,7 +17,7 @@ def plainly(kept):
     docs = [list(r) for r in duckdb.sql(f"SELECT doc_id, text, source FROM '{DIR}/documents.parquet'").fetchall() if r[0] in kept]
     pages, seen = Counter(s for _, _, s in docs), Counter()
     for _, text, source in docs:
-        seen.update((source, x) for x in {x for x in text.split("\n") if x.strip(" ")})
+        seen.update((source, x) for x in {x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")})
     for d in docs:
         drop = {x for s, x in seen if s == d[2] and seen[s, x] >= linededup.MIN_PAGES and seen[s, x] > linededup.MAX_RATIO * pages[s]}
         d[1] = "\n".join(x for x in d[1].split("\n") if x not in drop)
