@@ -56,7 +56,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Its jobs run when it is called; a stage's table is deleted once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for at, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage{at}")
+        docs = materialise(stage(spark, docs, sf_dir), f"stage{at}", instead_of=docs if at else None)
     return docs
