@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for each shard of the corpus.
 
-A shard is some millions of consecutive words of whole documents. Its words
+A shard is half a million consecutive words, or more, of whole documents. Its words
 become integers; every word that no test phrase contains, and every document
 end, becomes a sentinel of its own that matches nothing and settles the order
 of the suffixes it starts. The suffix array comes from prefix doubling, the
@@ -24,8 +24,8 @@ from shelfmark.llm.common import chunks, small_batches
 
 #: Words of a document phrase that counts as an occurrence.
 WINDOW = 10
-#: Words of one shard.
-SHARD_WORDS = 1 << 21
+#: Words of one shard; building its index takes some 100 bytes of memory a word.
+SHARD_WORDS = 1 << 19
 #: Benchmark items, and bytes of their texts, that are sent to the workers for one pass over the corpus.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 4 << 20
 #: Every position that is a multiple of this is sampled.
