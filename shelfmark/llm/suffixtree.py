@@ -50,7 +50,7 @@ FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 16 << 20
 ROWS = 256
 #: Strings that are counted at a time.
-CODES = 2_000_000
+CODES = 1_000_000
 #: Distinct strings, and distinct words, that a counting task holds before it passes them on.
 MAX_HELD, MAX_HELD_WORDS = 3_000_000, 300_000
 #: Parts of the tree at most, and what stands in their place for counts of code points and of ends.
