@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import uuid
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -73,6 +74,27 @@ def sent_if_few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What this Python worker remembers for one operator; that of another operator is forgotten first."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end the worker, which lives on idle beside others, gives freed memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def lower_ascii(text: str | None) -> bytes:
     """UTF-8 with A-Z lower-cased and nothing else changed."""
     return (text or "").encode("utf-8", "surrogatepass").lower()
@@ -115,7 +137,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
 
 def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`."""
-    for batch in batches:
+    for batch in tidied(batches):
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import chunks, forget, lower_ascii, materialise, mix64, odd_multipliers, sent_if_few, small_batches, window_hashes
+from shelfmark.llm.common import chunks, forget, lower_ascii, materialise, mix64, odd_multipliers, sent_if_few, small_batches, window_hashes, worker_cache
 
 #: Words of a shingle, and the similarity in per cent from which documents are linked.
 SHINGLE_WORDS = 5
@@ -49,19 +49,15 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-@lru_cache(maxsize=1)
-def word_cache() -> WordHashes:
-    return WordHashes()
-
-
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(word_cache().__getitem__, words), np.uint64, len(words))
+    known = worker_cache("words").setdefault("hashes", WordHashes())
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
