@@ -162,24 +162,34 @@ def media_label(mime: Column) -> Column:
     return out.otherwise(_titleized(sub))
 
 
-_SEASON_EPISODE = r"^(.*?)\b[Ss](\d{1,4})[ ._]?[Ee](\d{1,6})(?:-\d{1,6})?\b(.*)$"
-_N_BY_N = r"^(.*?)\b(\d{1,2})x(\d{1,4})\b(.*)$"
+# How a season and an episode are written, the tag at a name's end, the year of a show, and what separates parts of a name.
+EPISODE_CODES = (r"\b[Ss](\d{1,4})[ ._]?[Ee](\d{1,6})(?:-\d{1,6})?\b", r"\b(\d{1,2})x(\d{1,4})\b")
+END_TAG, SHOW_YEAR = r"\s*[\[(][^\])]*[\])]\s*$", r"\s*\((?:19|20)\d{2}\)\s*$"
+SEPARATORS = " \t._-–—"
 
 
-def _clean_part(c: Column) -> Column:
-    edge = F.regexp_replace(F.trim(c), r"^[\s._\-–—]+|[\s._\-–—]+$", "")
-    return F.when(F.contains(edge, F.lit(" ")), edge).otherwise(F.trim(F.regexp_replace(edge, r"[._]+", " ")))
+def _spaced(part: Column) -> Column:
+    """Dots and underscores read as spaces, in a part of a name that has no spaces."""
+    return F.when(F.contains(part, F.lit(" ")), part).otherwise(F.trim(F.regexp_replace(part, r"[._]+", " ")))
 
 
 def tv_episode(name: Column, folder: Column, parent: Column) -> Column:
-    """(series, season, episode, title) of a file name without extension; null if it names none."""
-    base = F.trim(F.regexp_replace(name, r"\s*[\[\(][^\]\)]*[\]\)]\s*$", ""))
-    pattern = lambda i: F.when(base.rlike(_SEASON_EPISODE), F.regexp_extract(base, _SEASON_EPISODE, i)).when(base.rlike(_N_BY_N), F.regexp_extract(base, _N_BY_N, i))
-    show = F.when(F.trim(folder).rlike(SEASON_FOLDER), parent).otherwise(folder)
-    show = F.trim(F.regexp_replace(F.trim(F.coalesce(show, F.lit(""))), r"\s*\((?:19|20)\d{2}\)\s*$", ""))
-    show = F.when(F.contains(show, F.lit(" ")), show).otherwise(F.trim(F.regexp_replace(show, r"[._]+", " ")))
-    series, title = _clean_part(pattern(1)), _clean_part(pattern(4))
-    found = F.struct(
-        F.when(series == "", show).otherwise(series).alias("series"), pattern(2).try_cast("int").alias("season"), pattern(3).try_cast("int").alias("episode"), F.nullif(title, F.lit("")).alias("title")
-    )
-    return F.when(pattern(2).isNotNull(), found)
+    """(series, season, episode, title) of a file name without extension; null if it names none.
+
+    The first code in the name tells season and episode; what stands before it is
+    the series, what follows the title. Without the former the folder gives the
+    series, or the one above if the folder is a season's.
+    """
+    base = F.trim(F.regexp_replace(name, END_TAG, ""))
+    parsed = F.lit(None)
+    show = F.trim(F.coalesce(F.when(F.trim(folder).rlike(SEASON_FOLDER), parent).otherwise(folder), F.lit("")))
+    show = _spaced(F.trim(F.regexp_replace(show, SHOW_YEAR, "")))
+    for code in reversed(EPISODE_CODES):
+        at, whole = F.regexp_instr(base, F.lit(code)), F.regexp_extract(base, code, 0)
+        before = _spaced(F.btrim(F.substring(base, F.lit(1), at - 1), F.lit(SEPARATORS)))
+        after = _spaced(F.btrim(F.substring(base, at + F.length(whole), F.length(base)), F.lit(SEPARATORS)))
+        one = F.struct(
+            F.when(before == "", show).otherwise(before).alias("series"), F.regexp_extract(base, code, 1).try_cast("int").alias("season"), F.regexp_extract(base, code, 2).try_cast("int").alias("episode"), F.nullif(after, F.lit("")).alias("title")
+        )
+        parsed = F.when(at > 0, one).otherwise(parsed)
+    return parsed

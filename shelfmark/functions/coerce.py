@@ -15,10 +15,18 @@ UNITS = [
 # Machine types of portable executables.
 PE_MACHINES = {332: "x86-32", 34404: "x86-64", 512: "IA-64", 43620: "ARM64", 448: "ARM", 452: "ARM-Thumb2"}
 
+# Patterns of quantities and of numbers, and formats of dates.
 QUANTITY = r"^([+-]?[0-9][0-9,]*(?:\.[0-9]+)?)\s*([a-zA-Z/]+)?"
 FLOAT = r"^[+-]?(?:[0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
-ISO_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[XXX]", "yyyy-MM-dd HH:mm:ss[XXX]", "yyyy-MM-dd'T'HH:mm:ss.SSS[XXX]", "yyyy-MM-dd", "yyyy-MM", "yyyy")
+ISO_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[XXX]", "yyyy-MM-dd HH:mm:ss[XXX]", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS[XXX]", "yyyy-MM-dd", "yyyy-MM", "yyyy")
 EXIF_FORMATS = ("yyyy:MM:dd HH:mm:ss[XXX]", "yyyy:MM:dd")
+#: Tried when the exact formats fail; a name of a weekday in front does not matter.
+LENIENT_FORMATS = (
+    "yyyy-MM-dd'T'HH:mm[XXX]", "yyyy-MM-dd HH:mm[XXX]", "yyyy-MM-dd HH:mm:ss.SSSSSSSSS[XXX]", "yyyy/M/d[ HH:mm[:ss]]", "M/d/yyyy[ HH:mm[:ss]]",
+    "d MMM yyyy[ HH:mm[:ss]][ XXX]", "d MMMM yyyy[ HH:mm[:ss]][ XXX]", "MMM d, yyyy[ HH:mm[:ss]]", "MMMM d, yyyy[ HH:mm[:ss]]",
+)
+# Fixed value: what a missing date is written as.
+PLACEHOLDER_DATE = r"^\s*(?:0000|1904-01-01|1904:01:01|1970-01-01|1970:01:01)"
 
 
 def strip(c: Column) -> Column:
@@ -50,8 +58,22 @@ def floating(c: Column) -> Column:
 
 
 def seconds(c: Column) -> Column:
-    """A number of seconds, or hours:minutes:seconds."""
-    return F.coalesce(floating(c), _clock(strip(c), (3,)))
+    """A number of seconds, or a span of time."""
+    return F.coalesce(floating(c), time_span(c))
+
+
+#: [days and a dot] hours : minutes [: seconds], or days : hours : minutes : seconds.
+_SPAN = r"^(-)?(?:(\d{1,8})\.)?(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d{1,7})?))?$"
+_LONG_SPAN = r"^(-)?(\d{1,8}):(\d{1,2}):(\d{1,2}):(\d{1,2}(?:\.\d{1,7})?)$"
+
+
+def time_span(c: Column) -> Column:
+    """Seconds of a span of days, hours, minutes and seconds; hours, minutes and seconds stay in their range."""
+    v = strip(c)
+    one = lambda i: F.coalesce(F.nullif(F.when(v.rlike(_LONG_SPAN), F.regexp_extract(v, _LONG_SPAN, i)).otherwise(F.regexp_extract(v, _SPAN, i)), F.lit("")).try_cast("double"), F.lit(0.0))
+    days, hours, minutes, secs = one(2), one(3), one(4), one(5)
+    total = ((days * 24 + hours) * 60 + minutes) * 60 + secs
+    return F.when((v.rlike(_SPAN) | v.rlike(_LONG_SPAN)) & (hours < 24) & (minutes < 60) & (secs < 60), F.when(v.startswith("-"), -total).otherwise(total))
 
 
 def _clock(v: Column, parts: tuple[int, ...]) -> Column:
@@ -61,10 +83,11 @@ def _clock(v: Column, parts: tuple[int, ...]) -> Column:
 
 
 def duration(c: Column) -> Column:
-    """Seconds of "90", "90s", "2:30.5" or "1:23:45"."""
+    """Seconds of "90", "90s", "2:30.5" or "1:23:45", else of a span of time."""
     v = strip(c)
     number = F.regexp_replace(v, r"[sS]$", "")
-    return F.when(F.contains(v, F.lit(":")), _clock(v, (2, 3))).otherwise(floating(number))
+    few = F.size(F.split(v, ":", -1)).isin(2, 3)
+    return F.when(few, _clock(v, (2, 3))).when(F.contains(v, F.lit(":")), time_span(v)).otherwise(floating(number))
 
 
 def quantity_number(c: Column) -> Column:
@@ -95,9 +118,20 @@ def number(c: Column) -> Column:
     return quantity_number(c)
 
 
+def factory_integer(c: Column) -> Column:
+    """The leading quantity rounded, else a plain whole number; null rejects the value."""
+    return F.coalesce(rounded(quantity_number(c)), integer(c))
+
+
+def factory_float(c: Column) -> Column:
+    return F.coalesce(quantity_number(c), floating(c))
+
+
 def _date(c: Column, formats: tuple[str, ...]) -> Column:
-    v = strip(c)
-    return F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in formats])
+    # No more decimals than can be told; the rest is cut.
+    v = F.regexp_replace(strip(c), r"(\.\d{9})\d+", "$1")
+    plain = F.regexp_replace(F.regexp_replace(v, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"\s+(?i:GMT|UTC)$", " Z")
+    return F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in formats], *[F.try_to_timestamp(plain, F.lit(f)) for f in LENIENT_FORMATS])
 
 
 def iso_date(c: Column) -> Column:
@@ -125,7 +159,7 @@ def meaningful_tag(c: Column) -> Column:
 
 def real_date(c: Column) -> Column:
     """False for the usual placeholders of a missing date."""
-    return ~c.rlike(r"^\s*(?:0000|1904-01-01|1904:01:01|1970-01-01|1970:01:01)")
+    return ~c.rlike(PLACEHOLDER_DATE)
 
 
 def placeholder_time(t: Column) -> Column:

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import classify as c
 from shelfmark.functions.paths import ancestor_dirs, match_key, name_of, parent_dir, stem
+from shelfmark.operators.scratch import stored
 
 
 def real_files(files: DataFrame) -> DataFrame:
-    """files (file_id, path, size, mime) but for directories: rows without a size, and paths that others lie in."""
+    """files (file_id, path, size, mime) but for containers: rows without a size, paths that others lie in,
+    and archives that are the parent_id of others, where files has that column."""
     dirs = files.select(parent_dir(F.col("path")).alias("path")).distinct()
-    return files.where("size is not null").join(dirs, "path", "left_anti")
+    out = files.where("size is not null").join(dirs, "path", "left_anti")
+    if "parent_id" not in files.columns:
+        return out
+    return out.join(files.where("parent_id is not null").select(F.col("parent_id").alias("file_id")).distinct(), "file_id", "left_anti").drop("parent_id")
 
 
 def classified(files: DataFrame) -> DataFrame:
@@ -64,9 +69,10 @@ def associate(files: DataFrame) -> DataFrame:
     """(file_id, path, folder, kind, role, item_id); an item bears the id of its primary file.
 
     Every step groups or joins by folder or root; a folder's ancestors are
-    exploded, so finding the root that owns it is an equi-join.
+    exploded, so finding the root that owns it is an equi-join. The classified
+    files are written once, as all steps read them.
     """
-    own = classified(real_files(files))
+    own = stored(classified(real_files(files)), "classified")
     roots = bundle_roots(own)
     up = own.select("folder").distinct().select("folder", F.explode(F.concat(F.array("folder"), ancestor_dirs(F.col("folder")))).alias("root"))
     owned = up.join(roots, "root", "left_semi").groupBy("folder").agg(F.max_by("root", F.length("root")).alias("root"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.classify import DISC_RIP_EXTENSIONS, folder_is_dedicated, is_season_name, is_structural_name
 from shelfmark.functions.paths import ancestor_dirs, extension, name_of, parent_dir
+from shelfmark.operators.scratch import stored
 
 #: Hops up a chain of parents.
 MAX_HOPS = 64
@@ -31,12 +32,12 @@ def _folder_table(associated: DataFrame) -> DataFrame:
 def fold(associated: DataFrame) -> DataFrame:
     """(folder, parent, depth, is_collection, kind, n_bubbled) of every folder, bottom up.
 
-    One level of depth at a time: a folder needs only sums over its children. kind
-    is null where a folder is no collection; n_bubbled counts the items that a
+    One level of depth at a time: a folder needs only sums over its children. Each
+    level is written, so no plan holds those below it. kind is null where a folder is no collection; n_bubbled counts the items that a
     folder which is none hands to its parent. A structural folder that hands up
     items becomes a collection of its own below a collection.
     """
-    table = _folder_table(associated)
+    table = stored(_folder_table(associated), "folders")
     deepest = table.agg(F.max("depth")).first()[0] or 0
     levels: list[DataFrame] = []
     below: DataFrame | None = None
@@ -54,6 +55,7 @@ def fold(associated: DataFrame) -> DataFrame:
         alone = (F.col("full_kids") == 0) & (F.col("n_items") == 1)
         is_collection = F.when(F.col("structural_kid"), True).when(alone, ~dedicated).otherwise(F.col("full_kids") + F.col("n_items") >= 1)
         below = level.withColumn("is_collection", is_collection).withColumn("n_bubbled", F.when(F.col("is_collection"), 0).otherwise(F.col("n_items"))).select("folder", "parent", "name", "depth", "season_kid", "is_collection", "n_bubbled")
+        below = stored(below, "level")
         levels.append(below)
     if not levels:
         return associated.sparkSession.createDataFrame([], "folder string, parent string, depth int, is_collection boolean, kind string, n_bubbled long")
@@ -64,9 +66,36 @@ def fold(associated: DataFrame) -> DataFrame:
     return every.join(above, "parent", "left").select("folder", "parent", "depth", (F.col("is_collection") | structural).alias("is_collection"), kind.alias("kind"), F.col("n_bubbled").cast("long").alias("n_bubbled"))
 
 
+def owned_files(folded: DataFrame, associated: DataFrame) -> DataFrame:
+    """(file_id, collection, role): the art and .nfo files that lie in the folder of a collection belong to it."""
+    own = associated.where(F.col("kind").isin("CompanionArt", "Nfo")).select("file_id", F.col("folder").alias("collection"), F.when(F.col("kind") == "Nfo", "Sidecar").otherwise("Companion").alias("role"))
+    return own.join(folded.where("is_collection").select(F.col("folder").alias("collection")), "collection", "left_semi").select("file_id", "collection", "role")
+
+
+def item_collections(folded: DataFrame, associated: DataFrame) -> DataFrame:
+    """(item_id, collection): the folder that is the item's collection: its own, else the one above, which it is handed to."""
+    items = associated.where("role = 'Primary' and item_id is not null and folder <> ''").select("item_id", "folder").distinct()
+    own = folded.select("folder", "parent", F.col("is_collection").alias("own"))
+    above = folded.where("is_collection").select(F.col("folder").alias("parent"), F.lit(True).alias("above"))
+    placed = items.join(own, "folder").join(above, "parent", "left")
+    return placed.select("item_id", F.when(F.col("own"), F.col("folder")).when(F.col("above"), F.col("parent")).alias("collection"))
+
+
+def with_manual(folded: DataFrame, manual: DataFrame) -> DataFrame:
+    """(folder, kind, source) of all collections: manual ones (folder, kind), and folded ones where none is pinned by hand."""
+    auto = folded.where("is_collection").join(manual.select("folder"), "folder", "left_anti").select("folder", "kind", F.lit("Auto").alias("source"))
+    return auto.unionByName(manual.select("folder", "kind", F.lit("Manual").alias("source")))
+
+
+def _any_size(spark: SparkSession) -> None:
+    """A walk may return more rows than recursive queries do by default."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+
+
 def tree(nodes: DataFrame) -> DataFrame:
     """(id, root, depth, trail) of nodes (id, parent_id, name), from roots down, MAX_HOPS at most."""
     spark = nodes.sparkSession
+    _any_size(spark)
     return spark.sql(
         f"""WITH RECURSIVE walk(id, root, depth, trail) AS (
               SELECT id, id, 0, name FROM {{nodes}} WHERE parent_id IS NULL
@@ -79,6 +108,7 @@ def tree(nodes: DataFrame) -> DataFrame:
 
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(id, ancestor, hops): each node's chain of parents, nearest first."""
+    _any_size(nodes.sparkSession)
     return nodes.sparkSession.sql(
         f"""WITH RECURSIVE up(id, ancestor, hops) AS (
               SELECT id, parent_id, 1 FROM {{nodes}} WHERE parent_id IS NOT NULL

@@ -27,10 +27,22 @@ def staged(files: DataFrame, min_size: int = MIN_SIZE, prefix: int = PREFIX_BYTE
     return keyed.join(shared, ["size", "prefix_hash"], "left_semi").select("file_id", "path", "size", F.upper(F.sha2(data, 256)).alias("checksum"))
 
 
+def unhashed(files: DataFrame, hashed: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
+    """The files that are large enough to be hashed and are not among hashed (file_id)."""
+    return files.where(F.col("size") >= min_size).join(hashed.select("file_id"), "file_id", "left_anti")
+
+
 def duplicate_sets(hashed: DataFrame) -> DataFrame:
-    """(checksum, size, n, paths): sets of equal files, their paths in order without case."""
-    paths = F.array_sort(F.collect_list(F.struct(F.lower("path").alias("k"), F.col("path").alias("p"))))
-    return hashed.groupBy("checksum", "size").agg(F.count("*").alias("n"), F.transform(paths, lambda x: x["p"]).alias("paths")).where("n > 1")
+    """(checksum, size, n, path): the files of sets of equal files, one row each, as a set may be of any size."""
+    sets = hashed.groupBy("checksum", "size").agg(F.count("*").alias("n")).where("n > 1")
+    return hashed.join(sets, ["checksum", "size"]).select("checksum", "size", "n", "path")
+
+
+def largest_sets(hashed: DataFrame, top: int) -> DataFrame:
+    """(checksum, size, n, first_path) of the sets of most files, then of the largest; first_path is the first without case."""
+    first = F.min_by("path", F.struct(F.lower("path"), F.col("path"))).alias("first_path")
+    sets = hashed.groupBy("checksum", "size").agg(F.count("*").alias("n"), first).where("n > 1")
+    return sets.orderBy(F.desc("n"), F.desc("size"), "checksum").limit(top)
 
 
 def others_with_hash(hashed: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.classify import best_mime, media_label
 from shelfmark.functions.paths import name_of, natural_key
+from shelfmark.operators.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,20 @@ CATEGORIES = (
 )
 
 
+#: Levels that are no attributes, the definition of the date that years and months are of, and the categories' views.
+TYPE, YEAR, MONTH = "type", "year", "month"
+
+
+def shown(files: DataFrame) -> DataFrame:
+    """The files that are browsed: those that exist and are primary."""
+    return files.where("exists and role = 'Primary'")
+
+
+def file_level(attributes: DataFrame) -> DataFrame:
+    """The attributes of files as a whole, not of their parts."""
+    return attributes.where("sub_resource is null and file_id is not null")
+
+
 def with_mime(files: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     """File ids whose content type starts with one of the prefixes."""
     hit = F.lit(False)
@@ -102,6 +119,57 @@ def date_folders(dates: DataFrame, by_month: bool) -> DataFrame:
     return first.groupBy(*keys).agg(F.count("*").alias("n_files"))
 
 
+def level_values(level: int | str, files: DataFrame, attributes: DataFrame, date_definition: int) -> DataFrame:
+    """(file_id, folder, number): the folders of a level that files lie in; number orders them where it is not null."""
+    if level == TYPE:
+        typed = files.where("mime is not null").select("file_id", media_label(best_mime(F.col("mime"), F.lit(None).cast("string"))).alias("folder"))
+        return typed.withColumn("number", F.lit(None).cast("long"))
+    if level in (YEAR, MONTH):
+        first = attributes.where((F.col("definition") == date_definition) & F.col("value_date").isNotNull()).groupBy("file_id").agg(F.min("value_date").alias("first"))
+        # Years go from the newest on, months from January.
+        name, number = (F.year("first").cast("string"), -F.year("first")) if level == YEAR else (F.date_format("first", "MMMM"), F.month("first"))
+        return first.select("file_id", name.alias("folder"), number.cast("long").alias("number"))
+    return attributes.where((F.col("definition") == level) & level_value().isNotNull()).select("file_id", level_value().alias("folder"), F.col("value_int").alias("number"))
+
+
+def _candidates(files: DataFrame, attributes: DataFrame, definitions: DataFrame, category: Category) -> DataFrame:
+    found = candidates(files, attributes, definitions, category)
+    return files.join(found.select("file_id").distinct(), "file_id", "left_semi")
+
+
+def listing(files: DataFrame, attributes: DataFrame, definitions: DataFrame, category: Category, view: View, chosen: tuple[str, ...] = (), date_definition: int = 0) -> DataFrame:
+    """(folder, number, n_files) of the level below the chosen folders of a view, to be ordered by in_folder_order().
+
+    files (file_id, path, mime, exists, role), attributes with sub_resource. Values
+    beyond the view's levels are not looked at; below its last level there are no
+    folders but leaves().
+    """
+    attributes, own = file_level(attributes), _candidates(shown(files), file_level(attributes), definitions, category)
+    for level, value in zip(view.path, chosen):
+        picked = level_values(level, own, attributes, date_definition).where(F.col("folder") == value)
+        own = own.join(picked, "file_id", "left_semi")
+    found = level_values(view.path[min(len(chosen), len(view.path) - 1)], own, attributes, date_definition)
+    return found.join(own, "file_id", "left_semi").groupBy("folder").agg(F.min("number").alias("number"), F.count_distinct("file_id").alias("n_files"))
+
+
+def count_views(files: DataFrame, attributes: DataFrame, definitions: DataFrame, date_definition: int = 0) -> DataFrame:
+    """(view, n) of all views: folders at their top, or files where they have no levels."""
+    attributes = stored(file_level(attributes).select("file_id", "definition", "value_text", "value_int", "value_date"), "attributes")
+    files = stored(shown(files).select("file_id", "path", "mime"), "files")
+    out = []
+    for category in CATEGORIES:
+        own = _candidates(files, attributes, definitions, category)
+        for view in category.view:
+            found = level_values(view.path[0], own, attributes, date_definition).join(own, "file_id", "left_semi").select("folder") if view.path else own.select(F.col("file_id").cast("string").alias("folder"))
+            out.append(found.agg(F.count_distinct("folder").alias("n")).select(F.lit(f"{category.key}/{view.key}").alias("view"), "n"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def in_leaf_order(found: DataFrame) -> DataFrame:
+    """leaves() by number, then by text, files without either last, then naturally by name and by id."""
+    return found.orderBy(F.asc_nulls_last("sort_number"), F.asc_nulls_last(natural_key(F.col("sort_text"))), "natural", "file_id")
+
+
 def leaves(files: DataFrame, ids: DataFrame, attributes: DataFrame, sort_definition: int) -> DataFrame:
     """(file_id, name, sort_number, sort_text, natural): files with what orders them."""
     sort = attributes.where(F.col("definition") == sort_definition).groupBy("file_id").agg(F.min("value_int").alias("sort_number"), F.min("value_text").alias("sort_text"))

@@ -33,6 +33,13 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "path", "full").select("path", change.alias("change"))
 
 
+def mark_missing(files: DataFrame, found: DataFrame) -> DataFrame:
+    """files (path, exists, in_archive) with exists as found (path) on disk; entries of archives are not looked for there."""
+    there = found.select("path").distinct().withColumn("there", F.lit(True))
+    now = F.when(F.col("in_archive"), F.col("exists")).otherwise(F.coalesce("there", F.lit(False)))
+    return files.join(there, "path", "left").withColumn("exists", now).drop("there")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
     """new, and the rows of old whose key it lacks."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
@@ -70,6 +77,7 @@ def expand_archives(entries: DataFrame, max_entries: int = MAX_ENTRIES) -> DataF
 
 
 def stale_entries(known: DataFrame, expanded: DataFrame) -> DataFrame:
+    """The known entries that their archive has no more."""
     return known.join(expanded.select("archive_id", "internal"), ["archive_id", "internal"], "left_anti")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import coerce
+from shelfmark.operators.scratch import numbered
 from shelfmark.plans import vocabulary
 
 RULE_SCHEMA = "namespace string, key string, kind string, definition int, coercer string, keep string, low double, high double"
@@ -30,23 +32,32 @@ def _rule_key(c: str) -> Column:
     return F.lower(F.trim(F.col(c)))
 
 
-def _coerced(coercers: dict) -> Column:
+def _coerced(coercers: dict, used: set[str], kind: str) -> Column:
+    """The value by the coercers that rules in question use."""
     v = F.col("part")
-    return reduce(lambda out, item: out.when(F.col("coercer") == item[0], item[1](v)), list(coercers.items())[1:], F.when(F.col("coercer") == next(iter(coercers)), next(iter(coercers.values()))(v)))
+    own = [(name, f) for name, f in coercers.items() if name in used]
+    if not own:
+        return F.lit(None).cast(kind)
+    return reduce(lambda out, item: out.when(F.col("coercer") == item[0], item[1](v)), own[1:], F.when(F.col("coercer") == own[0][0], own[0][1](v)))
 
 
-def normalize(raw: DataFrame) -> DataFrame:
+def normalize(raw: DataFrame, definitions: Iterable[int] | None = None) -> DataFrame:
     """Typed attributes of raw rows: all rows of a rule's values that coerce, pass its filter and lie in its range.
 
     Adds definition, kind and value_text, value_int, value_float or value_date. The
-    rules are a fixed table and are broadcast; nothing else moves.
+    rules are a fixed table and are broadcast; nothing else moves. With definitions
+    given, only the rules of these are applied.
     """
-    rules = F.broadcast(rules_table(raw.sparkSession).withColumnsRenamed({"namespace": "rule_ns", "key": "rule_key"}))
+    wanted = None if definitions is None else set(definitions)
+    used = {r.coercer for r in vocabulary.rules() if wanted is None or r.definition in wanted}
+    rules = rules_table(raw.sparkSession)
+    rules = rules if wanted is None else rules.where(F.col("definition").isin(*sorted(wanted)))
+    rules = F.broadcast(rules.withColumnsRenamed({"namespace": "rule_ns", "key": "rule_key"}))
     ruled = raw.join(rules, (_rule_key("namespace") == F.col("rule_ns")) & (_rule_key("key") == F.col("rule_key")))
     value = F.replace(F.col("value"), F.lit("\x00"), F.lit(""))
     parts = ruled.withColumn("part", F.explode(F.when(F.col("kind") == "M", coerce.split_values(value)).otherwise(F.array(value))))
     kept = parts.where(F.when(F.col("keep") == "meaningful_tag", coerce.meaningful_tag(F.col("part"))).when(F.col("keep") == "real_date", coerce.real_date(F.col("part"))).otherwise(True))
-    typed = kept.withColumns({"value_text": _coerced(coerce.TEXT_COERCERS), "value_int": _coerced(coerce.INTEGER_COERCERS), "value_float": _coerced(coerce.FLOAT_COERCERS), "value_date": _coerced(coerce.DATE_COERCERS)})
+    typed = kept.withColumns({"value_text": _coerced(coerce.TEXT_COERCERS, used, "string"), "value_int": _coerced(coerce.INTEGER_COERCERS, used, "long"), "value_float": _coerced(coerce.FLOAT_COERCERS, used, "double"), "value_date": _coerced(coerce.DATE_COERCERS, used, "timestamp")})
     number = F.coalesce(F.col("value_int").cast("double"), "value_float")
     found = F.coalesce(F.col("value_text"), F.col("value_int").cast("string"), F.col("value_float").cast("string"), F.col("value_date").cast("string")).isNotNull()
     inside = F.coalesce(number >= F.col("low"), F.lit(True)) & F.coalesce(number <= F.col("high"), F.lit(True))
@@ -85,9 +96,57 @@ def resolve_aliases(pairs: DataFrame, name: str = "name") -> DataFrame:
 
 
 def mint_definitions(names: DataFrame, first_id: int = 1_000_000) -> DataFrame:
-    """(name, definition) of new names, numbered in their order from first_id on.
+    """(name, definition) of new names, numbered in their order from first_id on."""
+    return numbered(names.where("definition is null").select("name").distinct(), ["name"], "definition", first_id)
 
-    The new names of a vocabulary are few beside the data: one row for each name, after a distinct.
+
+#: The provider of attributes that sidecars gave to their primary file.
+PROMOTION = "promotion"
+
+
+def replace_derived(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
+    """old with the attributes of changed files (file_id) replaced by new; promoted ones stay, as no extractor gives them again."""
+    touched = changed.select("file_id").distinct().withColumn("touched", F.lit(True))
+    kept = old.join(touched, "file_id", "left").where(F.col("touched").isNull() | (F.col("provider") == PROMOTION)).drop("touched")
+    return kept.unionByName(new)
+
+
+def renormalize(attributes: DataFrame, raw: DataFrame, definitions: Iterable[int] | None = None) -> DataFrame:
+    """(file_id, definition, value_key, provider): attributes with those of raw's providers rebuilt from raw.
+
+    raw has a provider too. Attributes of other providers of the same files stay;
+    equal values of a file's definition are kept once, from the first by seq.
     """
-    distinct = names.where("definition is null").select("name").distinct()
-    return distinct.select("name", (F.row_number().over(Window.orderBy("name")) + (first_id - 1)).cast("long").alias("definition"))
+    keys = raw.select("file_id", "provider").distinct()
+    kept = attributes.join(keys, ["file_id", "provider"], "left_anti").select("file_id", "definition", "value_key", "provider")
+    return kept.unionByName(first_wins(normalize(raw, definitions)).select("file_id", "definition", "value_key", "provider"))
+
+
+def subresources(found: DataFrame, known: DataFrame) -> DataFrame:
+    """known (sub_id, file_id, internal_id, kind, name) and the rows of found it lacks, numbered on from its largest sub_id."""
+    key = ["file_id", "internal_id", "kind", "name"]
+    fresh = found.select(*key).distinct().alias("f").join(known.select(*key).alias("k"), [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in key], "left_anti")
+    last = known.agg(F.coalesce(F.max("sub_id"), F.lit(0))).first()[0]
+    return known.select("sub_id", *key).unionByName(numbered(fresh, key, "sub_id", last + 1).select("sub_id", *key))
+
+
+def without_promotions(attributes: DataFrame) -> DataFrame:
+    return attributes.where(F.col("provider") != PROMOTION)
+
+
+def reset_files(files: DataFrame) -> DataFrame:
+    """files (file_id, role, role_source, item_id, collection_id) as before they were grouped; what was set by hand stays."""
+    auto = F.col("role_source") == "Auto"
+    return files.withColumns({"role": F.when(auto, "Primary").otherwise(F.col("role")), "item_id": F.when(~auto, F.col("item_id")), "collection_id": F.when(~auto, F.col("collection_id"))})
+
+
+def reset_collections(collections: DataFrame) -> DataFrame:
+    """The collections (id, parent_id, role_source) set by hand; their parents go with the others."""
+    auto = collections.where("role_source = 'Auto'").select(F.col("id").alias("parent_id"), F.lit(True).alias("gone"))
+    left = collections.where("role_source <> 'Auto'").join(auto, "parent_id", "left")
+    return left.select("id", F.when(F.col("gone").isNull(), F.col("parent_id")).alias("parent_id"), "role_source")
+
+
+def unmapped_top(raw: DataFrame, top: int = 15) -> DataFrame:
+    """The unmapped keys with most values, then by namespace and key."""
+    return unmapped(raw).orderBy(F.desc("n"), "namespace", "key").limit(top)

@@ -93,17 +93,54 @@ def snippet(text: Column, query: str, before: int = 4, words: int = 16) -> Colum
     return F.array_join(F.transform(window, lambda w: F.when(hit(w), F.concat(F.lit(START), w, F.lit(STOP))).otherwise(w)), " ")
 
 
+def may_match(text: Column, query: str) -> Column:
+    """False only for texts that match in neither branch: told from the text, before it is cut into tokens."""
+    folded = unaccent(F.lower(text))
+    holds = lambda words: reduce(Column.__and__, [F.contains(folded, F.lit(w)) for w in words], F.lit(True))
+    must, _ = web_terms(query)
+    return holds(prefix_terms(query)) | holds([w for words in must for w in words])
+
+
 def hits(texts: DataFrame, query: str, source: str, with_snippet: bool = False) -> DataFrame:
     """(file_id, rank, source[, snippet]) of texts that match."""
+    texts = texts.where(may_match(F.col("content"), query))
     own = texts.withColumn("tokens", tokens(F.col("content"))).where(matches(F.col("tokens"), query))
     extra = [snippet(F.col("content"), query).alias("snippet")] if with_snippet else []
     return own.select("file_id", rank(F.col("tokens"), query).alias("rank"), F.lit(source).alias("source"), *extra)
 
 
 def merge_hits(*parts: DataFrame) -> DataFrame:
-    """One row for each file: its best rank and where it was found."""
+    """One row for each file: its best rank, where it was found and, if hits have snippets, the one of the best rank (then the first by text)."""
     every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("file_id").agg(F.max("rank").alias("rank"), F.bool_or(F.col("source") == "content").alias("in_content"), F.bool_or(F.col("source") == "metadata").alias("in_metadata"))
+    best = [F.min_by("snippet", F.struct(-F.col("rank"), F.col("snippet"))).alias("snippet")] if "snippet" in every.columns else []
+    return every.groupBy("file_id").agg(F.max("rank").alias("rank"), F.bool_or(F.col("source") == "content").alias("in_content"), F.bool_or(F.col("source") == "metadata").alias("in_metadata"), *best)
+
+
+def search(contents: DataFrame, attributes: DataFrame, query: str, include_content: bool = False, include_metadata: bool = False, with_snippet: bool = False) -> DataFrame:
+    """merge_hits() of contents (file_id, content) and attributes (file_id, value_text); of neither source both are searched, and a blank query finds nothing."""
+    sources = []
+    if include_content or not include_metadata:
+        sources.append(hits(contents, query, "content", with_snippet))
+    if include_metadata or not include_content:
+        texts = attributes.where("value_text is not null").select("file_id", F.col("value_text").alias("content"))
+        sources.append(hits(texts, query, "metadata", with_snippet))
+    return merge_hits(*sources)
+
+
+def postings(texts: DataFrame) -> DataFrame:
+    """token_vectors() dealt out and sorted by token, as they are stored: a prefix reads a range of them."""
+    return token_vectors(texts).repartitionByRange("token").sortWithinPartitions("token", "file_id")
+
+
+def search_postings(stored: DataFrame, query: str) -> DataFrame:
+    """(file_id, rank) by the prefix branch alone, from stored postings (file_id, token, n); no text is read."""
+    terms = prefix_terms(query)
+    if not terms:
+        return stored.select("file_id", F.lit(0.0).alias("rank")).limit(0)
+    reach = reduce(Column.__or__, [(F.col("token") >= t) & (F.col("token") < t + "\U0010ffff") for t in terms])
+    counts = [F.sum(F.when(F.col("token").startswith(t), F.col("n"))).alias(f"n{i}") for i, t in enumerate(terms)]
+    found = stored.where(reach).groupBy("file_id").agg(*counts).where(" and ".join(f"n{i} is not null" for i in range(len(terms))))
+    return found.select("file_id", reduce(Column.__add__, [F.col(f"n{i}").cast("double") / (F.col(f"n{i}") + 1) for i in range(len(terms))]).alias("rank"))
 
 
 def page(found: DataFrame, files: DataFrame, page_number: int = 1, page_size: int = 25) -> DataFrame:

@@ -11,6 +11,7 @@ from shelfmark.functions import classify, coerce, paths
 from shelfmark.operators import associate as assoc
 from shelfmark.operators import collections as coll
 from shelfmark.operators import dedup, facets, layers, normalize, search
+from shelfmark.operators.scratch import shared_dir
 from shelfmark.plans import adapters as a
 from shelfmark.plans import oracle as o
 from shelfmark.sources import readers
@@ -31,15 +32,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _music(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.normalize(a.music_raw(spark, sf_dir))
+def _music(spark: SparkSession, sf_dir: str, definitions: tuple[int, ...] | None = None) -> DataFrame:
+    return normalize.normalize(a.music_raw(spark, sf_dir), definitions)
 
 
 # --- facets ---------------------------------------------------------------
 
 
 def _folders(spark: SparkSession, sf_dir: str, definition: int, chosen: tuple[tuple[int, str], ...] = ()) -> DataFrame:
-    attributes = _music(spark, sf_dir)
+    attributes = _music(spark, sf_dir, (definition, *(d for d, _ in chosen)))
     ids = facets.with_mime(a.music_files(spark, sf_dir), ("audio/",))
     ids = facets.drill(ids, attributes, tuple(d for d, _ in chosen), tuple(v for _, v in chosen))
     return facets.folders(ids, attributes, definition).select("folder", "n_files", paths.natural_key(F.col("folder")).alias("natural"))
@@ -68,9 +69,13 @@ def facet_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("facet_drill", f"SELECT p_type AS folder, count(*) AS n_files, {o.natural('p_type')} AS \"natural\" FROM part WHERE p_brand = 'Brand#11' AND list_contains(string_split(p_name, ' '), (SELECT min(split_part(p_name, ' ', 1)) FROM part)) GROUP BY p_type")
 def facet_drill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two chosen levels, then the albums below."""
-    first = a.table(spark, sf_dir, "part").agg(F.min(F.element_at(F.split("p_name", " "), 1))).first()[0]
-    return _folders(spark, sf_dir, 2, ((92, first or ""), (3, "Brand#11")))
+    """Two chosen levels, the first from a table, then the albums below."""
+    attributes = _music(spark, sf_dir, (2, 3, 92))
+    ids = facets.with_mime(a.music_files(spark, sf_dir), ("audio/",))
+    first = a.table(spark, sf_dir, "part").agg(F.min(F.element_at(F.split("p_name", " "), 1)).alias("genre"))
+    genre = attributes.where("definition = 92").join(F.broadcast(first), F.col("value_text") == F.col("genre"), "left_semi").select("file_id")
+    ids = facets.drill(ids.join(genre, "file_id", "left_semi"), attributes, (3,), ("Brand#11",))
+    return facets.folders(ids, attributes, 2).select("folder", "n_files", paths.natural_key(F.col("folder")).alias("natural"))
 
 
 @query("facet_by_type", f"WITH {o.FILES} SELECT CASE mime WHEN 'text/plain' THEN 'Text document' WHEN 'text/html' THEN 'HTML document' ELSE 'FLAC audio' END AS label, CASE WHEN mime = 'audio/flac' THEN 'Audio' ELSE 'Document' END AS class, count(*) AS n_files FROM files GROUP BY 1, 2")
@@ -81,7 +86,7 @@ def facet_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("facet_by_date", "SELECT year(o_orderdate)::BIGINT AS year, month(o_orderdate)::BIGINT AS month, monthname(o_orderdate) AS month_name, count(*) AS n_files FROM orders GROUP BY ALL")
 def facet_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dates = normalize.normalize(a.date_raw(spark, sf_dir)).where("definition = 44")
+    dates = normalize.normalize(a.date_raw(spark, sf_dir), (44,))
     return facets.date_folders(dates, by_month=True)
 
 
@@ -108,14 +113,17 @@ def filter_mime_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(facets.with_mime(found, documents.mime), "file_id", "left_semi").groupBy("mime").agg(F.count("*").alias("n"))
 
 
-@query("filter_has_attribute", "SELECT page_id + 10000000 AS file_id FROM pages WHERE regexp_extract(html, '(?s)<title>(.*?)</title>', 1) IS NOT NULL")
+@query("filter_has_attribute", "SELECT page_id + 10000000 AS file_id FROM pages WHERE (page_id + 10000000) % 3 <> 0")
 def filter_has_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.with_attribute(normalize.normalize(a.text_raw(spark, sf_dir)), 73)
+    raw = a.text_raw(spark, sf_dir).where("key <> 'title' or file_id % 3 <> 0")
+    return facets.with_attribute(normalize.normalize(raw, (73,)), 73)
 
 
-@query("filter_has_group", "SELECT p_partkey + 30000000 AS file_id FROM part")
+@query("filter_has_group", "SELECT p_partkey + 30000000 AS file_id FROM part WHERE p_partkey % 4 = 0")
 def filter_has_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.with_group(normalize.normalize(a.raw(spark, sf_dir)), normalize.definitions_table(spark), "Audio")
+    """Parts with attributes of the group: the others keep their genre only, which belongs to another."""
+    raw = a.raw(spark, sf_dir).where(f"file_id < {a.MUSIC} or (file_id - {a.MUSIC}) % 4 = 0 or key = 'genre'")
+    return facets.with_group(normalize.normalize(raw), normalize.definitions_table(spark), "Audio")
 
 
 @query("filter_roles", "SELECT CASE WHEN toxic = 1 THEN 'Companion' WHEN quality = 0 THEN 'Sidecar' ELSE 'Primary' END AS role, lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL")
@@ -127,9 +135,9 @@ def filter_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- duplicates -------------------------------------------------------------
 
 
-@query("dedup_size_collisions", "SELECT octet_length(encode(text))::BIGINT AS size, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("dedup_size_collisions", "SELECT octet_length(encode(text))::BIGINT AS size, count(*) AS n FROM documents WHERE octet_length(encode(text)) >= 1000 GROUP BY 1 HAVING count(*) > 1")
 def dedup_size_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.size_collisions(a.document_files(spark, sf_dir), min_size=0)
+    return dedup.size_collisions(a.document_files(spark, sf_dir), min_size=1000)
 
 
 _STAGED = "WITH d AS (SELECT doc_id, octet_length(encode(text))::BIGINT AS size, text, sha256(encode(text)[1:512]) AS p FROM documents), k AS (SELECT size, p FROM d GROUP BY ALL HAVING count(*) > 1)"
@@ -140,9 +148,15 @@ def dedup_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.staged(a.document_files(spark, sf_dir), min_size=0, prefix=512).select("file_id", "size", "checksum")
 
 
-@query("dedup_sets", "SELECT upper(sha256(text)) AS checksum, octet_length(encode(text))::BIGINT AS size, count(*) AS n, array_to_string(list(p ORDER BY lower(p), p), '|') AS paths FROM (SELECT text, 'docs/' || lang || '/' || source || '/doc ' || doc_id || '.txt' AS p FROM documents) GROUP BY 1, 2 HAVING count(*) > 1")
+@query("dedup_sets", "SELECT * FROM (SELECT upper(sha256(text)) AS checksum, octet_length(encode(text))::BIGINT AS size, count(*) OVER (PARTITION BY text) AS n, 'docs/' || lang || '/' || source || '/doc ' || doc_id || '.txt' AS path FROM documents) WHERE n > 1")
 def dedup_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.duplicate_sets(dedup.staged(a.document_files(spark, sf_dir), min_size=0)).withColumn("paths", F.array_join("paths", "|"))
+    return dedup.duplicate_sets(dedup.staged(a.document_files(spark, sf_dir), min_size=0))
+
+
+@query("duplicates_report", "SELECT upper(sha256(text)) AS checksum, octet_length(encode(text))::BIGINT AS size, count(*) AS n, arg_min(p, (lower(p), p)) AS first_path FROM (SELECT text, 'docs/' || lang || '/' || source || '/doc ' || doc_id || '.txt' AS p FROM documents) GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY n DESC, size DESC, checksum LIMIT 15")
+def duplicates_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 sets of most files."""
+    return dedup.largest_sets(dedup.staged(a.document_files(spark, sf_dir), min_size=0), 15)
 
 
 @query("duplicates_of_file", "SELECT doc_id AS file_id, count(*) OVER (PARTITION BY text) - 1 AS others FROM documents")
@@ -189,14 +203,14 @@ def normalize_dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("value_text is not null").select("file_id", "definition", "value_text", "namespace")
 
 
-@query("renormalize_idempotent", "SELECT 0::BIGINT AS n_added, 0::BIGINT AS n_lost")
+@query("renormalize_idempotent", "SELECT p_partkey + 30000000 AS file_id, d AS definition, v AS value_key, w AS provider FROM part, LATERAL (VALUES (2, p_type, 'reader'), (3, p_brand, 'reader'), (7, p_brand, 'reader'), (38, 'kept', 'promotion'), (7, 'by hand', 'editor')) AS x(d, v, w)")
 def renormalize_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a second run over the raw layer changes in the canonical one."""
-    keys = ["file_id", "definition", "value_key"]
-    once = normalize.first_wins(_music(spark, sf_dir)).select(*keys)
-    twice = normalize.first_wins(_music(spark, sf_dir).unionByName(_music(spark, sf_dir))).select(*keys)
-    both = once.withColumn("a", F.lit(1)).join(twice.withColumn("b", F.lit(1)), keys, "full")
-    return both.agg(F.count_if(F.col("a").isNull()).alias("n_added"), F.count_if(F.col("b").isNull()).alias("n_lost"))
+    """Stale attributes of the reader are rebuilt from the raw layer, twice; those of others stay."""
+    raw = a.music_raw(spark, sf_dir).withColumn("provider", F.lit("reader"))
+    files = a.music_files(spark, sf_dir).select("file_id")
+    one = lambda definition, value, provider: files.select("file_id", F.lit(definition).alias("definition"), F.lit(value).alias("value_key"), F.lit(provider).alias("provider"))
+    old = one(7, "stale", "reader").unionByName(one(38, "kept", "promotion")).unionByName(one(7, "by hand", "editor"))
+    return normalize.renormalize(normalize.renormalize(old, raw, (2, 3, 7)), raw, (2, 3, 7))
 
 
 @query("unmapped_keys", f"WITH {o.RAW}, every AS (SELECT namespace, key, value FROM raw UNION ALL SELECT 'watch', event_type, json_extract_string(props, '$.k') FROM events) SELECT namespace, key, count(*) AS n, max(value) AS sample FROM every WHERE namespace = 'watch' OR key = 'comment-x' GROUP BY ALL")
@@ -575,8 +589,7 @@ def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a stream of the events table, driven to its end; the last bursts stay open."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    where = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
     events = _events(spark, sf_dir)
     events.write.parquet(f"{where}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{where}/in")
@@ -587,9 +600,10 @@ def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources ------------------------------------------------------------------------------
 
 
-@query("source_grouped_json", "SELECT p_partkey AS file_id, ns AS namespace, k AS key, v AS value FROM part, LATERAL (VALUES ('exif', 'ImageWidth', p_size::VARCHAR), ('iptc', 'Keywords', p_name)) AS x(ns, k, v)")
+@query("source_grouped_json", "SELECT p_partkey AS file_id, ns AS namespace, k AS key, v AS value FROM part, LATERAL (VALUES ('exif', 'ImageWidth', p_size::VARCHAR), ('iptc', 'Keywords', p_name), ('file', 'FileType', 'JPEG'), ('file', 'FileSize', '9 kB')) AS x(ns, k, v)")
 def source_grouped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = F.struct(F.col("p_size").alias("EXIF:ImageWidth"), F.col("p_name").alias("IPTC:Keywords"), F.lit("(Binary data 9 bytes)").alias("EXIF:Thumb"), F.lit("a.jpg").alias("File:FileName"), F.lit("12").alias("ExifTool:Version"))
+    fields = F.struct(F.col("p_size").alias("EXIF:ImageWidth"), F.col("p_name").alias("IPTC:Keywords"), F.lit("(binary data 9 bytes)").alias("EXIF:Thumb"), F.lit("a.jpg").alias("File:FileName"), F.lit("12").alias("ExifTool:Version"),
+        F.lit("JPEG").alias("File:FileType"), F.lit("9 kB").alias("File:FileSize"), F.lit("/x").alias("EXIF:Directory"), F.lit("a.jpg").alias("SourceFile"), F.lit("x").alias("NoGroup"), F.lit("x").alias("System:FileInodeChangeDate"), F.lit("x").alias("XMP:filepermissions"))
     return readers.grouped_json(a.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.to_json(F.array(fields)).alias("json")))
 
 

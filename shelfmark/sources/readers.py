@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
@@ -10,25 +11,103 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.paths import ancestor_dirs, name_of
+from shelfmark.functions.paths import ancestor_dirs, extension, name_of, parent_dir
 
-# What is never indexed, keys of the second extractor that repeat the file system, and its noise.
-IGNORED = [r"(^|/)\.git(/|$)", r"(^|/)node_modules(/|$)", r"(^|/)\.DS_Store$", r"(^|/)Thumbs\.db$", r"(^|/)desktop\.ini$", r"~$", r"\.tmp$", r"\.part$", r"\.swp$"]
+# Patterns of what is never indexed, the marker of a folder that is not, and keys that repeat the file system.
+IGNORED = ["*.part", "*.crdownload", "*.download", "*.tmp", "*.temp", "*.partial", "~$*", ".~lock.*", "Thumbs.db", "desktop.ini", ".DS_Store", "@eaDir/"]
 MARKER = ".noindex"
-FILE_KEYS = ["filename", "directory", "filesize", "filemodifydate", "fileaccessdate", "fileinodechangedate", "filepermissions", "filetype", "filetypeextension"]
-
-
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, modified) of the files below root; contents are not read."""
+FILE_KEYS = ["SourceFile", "Directory", "FileName", "FilePath", "FilePermissions", "FileModifyDate", "FileAccessDate", "FileInodeChangeDate", "FileTypeExtension"]
+# Content type by extension.
+MIME_BY_EXTENSION = {
+    ".txt": "text/plain", ".html": "text/html", ".htm": "text/html", ".md": "text/markdown", ".csv": "text/csv", ".xml": "text/xml", ".json": "application/json", ".pdf": "application/pdf", ".epub": "application/epub+zip",
+    ".doc": "application/msword", ".rtf": "application/rtf", ".zip": "application/zip", ".7z": "application/x-7z-compressed", ".rar": "application/x-rar-compressed", ".exe": "application/x-msdownload", ".dll": "application/x-msdownload",
+    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".bmp": "image/bmp", ".webp": "image/webp", ".tif": "image/tiff", ".tiff": "image/tiff", ".svg": "image/svg+xml",
+    ".mp3": "audio/mpeg", ".flac": "audio/flac", ".ogg": "audio/ogg", ".m4a": "audio/mp4", ".wav": "audio/wav", ".opus": "audio/opus", ".mp4": "video/mp4", ".mkv": "video/x-matroska", ".avi": "video/x-msvideo", ".mov": "video/quicktime", ".webm": "video/webm", ".wmv": "video/x-ms-wmv",
+}
+DIRECTORY, UNKNOWN = "inode/directory", "application/octet-stream"
+
+
+def listing(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
+    """(path, size, modified) of the files below root; contents are not read.
+
+    Spark's listing passes over names that begin with a dot, and so over markers.
+    With hidden the driver lists all files itself, one by one.
+    """
+    if hidden:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        rows = []
+        while found.hasNext():
+            one = found.next()
+            rows.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+        return spark.createDataFrame(rows, "path string, size long, modified long").withColumn("modified", F.timestamp_millis("modified"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def accepted(files: DataFrame) -> DataFrame:
-    """files without ignored names and without all below a folder that holds the marker file."""
+def with_folders(files: DataFrame) -> DataFrame:
+    """files (path, size, modified) and the folders they lie in (path, is_dir, size, modified, n_entries), folders without a size."""
+    above = files.select(F.explode(ancestor_dirs(F.col("path"))).alias("path")).where("path <> ''").distinct()
+    every = files.select("path").unionByName(above)
+    inside = every.groupBy(parent_dir(F.col("path")).alias("path")).agg(F.count("*").alias("n_entries"))
+    last = files.select("modified", F.explode(ancestor_dirs(F.col("path"))).alias("path")).groupBy("path").agg(F.max("modified").alias("modified"))
+    folders = above.join(inside, "path").join(last, "path").select("path", F.lit(True).alias("is_dir"), F.lit(None).cast("long").alias("size"), "modified", "n_entries")
+    return files.select("path", F.lit(False).alias("is_dir"), "size", "modified", F.lit(None).cast("long").alias("n_entries")).unionByName(folders)
+
+
+def mime_of(name: Column, is_dir: Column | None = None) -> Column:
+    """Content type by extension."""
+    known = F.create_map(*[F.lit(x) for pair in MIME_BY_EXTENSION.items() for x in pair])
+    found = F.coalesce(F.try_element_at(known, extension(name)), F.lit(UNKNOWN))
+    return found if is_dir is None else F.when(is_dir, DIRECTORY).otherwise(found)
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """files (path, is_dir, ...) with name, full path's folder and content type."""
+    name = name_of(F.col("path"))
+    return files.select("*", name.alias("name"), parent_dir(F.col("path")).alias("folder"), mime_of(name, F.col("is_dir")).alias("mime"))
+
+
+def collected(spark: SparkSession, root: str, recursive: bool = True, extensions: tuple[str, ...] = (), max_files: int | None = None) -> DataFrame:
+    """(path, size, modified) of files below root (or right in it), of some extensions, the first by path where a number is given."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    found = reader.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    if extensions:
+        found = found.where(extension(name_of(F.col("path"))).isin(*["." + x.lower().lstrip(".") for x in extensions]))
+    return found if max_files is None else found.orderBy("path").limit(max_files)
+
+
+def ignore_rule(line: str) -> tuple[str, bool] | None:
+    """(pattern of paths, whether it takes back) of a line of an ignore file; None for a blank line or a comment."""
+    line = line.strip()
+    if not line or line.startswith("#"):
+        return None
+    back = line.startswith("!")
+    line = line[1:] if back else line
+    only_folders = line.endswith("/")
+    body = line.strip("/")
+    anchored = "/" in line.rstrip("/")
+    out, i = "", 0
+    while i < len(body):
+        for sign, means in (("**/", "(?:.*/)?"), ("/**", "/.*"), ("*", "[^/]*"), ("?", "[^/]")):
+            if body.startswith(sign, i):
+                out, i = out + means, i + len(sign)
+                break
+        else:
+            out, i = out + re.escape(body[i]), i + 1
+    return ("^" if anchored else "(?:^|/)") + out + ("/" if only_folders else "(?:/|$)"), back
+
+
+def accepted(files: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """files without ignored paths and without all below a folder that holds the marker file.
+
+    more are further lines of an ignore file; of all lines that fit a path the last decides.
+    """
     hit = F.lit(False)
-    for pattern in IGNORED:
-        hit = hit | F.col("path").rlike(pattern)
+    for line in (*IGNORED, *more):
+        rule = ignore_rule(line)
+        if rule:
+            hit = F.when(F.col("path").rlike(rule[0]), F.lit(not rule[1])).otherwise(hit)
     marked = files.where(name_of(F.col("path")) == MARKER).select(F.regexp_replace("path", r"/[^/]*$", "").alias("up"))
     above = files.select("path", F.explode(ancestor_dirs(F.col("path"))).alias("up"))
     barred = above.join(marked, "up", "left_semi").select("path").distinct()
@@ -43,9 +122,11 @@ def grouped_json(reports: DataFrame) -> DataFrame:
     """(file_id, namespace, key, value) of (file_id, json): the first object's scalars, keys as "Group:Tag"."""
     first = F.get(F.from_json("json", "array<map<string,string>>", {"mode": "PERMISSIVE"}), 0)
     rows = reports.select("file_id", F.explode(F.map_entries(first)).alias("e")).select("file_id", "e.key", "e.value")
-    split = rows.select("file_id", F.lower(F.substring_index("key", ":", 1)).alias("namespace"), F.regexp_replace("key", "^[^:]*:", "").alias("key"), "value").where(F.col("value").isNotNull())
-    scalar = ~F.col("value").rlike(r"^[\[{]") & ~F.col("value").startswith("(Binary data")
-    return split.where(scalar & (F.col("namespace") != "exiftool") & ~((F.col("namespace") == "file") & F.lower("key").isin(*FILE_KEYS)))
+    # Keys without a group are the tool's own, like its group.
+    grouped = rows.where(F.col("key").rlike("^[^:]+:.") & F.col("value").isNotNull())
+    split = grouped.select("file_id", F.lower(F.substring_index("key", ":", 1)).alias("namespace"), F.regexp_replace("key", "^[^:]*:", "").alias("key"), "value")
+    scalar = ~F.col("value").rlike(r"^[\[{]") & ~F.lower("value").startswith("(binary data")
+    return split.where(scalar & (F.col("namespace") != "exiftool") & ~F.lower("key").isin(*[k.lower() for k in FILE_KEYS]))
 
 
 def parser_json(reports: DataFrame) -> DataFrame:

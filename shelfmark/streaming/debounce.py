@@ -20,11 +20,12 @@ def debounce(events: DataFrame, quiet: str = QUIET, watermark: str | None = None
     return burst.drop("burst")
 
 
-def run_stream(events: DataFrame, path: str, checkpoint: str, quiet: str, watermark: str) -> None:
-    """Drives a stream of events to its end and appends closed bursts to Parquet at path."""
+def run_stream(events: DataFrame, path: str, checkpoint: str, quiet: str, watermark: str) -> list[tuple[int, int]]:
+    """Drives a stream of events to its end and appends closed bursts to Parquet at path; gives its progress, the rows of each batch."""
     out = debounce(events, quiet, watermark)
     query = out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
 
 
 def apply_batch(state: DataFrame, changes: DataFrame) -> DataFrame:

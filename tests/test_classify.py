@@ -8,9 +8,9 @@ def values(spark, rows, schema, column):
 
 
 def test_tv_episodes(spark):
-    rows = [("S1947E07 - Tweetie Pie", "Season 1947", "Looney Tunes"), ("s2016.e081901 - News", "Season 2016", "Show (2010)"), ("The.Wire.1x05", "The Wire", None), ("Holiday", "Pictures", None)]
+    rows = [("S1962E03 - The Long Wait", "Season 1962", "Harbour Tales"), ("s2018.e071502 - Evening", "Season 2018", "Bulletin (2011)"), ("Old.Mill.2x11", "Old Mill", None), ("Harbour_Tales s01 e04-05 [hd]", "x", None), ("Lake view", "Pictures", None)]
     got = values(spark, rows, "n string, f string, p string", classify.tv_episode(F.col("n"), F.col("f"), F.col("p")))
-    assert [tuple(x) if x else None for x in got] == [("Looney Tunes", 1947, 7, "Tweetie Pie"), ("Show", 2016, 81901, "News"), ("The Wire", 1, 5, None), None]
+    assert [tuple(x) if x else None for x in got] == [("Harbour Tales", 1962, 3, "The Long Wait"), ("Bulletin", 2018, 71502, "Evening"), ("Old Mill", 2, 11, None), ("Harbour Tales", 1, 4, None), None]
 
 
 def test_file_roles(spark):
@@ -28,7 +28,7 @@ def test_names(spark):
 
 
 def test_dedicated_folders(spark):
-    rows = [("Madagascar (2005)", "Madagascar.avi", ["Madagascar.avi"]), ("Movies", "Inception.mkv", ["Inception.mkv"]), ("Movies", "x.mkv", ["VTS_01.VOB"]), ("Movies", "movie.mkv", ["movie.mkv"])]
+    rows = [("Red Kite (1999)", "Red Kite.avi", ["Red Kite.avi"]), ("Movies", "Quiet Rivers.mkv", ["Quiet Rivers.mkv"]), ("Movies", "x.mkv", ["VTS_01.VOB"]), ("Movies", "movie.mkv", ["movie.mkv"])]
     assert values(spark, rows, "f string, p string, a array<string>", classify.folder_is_dedicated(F.col("f"), F.col("p"), F.col("a"))) == [True, False, True, True]
 
 

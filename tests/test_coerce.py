@@ -6,8 +6,8 @@ from shelfmark.functions import coerce
 CASES = {
     "integer": [("42", 42), ("  7 ", 7), ("1,000", 1000), ("not a number", None), ("1.5", None), ("", None)],
     "floating": [("1.5", 1.5), ("0.25", 0.25), ("1,5", 15.0), ("1d", None), ("1e3", 1000.0)],
-    "duration": [("2:30.5", 150.5), ("1:23:45", 5025.0), ("125.5", 125.5), ("90s", 90.0), ("01:48:05.563000000", 6485.563), ("1:2:3:4", None), ("x", None)],
-    "seconds": [("90", 90.0), ("00:01:30", 90.0), ("1.5", 1.5)],
+    "duration": [("2:30.5", 150.5), ("1:23:45", 5025.0), ("125.5", 125.5), ("90s", 90.0), ("01:48:05.563000000", 6485.563), ("1:2:3:4", 93784.0), ("1:25:3:4", None), ("x", None)],
+    "seconds": [("90", 90.0), ("00:01:30", 90.0), ("1.5", 1.5), ("1.02:03:04", 93784.0), ("1:30", 5400.0)],
     "number": [("0.00 dB", 0.0), ("-5.81 dB", -5.81), ("1,234.5", 1234.5), ("n/a", None)],
     "integer_loose": [("2457 pixels", 2457), ("1/5", 1), ("2.5", 2)],
     "mime": [("text/plain; charset=ISO-8859-1", "text/plain"), (" ; x", None)],
