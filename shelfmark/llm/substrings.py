@@ -15,7 +15,6 @@ by a 128-bit digest, through an aggregation that adds up before it shuffles.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,8 @@ from shelfmark.llm.neardup import hashes_of
 WIDTH = 50
 #: Words of the grams among which a minimiser is chosen.
 GRAM = 8
-#: Super-k-mers beyond which a minimiser's windows are dealt out singly: its bucket would not fit one task.
-HOT_RUNS = 4000
+#: Documents from which a minimiser's windows are dealt out singly: its bucket would not fit one task.
+HOT_DOCS = 4000
 ROWS = 256
 
 
@@ -62,19 +61,18 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _minimisers(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(mini, doc_id, runs): each distinct minimiser of each document, and of how many super-k-mers it is that."""
+    """(mini, doc_id): each distinct minimiser of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, ROWS):
-            minis, ids, runs = [], [], []
+            minis, ids = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = Counter(m for m, _, _ in super_kmers(words_of(text), width, gram))
+                found = {m for m, _, _ in super_kmers(words_of(text), width, gram)}
                 minis += found
-                runs += found.values()
                 ids += [doc] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (minis, ids, runs)], names=["mini", "doc_id", "runs"])
+            yield pa.RecordBatch.from_arrays([pa.array(minis, pa.int64()), pa.array(ids, pa.int64())], names=["mini", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "mini long, doc_id long, runs long")
+    return docs.select("doc_id", "text").mapInArrow(run, "mini long, doc_id long")
 
 
 def _packed(rows: DataFrame, hot: bool, width: int, gram: int) -> DataFrame:
@@ -85,11 +83,14 @@ def _packed(rows: DataFrame, hot: bool, width: int, gram: int) -> DataFrame:
             out: list[tuple] = []
             for row, doc, text, shared in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 shared, words = set(shared), words_of(text)
+                # A string that a text repeats travels once, with all its places.
+                places: dict[tuple[int, bytes], list[int]] = {}
                 for mini, at, windows in super_kmers(words, width, gram):
                     if mini in shared:
-                        out.append((mini, doc, row, at, b" ".join(words[at : at + windows + width - 1])))
+                        places.setdefault((mini, b" ".join(words[at : at + windows + width - 1])), []).append(at)
+                out += [(mini, doc, row, at, packed) for (mini, packed), at in places.items()]
             columns = list(zip(*out)) or [(), (), (), (), ()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["mini", "doc_id", "row", "at", "packed"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,24 +108,25 @@ def _packed(rows: DataFrame, hot: bool, width: int, gram: int) -> DataFrame:
 
     if hot:
         return rows.where(F.size("hot") > 0).select("row", "doc_id", "text", "hot").mapInArrow(single, "window binary, doc_id long, row long, at int")
-    return rows.where(F.size("shared") > 0).select("row", "doc_id", "text", "shared").mapInArrow(normal, "mini long, doc_id long, row long, at int, packed binary")
+    return rows.where(F.size("shared") > 0).select("row", "doc_id", "text", "shared").mapInArrow(normal, "mini long, doc_id long, row long, at array<int>, packed binary")
 
 
-def _bucket_ranges(bucket: list[tuple[int, int, int, bytes]], width: int) -> Iterator[tuple[int, int, int, int]]:
+def _bucket_ranges(bucket: list[tuple[int, int, list[int], bytes]], width: int) -> Iterator[tuple[int, int, int, int]]:
     """(doc, row, first word, last word + 1) that the windows of one bucket remove; bucket holds (doc, row, at, packed)."""
-    windows: list[tuple[bytes, int, int, int]] = []
+    windows: list[tuple[bytes, int, int, int, list[int]]] = []
     for doc, row, at, packed in bucket:
         ends = np.flatnonzero(np.frombuffer(packed + b" ", np.uint8) == 32)
         starts = np.concatenate([[0], ends[:-1] + 1])
         for k in range(len(ends) - width + 1):
-            windows.append((packed[starts[k] : ends[k + width - 1]], doc, row, at + k))
+            windows.append((packed[starts[k] : ends[k + width - 1]], doc, row, k, at))
     windows.sort()
     before, first = None, 0
-    for window, doc, row, at in windows:
+    for window, doc, row, k, places in windows:
         if window != before:
             before, first = window, doc
-        elif doc > first:
-            yield doc, row, at, at + width
+        if doc > first:
+            for at in places:
+                yield doc, row, at + k, at + k + width
 
 
 def _bucket_scan(packed: DataFrame, width: int) -> DataFrame:
@@ -157,7 +159,7 @@ def _bucket_scan(packed: DataFrame, width: int) -> DataFrame:
     return packed.mapInArrow(run, "doc_id long, row long, start long, stop long")
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot_docs: int = HOT_DOCS) -> DataFrame:
     """(row, doc_id, text, ranges) of the rows from which something is removed.
 
     ranges are the words, (start, stop) with stop exclusive, covered by windows
@@ -172,8 +174,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gram = min(gram, width)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     minis = _minimisers(own, width, gram)
-    shared = minis.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("runs").alias("n")).where("lo < hi")
-    shared = materialise(shared.select("mini", (F.col("n") > hot_runs).alias("is_hot")), "shared")
+    shared = minis.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    shared = materialise(shared.select("mini", (F.col("n") > hot_docs).alias("is_hot")), "shared")
     mine = minis.join(shared, "mini").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("is_hot"), F.col("mini"))).alias("shared"), F.collect_set(F.when(F.col("is_hot"), F.col("mini"))).alias("hot"))
     rows = own.withColumn("row", F.xxhash64("doc_id", "text")).join(mine, "doc_id").select("row", "doc_id", "text", "shared", "hot")
     rows = materialise(rows, "candidates")
