@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, with_share
+from shelfmark.llm.common import materialise, sent_if_few, with_share
 
 # The patterns. Loops are possessive and the runs they start with
 # are entered at their front only (or where the last match ended), which finds
@@ -39,6 +39,8 @@ CONTEXT_CHARS = 100
 MIN_TERM_CHARS = 4
 #: Terms that are sent to all workers; more are joined by shuffle.
 MAX_SENT_TERMS = 50_000
+#: Rows that hold terms whose keys and terms are sent to all workers; more are joined by shuffle.
+MAX_SENT_ROWS = 100_000
 LETTERS = r"\p{L}+"
 
 
@@ -157,7 +159,8 @@ def term_spans(rows: DataFrame, text: str, key: str, terms: DataFrame) -> DataFr
     hit = words.join(F.broadcast(terms) if small else terms, "term")
     own = materialise(hit.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("term", F.struct("kind", "action")))).alias("told")), "told")
     t = F.col(text)
-    parts = rows.dropDuplicates([key]).join(own, key).select(key, "told", F.regexp_extract_all(t, F.lit(LETTERS), F.lit(0)).alias("words"), F.transform(F.split(t, LETTERS, -1), lambda g: F.length(g)).alias("gaps"))
+    # Few rows hold a term: they are picked where they are read, and only then reduced to one of each key.
+    parts = rows.join(sent_if_few(own, MAX_SENT_ROWS), key).dropDuplicates([key]).select(key, "told", F.regexp_extract_all(t, F.lit(LETTERS), F.lit(0)).alias("words"), F.transform(F.split(t, LETTERS, -1), lambda g: F.length(g)).alias("gaps"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,kind:string,action:string>>").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
