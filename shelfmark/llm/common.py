@@ -85,9 +85,8 @@ def worker_cache(owner: str) -> dict:
     return _KEPT[owner]
 
 
-def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; at their end the worker, which lives on idle beside others, gives freed memory back."""
-    yield from batches
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -95,6 +94,12 @@ def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pass
 
 
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end the worker, which lives on idle beside others, gives freed memory back."""
+    yield from batches
+    give_back()
+
+
 def lower_ascii(text: str | None) -> bytes:
     """UTF-8 with A-Z lower-cased and nothing else changed."""
     return (text or "").encode("utf-8", "surrogatepass").lower()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import chunks, hash_words, lower_ascii, materialise, small_batches
+from shelfmark.llm.common import chunks, give_back, hash_words, lower_ascii, materialise, small_batches
 from shelfmark.llm.symbols import code_points, fine_table, ngram_codes
 
 SYMBOLS, BITS = 64, 6
@@ -220,6 +220,8 @@ def count_corpus(docs: DataFrame, parts: int) -> DataFrame:
         # The part of a string is that of its last TOP + 1 symbols, so they are counted nowhere else.
         short, short_n = add_up(codes & (SYMBOLS ** (TOP + 1) - 1), n)
         packed = [pack(codes), planes(n), pack(words), planes(word_n), pack(short), planes(short_n)]
+        del data
+        give_back()
         return pa.table(
             [group.column("part").slice(0, 1), *(pa.array([x], pa.binary()) for x in packed), *(pa.array([int(x)], pa.int64()) for x in (n.sum(), len(codes), word_n.sum(), len(words)))],
             names=["part", *_COUNTED, "short", "short_n", "total", "distinct", "total_words", "distinct_words"],
@@ -362,20 +364,27 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Both readers of dealt take all its columns and so share one exchange.
     dealt = dealt.repartition(n_blocks, "block")
 
+    def questions(block: int, codes: Sums, words: set[bytes]) -> Iterator[pa.RecordBatch]:
+        asked, _ = codes.totals()
+        hashes = np.unique(hash_words(words, len(words)).view(np.int64))
+        strings, whole = _dealt(part_of(asked >> BITS, parts), asked), _dealt(np.mod(hashes, parts), hashes)
+        yield from _rows({p: [pack(x[p][0]) if p in x else b"" for x in (strings, whole)] for p in {*strings, *whole}}, ("codes", "words"), block=block)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, Sums] = {}
-        words: dict[int, set[bytes]] = {}
+        now: int | None = None
+        codes, words = Sums(), set()
         for batch in chunks(batches, ROWS):
             for text, block in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                if block != now and now is not None:
+                    yield from questions(now, codes, words)
+                    codes, words = Sums(), set()
+                    give_back()
+                now = block
                 found = lower_ascii(text).split()
-                words.setdefault(block, set()).update(found)
-                codes.setdefault(block, Sums()).add(ngram_codes(read_symbols(found)[0], DEPTH + 1, BITS))
-        for block in list(codes):
-            asked, _ = codes.pop(block).totals()
-            own = words.pop(block)
-            hashes = np.unique(hash_words(own, len(own)).view(np.int64))
-            strings, whole = _dealt(part_of(asked >> BITS, parts), asked), _dealt(np.mod(hashes, parts), hashes)
-            yield from _rows({p: [pack(x[p][0]) if p in x else b"" for x in (strings, whole)] for p in {*strings, *whole}}, ("codes", "words"), block=block)
+                words.update(found)
+                codes.add(ngram_codes(read_symbols(found)[0], DEPTH + 1, BITS))
+        if now is not None:
+            yield from questions(now, codes, words)
 
     def answer(own: pa.Table, wanted: pa.Table) -> pa.Table:
         codes, n, known, many = (np.concatenate([np.empty(0, np.int64), *map(f, own.column(c).to_pylist())]) for c, f in zip(_COUNTED, (unpack, of_planes, unpack, of_planes)))
@@ -385,9 +394,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             logs.append(tree.log_next(unpack(codes)).astype(np.float32).tobytes())
             at, there = _at(known, unpack(words))
             found.append(np.where(there, many[at] if len(many) else 0, 0).astype(np.int64).tobytes())
+        del tree, codes, n
+        give_back()
         return pa.table([wanted.column("block"), wanted.column("codes"), pa.array(logs, pa.binary()), wanted.column("words"), pa.array(found, pa.binary())], names=["block", "codes", "logs", "words", "counts"])
 
-    asked = dealt.mapInArrow(ask, "block int, part int, codes binary, words binary")
+    # Several blocks may fall into one task, which holds what it asks for one block at a time.
+    asked = dealt.sortWithinPartitions("block").mapInArrow(ask, "block int, part int, codes binary, words binary")
     told = counts.where("part >= 0").select("part", *_COUNTED)
     answers = told.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "block int, codes binary, logs binary, words binary, counts binary")
 
@@ -422,6 +434,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 word = np.append(gain[x], np.log10(ends + 1.0) - floor)
                 total = np.logaddexp(np.append(tree, log_next[-1]) * np.log(10) + of_tree, word * np.log(10) + of_word) / np.log(10)
                 out.append((len(x) + 1, int((count[x] > 0).sum()) + (1 if ends else 0), float(word.sum()), float(total.sum())))
+        del codes, logs, keys, n
+        give_back()
         columns = list(zip(*out)) or [(), (), (), ()]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([own.column("id"), own.column("held_out"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
