@@ -11,17 +11,17 @@ MAX_ENTRIES = 50_000
 MAX_PATH = 4096
 
 
-def changed_overrides(overrides: DataFrame, baseline: DataFrame) -> DataFrame:
-    """overrides (file_id, definition, value) of definitions whose set of values differs from the baseline's."""
-    as_set = lambda df, name: df.groupBy("file_id", "definition").agg(F.array_sort(F.collect_set("value")).alias(name))
-    both = as_set(overrides, "mine").join(as_set(baseline, "theirs"), ["file_id", "definition"], "left").where(~F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False)))
-    return overrides.join(both.select("file_id", "definition"), ["file_id", "definition"], "left_semi").distinct()
+def changed_overrides(overrides: DataFrame, baseline: DataFrame, owner: str = "file_id") -> DataFrame:
+    """overrides (owner, definition, value) of definitions whose set of values differs from the baseline's; owners are files or collections."""
+    as_set = lambda df, name: df.groupBy(owner, "definition").agg(F.array_sort(F.collect_set("value")).alias(name))
+    both = as_set(overrides, "mine").join(as_set(baseline, "theirs"), [owner, "definition"], "left").where(~F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False)))
+    return overrides.join(both.select(owner, "definition"), [owner, "definition"], "left_semi").distinct()
 
 
-def apply_overrides(attributes: DataFrame, overrides: DataFrame) -> DataFrame:
-    """attributes (file_id, definition, value) with those of an overridden definition replaced."""
-    keys = overrides.select("file_id", "definition").distinct()
-    return attributes.join(keys, ["file_id", "definition"], "left_anti").withColumn("source", F.lit("extracted")).unionByName(overrides.withColumn("source", F.lit("override")))
+def apply_overrides(attributes: DataFrame, overrides: DataFrame, owner: str = "file_id") -> DataFrame:
+    """attributes (owner, definition, value) with those of an overridden definition replaced."""
+    keys = overrides.select(owner, "definition").distinct()
+    return attributes.join(keys, [owner, "definition"], "left_anti").withColumn("source", F.lit("extracted")).unionByName(overrides.withColumn("source", F.lit("override")))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -228,6 +228,16 @@ def editable_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.editable(edits, normalize.definitions_table(spark)).select("file_id", "group", "name", "value", "definition")
 
 
+@query("collection_overrides", "SELECT n_nationkey + 100 AS collection_id, d AS definition, CASE WHEN d = 73 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'The ' || n_name ELSE n_name END ELSE 'in ' || n_regionkey END AS value, CASE WHEN d = 73 AND n_nationkey % 2 = 0 THEN 'override' ELSE 'extracted' END AS source FROM nation, (VALUES (46), (73)) AS t(d)")
+def collection_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of all collections are edited, of the odd ones to what they are: those stay as extracted, like descriptions."""
+    n = a.table(spark, sf_dir, "nation").withColumn("collection_id", F.col("n_nationkey") + 100)
+    own = lambda definition, value: n.select("collection_id", F.lit(definition).alias("definition"), value.alias("value"))
+    base = own(73, F.col("n_name")).unionByName(own(46, F.concat(F.lit("in "), F.col("n_regionkey").cast("string"))))
+    edits = own(73, F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("The "), "n_name")).otherwise(F.col("n_name")))
+    return layers.apply_overrides(base, layers.changed_overrides(edits, base, "collection_id"), "collection_id")
+
+
 @query("jobs_summary", "SELECT count(*) AS n_jobs, 'Running ' || count(*) || ' jobs' AS message, avg(n_nationkey / 32.0) AS progress FROM nation")
 def jobs_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.jobs_summary(a.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit("").alias("status"), (F.col("n_nationkey") / 32).alias("progress")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from io import BytesIO
 
 import pyarrow as pa
@@ -17,6 +17,8 @@ from shelfmark.functions.paths import ancestor_dirs, extension, name_of, parent_
 IGNORED = ["*.part", "*.crdownload", "*.download", "*.tmp", "*.temp", "*.partial", "~$*", ".~lock.*", "Thumbs.db", "desktop.ini", ".DS_Store", "@eaDir/"]
 MARKER = ".noindex"
 FILE_KEYS = ["SourceFile", "Directory", "FileName", "FilePath", "FilePermissions", "FileModifyDate", "FileAccessDate", "FileInodeChangeDate", "FileTypeExtension"]
+# Elements of override files, by the kind of their value.
+OVERRIDE_KINDS = ["text", "int", "float", "date", "timeSpan", "blob"]
 # Content type by extension.
 MIME_BY_EXTENSION = {
     ".txt": "text/plain", ".html": "text/html", ".htm": "text/html", ".md": "text/markdown", ".csv": "text/csv", ".xml": "text/xml", ".json": "application/json", ".pdf": "application/pdf", ".epub": "application/epub+zip",
@@ -161,18 +163,58 @@ def probe_streams(reports: DataFrame) -> DataFrame:
     )
 
 
-def override_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(file, group, name, kind, value) of override files: <file name=".."><attribute group=".." name=".." type="..">value</attribute></file>."""
-    schema = "_name string, attribute array<struct<_group:string,_name:string,_type:string,_VALUE:string>>"
-    files = spark.read.format("xml").option("rowTag", "file").schema(schema).load(path)
-    return files.select(F.col("_name").alias("file"), F.explode("attribute").alias("a")).select("file", F.col("a._group").alias("group"), F.col("a._name").alias("name"), F.col("a._type").alias("kind"), F.col("a._VALUE").alias("value"))
+def _owned(spark: SparkSession, path: str, scope: str, tag: str, owner: Column) -> DataFrame:
+    """Override rows of each element tag, whose name is owner."""
+    one = "array<struct<_group:string,_name:string,_kind:string,_VALUE:string>>"
+    kinds = ",".join(f"{k}:{one}" for k in OVERRIDE_KINDS)
+    schema = "_name string, " + ", ".join(f"{k} {one}" for k in OVERRIDE_KINDS) + f", subResources struct<subResource:array<struct<_id:bigint,_name:string,_kind:string,{kinds}>>>"
+    found = spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).schema(schema).load(path)
+
+    def values(of: Callable[[str], Column], sub_id: Column, sub_name: Column, sub_kind: Column) -> Column:
+        none = F.array().cast("array<struct<sub_id:bigint,sub_name:string,sub_kind:string,group:string,name:string,kind:string,value:string>>")
+
+        def rows(kind: str) -> Column:
+            def row(v: Column) -> Column:
+                said = F.when(F.lower(v["_kind"]).isin("big", "formatted"), F.concat(F.lower(v["_kind"]), F.lit("Text"))).otherwise(kind) if kind == "text" else F.lit(kind)
+                named = [sub_id.alias("sub_id"), sub_name.alias("sub_name"), sub_kind.alias("sub_kind"), v["_group"].alias("group"), v["_name"].alias("name")]
+                return F.struct(*named, said.alias("kind"), F.coalesce(v["_VALUE"], F.lit("")).alias("value"))
+
+            return F.coalesce(F.transform(of(kind), row), none)
+
+        return F.concat(*map(rows, OVERRIDE_KINDS))
 
+    nothing = F.lit(None).cast("string")
+    own = values(lambda k: F.col(k), F.lit(None).cast("bigint"), nothing, nothing)
+    below = F.flatten(F.transform(F.col("subResources.subResource"), lambda r: values(lambda k: r[k], r["_id"], r["_name"], r["_kind"])))
+    rows = found.select(F.col("_metadata.file_path").alias("sidecar"), owner.alias("owner"), F.explode(F.concat(own, F.coalesce(below, F.slice(own, 1, 0)))).alias("e"))
+    return rows.select("sidecar", F.lit(scope).alias("scope"), "owner", "e.*")
 
-def write_overrides(overrides: DataFrame, path: str) -> None:
-    """Writes (file, group, name, kind, value) as override files, one element for each file."""
-    a = F.struct(F.col("group").alias("_group"), F.col("name").alias("_name"), F.col("kind").alias("_type"), F.col("value").alias("_VALUE"))
-    files = overrides.where(F.col("value") != "").groupBy(F.col("file").alias("_name")).agg(F.array_sort(F.collect_list(a)).alias("attribute"))
-    files.write.format("xml").option("rootTag", "overrides").option("rowTag", "file").mode("overwrite").save(path)
+
+def override_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(sidecar, scope, owner, sub_id, sub_name, sub_kind, group, name, kind, value) of override files.
+
+    An override file holds an element file or collection for each owner, by name, or, in
+    the older form, one element metadata for the single file that it lies beside; its owner
+    is null. Each has elements text, int, float, date, timeSpan and blob with group and
+    name, and the same below subResources. Owners are meant without regard to case.
+    """
+    named = [_owned(spark, path, scope, scope, F.col("_name")) for scope in ("file", "collection")]
+    return named[0].unionByName(named[1]).unionByName(_owned(spark, path, "file", "metadata", F.lit(None).cast("string")))
+
+
+def write_overrides(overrides: DataFrame, path: str, scope: str = "file", root: str = "overrides") -> None:
+    """Writes rows of one scope, as override_xml() reads them, one element for each owner; rows without a value are none."""
+    rows = overrides.where((F.col("scope") == scope) & (F.col("value") != ""))
+    big = F.when(F.col("kind") == "bigText", "big").when(F.col("kind") == "formattedText", "formatted")
+    entry = F.struct(F.col("group").alias("_group"), F.col("name").alias("_name"), big.alias("_kind"), F.col("value").alias("_VALUE"))
+    tag = F.when(big.isNotNull(), "text").otherwise(F.col("kind"))
+    some = lambda k: F.array_sort(F.collect_list(F.when(tag == k, entry)))
+    lists = [F.when(F.size(some(k)) > 0, some(k)).alias(k) for k in OVERRIDE_KINDS]
+    by_part = rows.groupBy("owner", "sub_id", "sub_name", "sub_kind").agg(*lists)
+    own = by_part.where("sub_name is null").select(F.col("owner").alias("_name"), *OVERRIDE_KINDS)
+    part = F.struct(F.col("sub_id").alias("_id"), F.col("sub_name").alias("_name"), F.lower("sub_kind").alias("_kind"), *OVERRIDE_KINDS)
+    parts = by_part.where("sub_name is not null").groupBy(F.col("owner").alias("_name")).agg(F.struct(F.sort_array(F.collect_list(part)).alias("subResource")).alias("subResources"))
+    own.join(parts, "_name", "full").write.format("xml").option("rootTag", root).option("rowTag", scope).mode("overwrite").save(path)
 
 
 def zip_entries(archives: DataFrame) -> DataFrame:

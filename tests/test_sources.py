@@ -49,12 +49,40 @@ def test_probe_and_archives(spark):
     assert got == {(7, "dir/a.MP3"): "TUNE", (7, "B.TXT"): "TEXT", (7, "none"): None, (8, "q"): None}
 
 
-def test_override_files_and_reports(spark, tmp_path):
-    rows = [("a.txt", "General", "Title", "text", "one"), ("a.txt", "General", "Tag", "text", "two"), ("b.txt", "General", "Tag", "text", "")]
-    df = spark.createDataFrame(rows, "file string, group string, name string, kind string, value string")
-    readers.write_overrides(df, str(tmp_path / "xml"))
-    assert {tuple(r) for r in readers.override_xml(spark, str(tmp_path / "xml")).collect()} == set(rows[:2])
-    readers.write_report(df, str(tmp_path / "csv"))
+COLUMNS = "sidecar string, scope string, owner string, sub_id long, sub_name string, sub_kind string, group string, name string, kind string, value string"
+
+
+def test_override_files(spark, tmp_path):
+    (tmp_path / "named.xml").write_text(
+        """<?xml version="1.0"?><any version="2"><file name="a.txt"><text group="General" name="Title">one</text><text kind="Big" group="General" name="Notes">long</text><int name="Rating">4</int><timeSpan group="Media" name="Duration">00:01:00</timeSpan>
+        <subResources><subResource id="2" name="Track 2" kind="audiostream"><text group="Audio" name="Codec">flac</text><float name="Rate">1.5</float></subResource></subResources></file>
+        <file name="none.txt"></file><collection name="shows/x"><date group="General" name="Released">01/02/2020</date></collection></any>"""
+    )
+    (tmp_path / "single.xml").write_text("""<metadata><text group="General" name="Title">old form</text><blob name="Cover">AAEC</blob></metadata>""")
+    got = {tuple(r)[1:] for r in readers.override_xml(spark, f"{tmp_path}/*.xml").collect()}
+    none = (None, None, None)
+    assert got == {
+        ("file", "a.txt", *none, "General", "Title", "text", "one"), ("file", "a.txt", *none, "General", "Notes", "bigText", "long"), ("file", "a.txt", *none, None, "Rating", "int", "4"), ("file", "a.txt", *none, "Media", "Duration", "timeSpan", "00:01:00"),
+        ("file", "a.txt", 2, "Track 2", "audiostream", "Audio", "Codec", "text", "flac"), ("file", "a.txt", 2, "Track 2", "audiostream", None, "Rate", "float", "1.5"),
+        ("collection", "shows/x", *none, "General", "Released", "date", "01/02/2020"), ("file", None, *none, "General", "Title", "text", "old form"), ("file", None, *none, None, "Cover", "blob", "AAEC"),
+    }
+    assert {r.sidecar.rsplit("/", 1)[1] for r in readers.override_xml(spark, f"{tmp_path}/*.xml").where("owner is null").collect()} == {"single.xml"}
+
+
+def test_overrides_come_back(spark, tmp_path):
+    none = (None, None, None)
+    rows = [
+        ("file", "a.txt", *none, "General", "Title", "text", "one"), ("file", "a.txt", *none, "General", "Tag", "formattedText", "<b>two</b> & more"), ("file", "a.txt", 1, "One", "videostream", None, "Width", "int", "640"),
+        ("file", "c.txt", None, "Only", "page", "General", "Title", "text", "part"), ("collection", "x", *none, "General", "Title", "text", "show"), ("file", "b.txt", *none, "General", "Tag", "text", ""),
+    ]
+    df = spark.createDataFrame([(None, *r) for r in rows], COLUMNS)
+    for scope in ("file", "collection"):
+        readers.write_overrides(df, f"{tmp_path}/{scope}", scope)
+        assert {tuple(r)[1:] for r in readers.override_xml(spark, f"{tmp_path}/{scope}").collect()} == {r for r in rows if r[0] == scope and r[-1]}
+
+
+def test_reports(spark, tmp_path):
+    readers.write_report(spark.range(3), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
 
 
