@@ -1,21 +1,26 @@
 """Ranked full-text search over content and text attributes.
 
-A query is a union of branches: the words as typed, with quoted phrases and
-negation, and all of them as prefixes under folded accents. A text matches if
-any branch does. The rank is own: the sum over query terms of tf / (tf + 1).
+A query is a union of branches: the words as typed, with quoted phrases, "or" and
+negation, the same by their stems for each language asked for, and all words as
+prefixes under folded accents. A text matches if any branch does. The rank is own:
+the sum over query terms of tf / (tf + 1). No word is passed over as too common.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import unaccent
+from shelfmark.functions.stems import porter, stemmed
 
 START, STOP = "\x01", "\x02"
+#: Languages whose words are told by stems.
+LANGUAGES = ("english",)
 
 
 def tokens(text: Column) -> Column:
@@ -40,20 +45,42 @@ def prefix_terms(query: str) -> list[str]:
     return [t for t in (re.sub(r"[^\w]|_", "", w) for w in fold(query).split()) if t]
 
 
-def web_terms(query: str) -> tuple[list[list[str]], list[str]]:
-    """Phrases (lists of words) that must occur and words that must not."""
-    must, must_not = [], []
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
+def alternatives(query: str) -> list[tuple[list[list[str]], list[list[str]]]]:
+    """Of each alternative the phrases (lists of words) that must occur and those that must not.
+
+    "or" parts alternatives where it stands between two terms, and is a word elsewhere.
+    """
+    found: list[tuple[list[list[str]], list[list[str]]]] = [([], [])]
+    parts = re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query)
+    after_term = False
+    for at, (minus, phrase, word) in enumerate(parts):
+        if after_term and not minus and word.lower() == "or" and at + 1 < len(parts):
+            found.append(([], []))
+            after_term = False
+            continue
         words = re.findall(r"[^\W_]+", fold(phrase or word))
-        if minus:
-            must_not += words
-        elif words:
-            must.append(words)
-    return must, must_not
+        if words:
+            found[-1][1 if minus else 0].append(words)
+        after_term = True
+    return [(must, must_not) for must, must_not in found if must or must_not]
+
 
+def _as_typed(own: Column, query: str, form: Callable[[str], str] = str) -> Column:
+    """Whether an array of words, in a form, matches any alternative of a query."""
 
-def matches(own: Column, query: str) -> Column:
-    """Whether an array of tokens matches a query in either branch."""
+    def phrase(words: list[str]) -> Column:
+        words = [*map(form, words)]
+        if len(words) == 1:
+            return F.array_contains(own, words[0])
+        joined = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
+        return F.contains(joined, F.lit(f" {' '.join(words)} "))
+
+    each = [reduce(Column.__and__, [*map(phrase, must), *[~phrase(w) for w in must_not]]) for must, must_not in alternatives(query)]
+    return reduce(Column.__or__, each, F.lit(False))
+
+
+def matches(own: Column, query: str, stems: Column | None = None) -> Column:
+    """Whether an array of tokens, and of their stems, matches a query in any branch."""
     prefixes = prefix_terms(query)
     if not prefixes:
         return F.lit(False)
@@ -62,51 +89,73 @@ def matches(own: Column, query: str) -> Column:
         return F.exists(own, lambda t: t.startswith(p))
 
     by_prefix = reduce(Column.__and__, map(begins, prefixes))
-    must, must_not = web_terms(query)
+    found = by_prefix | _as_typed(own, query)
+    return found if stems is None else found | _as_typed(stems, query, porter)
 
-    def phrase(words: list[str]) -> Column:
-        if len(words) == 1:
-            return F.array_contains(own, words[0])
-        joined = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
-        return F.contains(joined, F.lit(f" {' '.join(words)} "))
-
-    exact = reduce(Column.__and__, [*[phrase(w) for w in must], *[~F.array_contains(own, w) for w in must_not]], F.lit(True))
-    return by_prefix | exact
 
+def rank(own: Column, query: str, stems: Column | None = None) -> Column:
+    """A token counts for a term that it begins with, or whose stem is its own."""
 
-def rank(own: Column, query: str) -> Column:
     def term(p: str) -> Column:
-        tf = F.size(F.filter(own, lambda t: t.startswith(p))).cast("double")
+        if stems is None:
+            counted = F.filter(own, lambda t: t.startswith(p))
+        else:
+            counted = F.filter(F.zip_with(own, stems, lambda t, s: t.startswith(p) | (s == porter(p))), lambda hit: hit)
+        tf = F.size(counted).cast("double")
         return tf / (tf + 1)
 
     return reduce(Column.__add__, [term(p) for p in prefix_terms(query)], F.lit(0.0))
 
 
-def snippet(text: Column, query: str, before: int = 4, words: int = 16) -> Column:
-    """Some words around the first hit, hits between sentinels."""
+def snippet(text: Column, query: str, before: int = 4, words: int = 16, fragments: int = 1, by_stem: bool = False) -> Column:
+    """Some words around the first hit, and around the first hit after these, and so on; hits between sentinels."""
     parts = F.split(text, r"\s+", -1)
+    terms = prefix_terms(query)
     own = lambda w: unaccent(F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))
-    hit = lambda w: reduce(Column.__or__, [own(w).startswith(p) for p in prefix_terms(query)], F.lit(False))
-    found = F.array_position(F.transform(parts, hit), True)
-    start = F.greatest(F.lit(1), found - before)
-    window = F.slice(parts, start.cast("int"), F.lit(words))
-    return F.array_join(F.transform(window, lambda w: F.when(hit(w), F.concat(F.lit(START), w, F.lit(STOP))).otherwise(w)), " ")
-
-
-def may_match(text: Column, query: str) -> Column:
-    """False only for texts that match in neither branch: told from the text, before it is cut into tokens."""
+    hit = lambda w: reduce(Column.__or__, [own(w).startswith(p) for p in terms], F.lit(False))
+    marks = F.transform(parts, hit)
+    if by_stem and terms:
+        marks = F.zip_with(marks, stemmed(F.transform(parts, own)), lambda m, s: m | s.isin(*map(porter, terms)))
+
+    def window(start: Column) -> Column:
+        cut = [F.slice(x, start.cast("int"), F.lit(words)) for x in (parts, marks)]
+        return F.array_join(F.zip_with(*cut, lambda w, m: F.when(m, F.concat(F.lit(START), w, F.lit(STOP))).otherwise(w)), " ")
+
+    start = F.greatest(F.lit(1), F.array_position(marks, True) - before)
+    found = [window(start)]
+    for _ in range(1, fragments):
+        after = start + words
+        nearest = F.array_position(F.slice(marks, after.cast("int"), F.size(marks)), True)
+        start = F.when(nearest > 0, F.greatest(after, after + nearest - 1 - before))
+        found.append(window(start))
+    return F.concat_ws(" ... ", *found)
+
+
+def may_match(text: Column, query: str, by_stem: bool = False) -> Column:
+    """False only for texts that match in no branch: told from the text, before it is cut into tokens.
+
+    A word begins with its stem but for the last letter of that.
+    """
     folded = unaccent(F.lower(text))
     holds = lambda words: reduce(Column.__and__, [F.contains(folded, F.lit(w)) for w in words], F.lit(True))
-    must, _ = web_terms(query)
-    return holds(prefix_terms(query)) | holds([w for words in must for w in words])
-
-
-def hits(texts: DataFrame, query: str, source: str, with_snippet: bool = False) -> DataFrame:
-    """(file_id, rank, source[, snippet]) of texts that match."""
-    texts = texts.where(may_match(F.col("content"), query))
-    own = texts.withColumn("tokens", tokens(F.col("content"))).where(matches(F.col("tokens"), query))
-    extra = [snippet(F.col("content"), query).alias("snippet")] if with_snippet else []
-    return own.select("file_id", rank(F.col("tokens"), query).alias("rank"), F.lit(source).alias("source"), *extra)
+    begin = [prefix_terms(query)]
+    for must, _ in alternatives(query):
+        words = [w for phrase in must for w in phrase]
+        begin += [words, [porter(w)[:-1] for w in words]] if by_stem else [words]
+    return reduce(Column.__or__, map(holds, begin))
+
+
+def hits(texts: DataFrame, query: str, source: str, with_snippet: bool = False, languages: tuple[str, ...] = (), fragments: int = 1) -> DataFrame:
+    """(file_id, rank, source[, snippet]) of texts that match; languages adds a branch by stems."""
+    if unknown := set(languages) - set(LANGUAGES):
+        raise ValueError(f"no stems for {sorted(unknown)}")
+    own = texts.where(may_match(F.col("content"), query, bool(languages))).withColumn("tokens", tokens(F.col("content")))
+    stems = None
+    if languages:
+        own, stems = own.withColumn("stems", stemmed(F.col("tokens"))), F.col("stems")
+    own = own.where(matches(F.col("tokens"), query, stems))
+    extra = [snippet(F.col("content"), query, fragments=fragments, by_stem=bool(languages)).alias("snippet")] if with_snippet else []
+    return own.select("file_id", rank(F.col("tokens"), query, stems).alias("rank"), F.lit(source).alias("source"), *extra)
 
 
 def merge_hits(*parts: DataFrame) -> DataFrame:
@@ -116,14 +165,16 @@ def merge_hits(*parts: DataFrame) -> DataFrame:
     return every.groupBy("file_id").agg(F.max("rank").alias("rank"), F.bool_or(F.col("source") == "content").alias("in_content"), F.bool_or(F.col("source") == "metadata").alias("in_metadata"), *best)
 
 
-def search(contents: DataFrame, attributes: DataFrame, query: str, include_content: bool = False, include_metadata: bool = False, with_snippet: bool = False) -> DataFrame:
+def search(
+    contents: DataFrame, attributes: DataFrame, query: str, include_content: bool = False, include_metadata: bool = False, with_snippet: bool = False, languages: tuple[str, ...] = (), fragments: int = 1
+) -> DataFrame:
     """merge_hits() of contents (file_id, content) and attributes (file_id, value_text); of neither source both are searched, and a blank query finds nothing."""
     sources = []
     if include_content or not include_metadata:
-        sources.append(hits(contents, query, "content", with_snippet))
+        sources.append(hits(contents, query, "content", with_snippet, languages, fragments))
     if include_metadata or not include_content:
         texts = attributes.where("value_text is not null").select("file_id", F.col("value_text").alias("content"))
-        sources.append(hits(texts, query, "metadata", with_snippet))
+        sources.append(hits(texts, query, "metadata", with_snippet, languages, fragments))
     return merge_hits(*sources)
 
 

@@ -12,7 +12,7 @@ from shelfmark.operators import collections as coll
 from shelfmark.plans import adapters as a
 from shelfmark.plans import oracle as o
 from shelfmark.plans import vocabulary
-from shelfmark.plans.catalog import _FOLD, _UNION, _WORDS, _all, _music, _rank, _tree, query
+from shelfmark.plans.catalog import _CLEAN, _FOLD, _UNION, _WORDS, _all, _music, _rank, _tree, query
 from shelfmark.sources import readers
 from shelfmark.streaming import debounce as quiet
 
@@ -135,10 +135,34 @@ def search_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(a.document_files(spark, sf_dir), _music(spark, sf_dir, (7,)), " \t ").agg(F.count("*").alias("n"))
 
 
-@query("search_postings", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id, {_rank(['thend', 'erand'])} AS rank FROM d WHERE {_all(['thend', 'erand'])}")
+@query("search_alternatives", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id, {_rank(['edin', 'or', 'ouou', 'of', 'the'])} AS rank FROM d WHERE {_all(['edin', 'or', 'ouou', 'of', 'the'])} OR list_contains(toks, 'edin') OR (list_contains(toks, 'ouou') AND NOT contains(' ' || array_to_string(toks, ' ') || ' ', ' of the '))")
+def search_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms parted by "or"; a negated phrase goes with its own alternative. As prefixes all words count, "or" too."""
+    return search.hits(a.document_files(spark, sf_dir), 'edin OR ouou -"of the"', "content").select("file_id", "rank")
+
+
+@query("search_stems")
+def search_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content and attributes by stems too, with two fragments each; SQL has no stems, so tests compare this with plain loops."""
+    contents = a.files(spark, sf_dir).where(F.col("mime").startswith("text/")).select("file_id", "content")
+    return search.search(contents, normalize.normalize(a.text_raw(spark, sf_dir)), "ering oning", with_snippet=True, languages=("english",), fragments=2)
+
+
+@query("search_fragments", f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks, string_split_regex(text, '\\s+') AS ws FROM documents),
+m AS (SELECT doc_id, ws, list_transform(ws, lambda w: starts_with({_CLEAN}, 'the')) AS ms FROM d WHERE {_all(['the'])}),
+p AS (SELECT *, greatest(1, list_position(ms, true) - 4) AS s1 FROM m),
+q AS (SELECT *, list_position(ms[s1 + 16:], true) AS nxt FROM p),
+r AS (SELECT *, list_transform(ws, lambda w: CASE WHEN starts_with({_CLEAN}, 'the') THEN chr(1) || w || chr(2) ELSE w END) AS marked, greatest(s1 + 16, s1 + 15 + nxt - 4) AS s2 FROM q)
+SELECT doc_id AS file_id, array_to_string(marked[s1:s1 + 15], ' ') || CASE WHEN nxt > 0 THEN ' ... ' || array_to_string(marked[s2:s2 + 15], ' ') ELSE '' END AS snippet FROM r""")
+def search_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of two fragments: the second is about the first hit after the first."""
+    return search.hits(a.document_files(spark, sf_dir), "the", "content", with_snippet=True, fragments=2).select("file_id", "snippet")
+
+
+@query("search_postings", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id, {_rank(['thesing', 'eron'])} AS rank FROM d WHERE {_all(['thesing', 'eron'])}")
 def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix branch from postings alone."""
-    return search.search_postings(search.postings(a.document_files(spark, sf_dir)), "Thend erand")
+    return search.search_postings(search.postings(a.document_files(spark, sf_dir)), "Thesing eron")
 
 
 # --- folders, items and edits ----------------------------------------------------------

@@ -504,15 +504,15 @@ def _all(terms: list[str]) -> str:
     return " AND ".join(f"{_TF.format(t)} > 0" for t in terms)
 
 
-@query("search_simple_prefix", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id, {_rank(['thend', 'erand'])} AS rank FROM d WHERE {_all(['thend', 'erand'])}")
+@query("search_simple_prefix", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id, {_rank(['thesing', 'eron'])} AS rank FROM d WHERE {_all(['thesing', 'eron'])}")
 def search_simple_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hits(a.document_files(spark, sf_dir), "Thend erand", "content").select("file_id", "rank")
+    return search.hits(a.document_files(spark, sf_dir), "Thesing eron", "content").select("file_id", "rank")
 
 
-@query("search_negated", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id FROM d WHERE ({_all(['thend', 'the'])}) OR (list_contains(toks, 'thend') AND NOT list_contains(toks, 'the'))")
+@query("search_negated", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id FROM d WHERE ({_all(['thesing', 'the'])}) OR (list_contains(toks, 'thesing') AND NOT list_contains(toks, 'the'))")
 def search_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A negated word still matches through the prefix branch."""
-    return search.hits(a.document_files(spark, sf_dir), "thend -the", "content").select("file_id")
+    return search.hits(a.document_files(spark, sf_dir), "thesing -the", "content").select("file_id")
 
 
 @query("search_phrase", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id, contains(' ' || array_to_string(toks, ' ') || ' ', ' of the ') AS exact FROM d WHERE {_all(['of', 'the'])}")
@@ -554,12 +554,12 @@ _CLEAN = "strip_accents(lower(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')))"
 
 
 @query("search_snippet", f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks, string_split_regex(text, '\\s+') AS ws FROM documents),
-p AS (SELECT doc_id, ws, list_position(list_transform(ws, lambda w: starts_with({_CLEAN}, 'thend')), true) AS pos FROM d WHERE {_all(['thend'])}),
+p AS (SELECT doc_id, ws, list_position(list_transform(ws, lambda w: starts_with({_CLEAN}, 'thesing')), true) AS pos FROM d WHERE {_all(['thesing'])}),
 s AS (SELECT doc_id, list_slice(ws, greatest(1, pos - 4), greatest(1, pos - 4) + 15) AS part FROM p)
-SELECT doc_id AS file_id, replace(replace(replace(replace(replace(replace(replace(array_to_string(list_transform(part, lambda w: CASE WHEN starts_with({_CLEAN}, 'thend') THEN chr(1) || w || chr(2) ELSE w END), ' '),
+SELECT doc_id AS file_id, replace(replace(replace(replace(replace(replace(replace(array_to_string(list_transform(part, lambda w: CASE WHEN starts_with({_CLEAN}, 'thesing') THEN chr(1) || w || chr(2) ELSE w END), ' '),
  '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), chr(1), '<mark>'), chr(2), '</mark>') AS snippet FROM s""")
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.hits(a.document_files(spark, sf_dir), "thend", "content", with_snippet=True)
+    found = search.hits(a.document_files(spark, sf_dir), "thesing", "content", with_snippet=True)
     return found.select("file_id", paths.highlighted(F.col("snippet")).alias("snippet"))
 
 
