@@ -17,7 +17,9 @@ Contexts of up to TOP symbols, 64**TOP at most whatever the corpus, are all kept
 sent to the workers. What lies below them grows with the corpus and stays dealt out
 by its last TOP symbols, each part with whole subtrees. Documents are dealt into
 blocks; a block asks the parts for its own distinct strings of DEPTH + 1 symbols
-and for the counts of its distinct words, which are dealt out by hash.
+and for the counts of its distinct words, which are dealt out by hash. A part adds up
+what the tasks counted, and answers the blocks, some at a time (STEP of them), so that
+no group grows with the corpus; a part's own strings are bounded by the alphabet.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +52,8 @@ FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block of documents that is scored together.
 BLOCK_BYTES = 16 << 20
 ROWS = 256
+#: Blocks, or what is counted over as much text, that a group of one part meets at most, about.
+STEP = 256
 #: Strings that are counted at a time.
 CODES = 1_000_000
 #: Distinct strings, and distinct words, that a counting task holds before it passes them on.
@@ -163,9 +168,11 @@ def _rows(parts: dict[int, list[bytes]], names: tuple[str, ...], **fixed: int) -
 
 
 def tally(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, codes, n, words, word_n) as tasks count them: strings of DEPTH + 1 symbols by part, words by hash, packed."""
+    """(step, part, codes, n, words, word_n) as tasks count them: strings of DEPTH + 1 symbols by part, words by hash, packed; step is the task's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        step = context.partitionId() if context else 0
         words_seen: Counter[bytes] = Counter()
         grams = Sums()
         points_seen = np.zeros(0x110000, np.int64)
@@ -174,14 +181,14 @@ def tally(docs: DataFrame, parts: int) -> DataFrame:
         def strings() -> Iterator[pa.RecordBatch]:
             codes, n = grams.totals()
             found = _dealt(part_of(codes >> BITS, parts), codes, n)
-            return _rows({p: [pack(c), planes(m), b"", b""] for p, (c, m) in found.items()}, _COUNTED)
+            return _rows({p: [pack(c), planes(m), b"", b""] for p, (c, m) in found.items()}, _COUNTED, step=step)
 
         def whole_words() -> Iterator[pa.RecordBatch]:
             keys, n = hash_words(words_seen, len(words_seen)).view(np.int64), np.fromiter(words_seen.values(), np.int64, len(words_seen))
             order = np.argsort(keys)
             found = _dealt(np.mod(keys[order], parts), keys[order], n[order])
             words_seen.clear()
-            return _rows({p: [b"", b"", pack(k), planes(m)] for p, (k, m) in found.items()}, _COUNTED)
+            return _rows({p: [b"", b"", pack(k), planes(m)] for p, (k, m) in found.items()}, _COUNTED, step=step)
 
         for batch in chunks(batches, ROWS):
             for text in batch.column(0).to_pylist():
@@ -201,26 +208,39 @@ def tally(docs: DataFrame, parts: int) -> DataFrame:
             yield from strings()
             yield from whole_words()
             found = np.flatnonzero(points_seen)
-            yield from _rows({POINTS: [pack(found), planes(points_seen[found]), b"", b""], ENDS: [pack(np.zeros(1, np.int64)), planes(np.array([ends])), b"", b""]}, _COUNTED)
+            yield from _rows({POINTS: [pack(found), planes(points_seen[found]), b"", b""], ENDS: [pack(np.zeros(1, np.int64)), planes(np.array([ends])), b"", b""]}, _COUNTED, step=step)
 
-    return docs.select("text").mapInArrow(run, "part int, codes binary, n binary, words binary, word_n binary")
+    return docs.select("text").mapInArrow(run, "step int, part int, codes binary, n binary, words binary, word_n binary")
 
 
-def count_corpus(docs: DataFrame, parts: int) -> DataFrame:
-    """One row for each part: tally() added up, short (strings of TOP + 1 symbols) with short_n, and totals."""
+def _added(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of one part, added up."""
+    data = {c: group.column(c).to_pylist() for c in _COUNTED}
+    codes, n = add_up(np.concatenate([*map(unpack, data["codes"])]), np.concatenate([*map(of_planes, data["n"])]))
+    words, word_n = np.concatenate([*map(unpack, data["words"])]), np.concatenate([*map(of_planes, data["word_n"])])
+    order = np.argsort(words)
+    words, word_n = words[order], word_n[order]
+    first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.empty(0, np.int64)
+    return codes, n, words[first], np.add.reduceat(word_n, first) if len(first) else word_n
+
+
+def count_corpus(docs: DataFrame, parts: int, steps: int = 1, step: int = STEP) -> DataFrame:
+    """One row for each part: tally() added up, short (strings of TOP + 1 symbols) with short_n, and totals.
+
+    What the tasks counted is first added up in steps groups a part, each step of these in one, and so on.
+    """
+
+    def some(group: pa.Table) -> pa.Table:
+        codes, n, words, word_n = _added(group)
+        packed = [pack(codes), planes(n), pack(words), planes(word_n)]
+        give_back()
+        return pa.table([group.column("step").slice(0, 1), group.column("part").slice(0, 1), *(pa.array([x], pa.binary()) for x in packed)], names=["step", "part", *_COUNTED])
 
     def merge(group: pa.Table) -> pa.Table:
-        data = {c: group.column(c).to_pylist() for c in _COUNTED}
-        codes, n = add_up(np.concatenate([*map(unpack, data["codes"])]), np.concatenate([*map(of_planes, data["n"])]))
-        words, word_n = np.concatenate([*map(unpack, data["words"])]), np.concatenate([*map(of_planes, data["word_n"])])
-        order = np.argsort(words)
-        words, word_n = words[order], word_n[order]
-        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.empty(0, np.int64)
-        words, word_n = words[first], np.add.reduceat(word_n, first) if len(first) else word_n
+        codes, n, words, word_n = _added(group)
         # The part of a string is that of its last TOP + 1 symbols, so they are counted nowhere else.
         short, short_n = add_up(codes & (SYMBOLS ** (TOP + 1) - 1), n)
         packed = [pack(codes), planes(n), pack(words), planes(word_n), pack(short), planes(short_n)]
-        del data
         give_back()
         return pa.table(
             [group.column("part").slice(0, 1), *(pa.array([x], pa.binary()) for x in packed), *(pa.array([int(x)], pa.int64()) for x in (n.sum(), len(codes), word_n.sum(), len(words)))],
@@ -228,7 +248,11 @@ def count_corpus(docs: DataFrame, parts: int) -> DataFrame:
         )
 
     schema = "part int, codes binary, n binary, words binary, word_n binary, short binary, short_n binary, total long, distinct long, total_words long, distinct_words long"
-    return tally(docs, parts).groupBy("part").applyInArrow(merge, schema)
+    counted = tally(docs, parts)
+    while steps > 1:
+        counted = counted.withColumn("step", (F.col("step") % steps).cast("int")).groupBy("part", "step").applyInArrow(some, counted.schema)
+        steps = -(-steps // step)
+    return counted.groupBy("part").applyInArrow(merge, schema)
 
 
 def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,7 +362,7 @@ def fit_top(counts: DataFrame) -> Top:
     return Top.fit(*both("part >= 0", "short", "short_n"), *both(f"part = {POINTS}", "codes", "n"))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, step: int = STEP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Null texts are empty: one token, the end. A null id counts as an empty one.
@@ -354,7 +378,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // block_bytes))
     parts = min(n_blocks, MAX_PARTS)
-    counts = materialise(count_corpus(rows.where("not held_out"), parts), "counts")
+    slices = -(-n_blocks // step)
+    counts = materialise(count_corpus(rows.where("not held_out"), parts, slices, step), "counts")
     n_words, n_distinct = counts.where("part >= 0").agg(F.coalesce(F.sum("total_words"), F.lit(0)), F.coalesce(F.sum("distinct_words"), F.lit(0))).first()
     ends = counts.where(f"part = {ENDS}").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     n_train, n_distinct = n_words + ends, n_distinct + (1 if ends else 0)
@@ -400,8 +425,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Several blocks may fall into one task, which holds what it asks for one block at a time.
     asked = dealt.sortWithinPartitions("block").mapInArrow(ask, "block int, part int, codes binary, words binary")
-    told = counts.where("part >= 0").select("part", *_COUNTED)
-    answers = told.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "block int, codes binary, logs binary, words binary, counts binary")
+    # A part answers the blocks of each slice in a group of its own.
+    asked = asked.withColumn("slice", (F.col("block") % slices).cast("int"))
+    told = counts.where("part >= 0").select("part", *_COUNTED).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    answers = told.groupBy("part", "slice").cogroup(asked.groupBy("part", "slice")).applyInArrow(answer, "block int, codes binary, logs binary, words binary, counts binary")
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
         def joined(keys: str, values: str, kind: type) -> tuple[np.ndarray, np.ndarray]:

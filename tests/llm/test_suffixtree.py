@@ -74,6 +74,13 @@ def test_tree_against_brute_force(spark):
         assert abs(got[i] - total) < 0.01
 
 
+def test_small_steps_give_the_same_scores(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(7, "doc_id")
+    scores = [sorted(map(tuple, st.score_documents(docs, block_bytes=20_000, step=step).collect())) for step in (2, st.STEP)]
+    assert len(scores[0]) == docs.count() and len({r[:6] for r in scores[0]} ^ {r[:6] for r in scores[1]}) == 0
+    assert max(abs(a[6] - b[6]) for a, b in zip(*scores)) < 1e-6
+
+
 def test_held_out_texts_score_better_than_the_base(spark):
     rows = [r for r in st.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
