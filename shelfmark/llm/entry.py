@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, chat, decontaminate, linededup, neardup, pii, quality, substrings, suffixtree, warc
+from shelfmark.llm import bpe, chat, decontaminate, lexical, linededup, neardup, pii, prefixtrie, quality, substrings, suffixtree, urlfilter, warc
 from shelfmark.llm.common import table
 
 
@@ -63,10 +63,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_superkmers": op9_superkmers,
     "op10_bpe": op10_bpe,
     "op6_decontaminate": op6_decontaminate,
+    "op11_treaps": lexical.op11_treaps,
+    "op12_prefixtrie": prefixtrie.op12_prefixtrie,
+    "op13_urlfilter": urlfilter.op13_urlfilter,
 }
 
 ORACLES: dict[str, str] = {
     "op2_preferences": chat.FORMATTED_SQL,
     "op3_lines": linededup.VERDICTS_SQL,
     "op8_revisits": warc.RESOLVED_SQL,
+    "op11_treaps": lexical.TREAPS_SQL,
+    "op12_prefixtrie": prefixtrie.PREFIXTRIE_SQL,
+    "op13_urlfilter": urlfilter.URLFILTER_SQL,
 }
