@@ -88,14 +88,15 @@ def promotions(associated: DataFrame, contents: DataFrame, attributes: DataFrame
     """(file_id, definition, value_text, value_date): what sidecars give to the primary file of their item.
 
     attributes is (file_id, definition, value_text, value_date). Lyrics and
-    comments are the content of .lrc and .nfo files: given once, by the first
+    comments are the content of .lrc and .nfo files, without blanks around it: given once, by the first
     path, and not where the file has one already. Of the attributes of .opf files
     a text is given where the file does not have the same one, and a date, of the
     first path, where it has none.
     """
     given = associated.where("role = 'Sidecar' and item_id is not null")
+    contents = contents.select("file_id", F.regexp_replace("content", r"(?U)^\s+|\s+$", "").alias("content"))
     definition = F.when(F.col("kind") == "Lrc", 15).when(F.col("kind") == "Nfo", 38)
-    text = given.withColumn("definition", definition).where("definition is not null").join(contents.select("file_id", "content"), "file_id").where(F.trim(F.coalesce("content", F.lit(""))) != "")
+    text = given.withColumn("definition", definition).where("definition is not null").join(contents, "file_id").where("content <> ''")
     first = text.groupBy(F.col("item_id").alias("file_id"), "definition").agg(F.min_by("content", "path").alias("value_text"))
     whole = first.join(attributes.select("file_id", "definition").distinct(), ["file_id", "definition"], "left_anti")
 

@@ -86,16 +86,33 @@ def first_content(contents: DataFrame) -> DataFrame:
     return contents.where(F.trim(F.coalesce("content", F.lit(""))) != "").groupBy("file_id").agg(F.min_by("content", "provider").alias("content"))
 
 
-def media_rollup(streams: DataFrame) -> DataFrame:
-    """One row for each file from its streams (file_id, stream, kind, bit_rate, duration, width, height, frame_rate, average_rate, channels, sample_rate)."""
+#: Columns of streams besides file_id, stream (their order) and kind; those that a table lacks count as null.
+STREAM_COLUMNS = {"bit_rate": "long", "duration": "double", "width": "long", "height": "long", "aspect_ratio": "double", "frame_rate": "double", "average_rate": "double", "frames": "long", "bits": "long", "channels": "long", "sample_rate": "long"}
+
+
+def media_rollup(streams: DataFrame, containers: DataFrame | None = None) -> DataFrame:
+    """One row for each file from its streams (file_id, stream, kind and STREAM_COLUMNS).
+
+    The rate of containers (file_id, bit_rate) counts where it is not 0, else the sum
+    over audio and video. These two give the duration; video alone the largest picture
+    (of equal ones the first), frame rate (the average where there is no real one) and
+    frames; audio alone bits, channels and sample rate. Other kinds are only counted.
+    """
+    s = streams.select("file_id", "stream", "kind", *[(F.col(c) if c in streams.columns else F.lit(None)).cast(k).alias(c) for c, k in STREAM_COLUMNS.items()])
+    video, audio = F.col("kind") == "video", F.col("kind") == "audio"
     pixels = F.col("width") * F.col("height")
-    best = F.max_by(F.struct("width", "height", pixels.alias("pixels")), F.struct(pixels, -F.col("stream")))
+    picture = F.when(video & pixels.isNotNull(), F.struct("width", "height", pixels.alias("pixels"), "aspect_ratio"))
     rate = F.coalesce(F.nullif("frame_rate", F.lit(0.0)), F.col("average_rate"))
-    out = streams.groupBy("file_id").agg(
-        F.sum(F.when(F.col("kind").isin("audio", "video"), F.col("bit_rate"))).alias("bit_rate"), F.max("duration").alias("duration"), best.alias("best"),
-        F.max(rate).alias("frame_rate"), F.max("channels").alias("channels"), F.max("sample_rate").alias("sample_rate"), F.count("*").alias("n_streams"),
+    of = lambda kind, c, f=F.max: f(F.when(kind, c if isinstance(c, Column) else F.col(c)))
+    out = s.groupBy("file_id").agg(
+        F.nullif(of(audio | video, "bit_rate", F.sum), F.lit(0)).alias("summed"), of(audio | video, "duration").alias("duration"), F.max_by(picture, F.when(picture.isNotNull(), F.struct(pixels, -F.col("stream")))).alias("best"),
+        of(video, rate).alias("frame_rate"), of(video, "frames").alias("frames"), of(audio, "bits").alias("bits"), of(audio, "channels").alias("channels"), of(audio, "sample_rate").alias("sample_rate"), F.count("*").alias("n_streams"),
     )
-    return out.select("file_id", "n_streams", "bit_rate", "duration", "best.width", "best.height", "best.pixels", (F.col("best.width") / F.nullif("best.height", F.lit(0.0))).alias("aspect_ratio"), "frame_rate", "channels", "sample_rate")
+    given = F.lit(None).cast("long")
+    if containers is not None:
+        out, given = out.join(containers.select("file_id", F.col("bit_rate").cast("long").alias("given")), "file_id", "left"), F.nullif("given", F.lit(0))
+    aspect = F.coalesce("best.aspect_ratio", F.col("best.width") / F.nullif("best.height", F.lit(0)))
+    return out.select("file_id", "n_streams", F.coalesce(given, "summed").alias("bit_rate"), "duration", "best.width", "best.height", "best.pixels", aspect.alias("aspect_ratio"), "frame_rate", "frames", "bits", "channels", "sample_rate")
 
 
 def key_statistics(raw: DataFrame) -> DataFrame:

@@ -64,15 +64,17 @@ def normalize(raw: DataFrame, definitions: Iterable[int] | None = None) -> DataF
     return typed.where(found & inside).drop("rule_ns", "rule_key", "coercer", "keep", "low", "high", "part", "value")
 
 
-def value_key() -> Column:
-    """The text by which equal values are told."""
-    return F.coalesce(F.col("value_text"), F.col("value_int").cast("string"), F.col("value_float").cast("string"), F.date_format("value_date", "yyyy-MM-dd'T'HH:mm:ss"))
+def value_key(blob: str | None = None) -> Column:
+    """The text by which equal values are told: text and numbers as they are, dates in UTC to the last digit; blob names a column of bytes, if there is one."""
+    date = F.date_format(F.to_utc_timestamp("value_date", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0Z'")
+    other = [F.base64(blob)] if blob else []
+    return F.coalesce(F.col("value_text"), F.col("value_int").cast("string"), F.col("value_float").cast("string"), date, *other)
 
 
 def first_wins(attributes: DataFrame, order: str = "seq") -> DataFrame:
     """Of equal values of a file's definition, the first by order."""
     w = Window.partitionBy("file_id", "definition", "value_key").orderBy(order, "namespace", "key")
-    return attributes.withColumn("value_key", value_key()).withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    return attributes.withColumn("value_key", value_key("value_blob" if "value_blob" in attributes.columns else None)).withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
 def unmapped(raw: DataFrame) -> DataFrame:

@@ -3,29 +3,50 @@
 A query is a union of branches: the words as typed, with quoted phrases, "or" and
 negation, the same by their stems for each language asked for, and all words as
 prefixes under folded accents. A text matches if any branch does. The rank is own:
-the sum over query terms of tf / (tf + 1). No word is passed over as too common.
+the sum over query terms of tf / (tf + 1). Stems are those of words with their
+accents; a language's stop words are asked for in the other branches only.
+shelfmark.operators.textindex answers the same queries from stored postings.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.paths import unaccent
-from shelfmark.functions.stems import porter, stemmed
+from shelfmark.functions.paths import fold, unaccent
+from shelfmark.functions.stems import STEMMERS, STOP_WORDS, stemmed
 
 START, STOP = "\x01", "\x02"
-#: Languages whose words are told by stems.
-LANGUAGES = ("english",)
+#: The languages that are asked for by default.
+LANGUAGES = ("english", "romanian")
+
+
+#: What parts words: anything but letters, digits and the marks that some scripts write vowels with.
+APART = r"[^\p{L}\p{N}\p{M}]"
 
 
 def tokens(text: Column) -> Column:
     """Folded, lower-cased words of letters and digits."""
-    return F.filter(F.split(unaccent(F.lower(text)), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
+    return F.filter(F.split(unaccent(F.lower(text)), f"{APART}+", -1), lambda t: t != "")
+
+
+def raw_tokens(text: Column) -> Column:
+    """The words behind tokens(), one to one, in lower case but with their accents."""
+    return F.filter(F.split(F.lower(text), f"{APART}+", -1), lambda t: unaccent(t) != "")
+
+
+def raw_words(text: str) -> list[str]:
+    """raw_tokens() of a Python string."""
+    return [w for w in "".join(c if unicodedata.category(c)[0] in "LNM" else " " for c in text.lower()).split() if fold(w)]
+
+
+def words(text: str) -> list[str]:
+    """tokens() of a Python string."""
+    return [fold(w) for w in raw_words(text)]
 
 
 def token_vectors(texts: DataFrame) -> DataFrame:
@@ -34,23 +55,25 @@ def token_vectors(texts: DataFrame) -> DataFrame:
     return each.groupBy("file_id", "token").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"))
 
 
-def fold(query: str) -> str:
-    import unicodedata
-
-    return "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
+def raw_terms(query: str) -> list[str]:
+    """Letters and digits of each part of a query between blanks, in lower case."""
+    return [t for t in ("".join(raw_words(w)) for w in query.split()) if t]
 
 
 def prefix_terms(query: str) -> list[str]:
-    """Terms of the prefix branch: letters and digits of each word."""
-    return [t for t in (re.sub(r"[^\w]|_", "", w) for w in fold(query).split()) if t]
+    """Terms of the prefix branch: raw_terms() without accents."""
+    return [fold(t) for t in raw_terms(query)]
+
+
+Phrases = list[list[str]]
 
 
-def alternatives(query: str) -> list[tuple[list[list[str]], list[list[str]]]]:
-    """Of each alternative the phrases (lists of words) that must occur and those that must not.
+def alternatives(query: str, raw: bool = False) -> list[tuple[Phrases, Phrases]]:
+    """Of each alternative the phrases (lists of words) that must occur and those that must not; raw leaves accents.
 
     "or" parts alternatives where it stands between two terms, and is a word elsewhere.
     """
-    found: list[tuple[list[list[str]], list[list[str]]]] = [([], [])]
+    found: list[tuple[Phrases, Phrases]] = [([], [])]
     parts = re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query)
     after_term = False
     for at, (minus, phrase, word) in enumerate(parts):
@@ -58,29 +81,45 @@ def alternatives(query: str) -> list[tuple[list[list[str]], list[list[str]]]]:
             found.append(([], []))
             after_term = False
             continue
-        words = re.findall(r"[^\W_]+", fold(phrase or word))
-        if words:
-            found[-1][1 if minus else 0].append(words)
+        if terms := (raw_words if raw else words)(phrase or word):
+            found[-1][1 if minus else 0].append(terms)
         after_term = True
     return [(must, must_not) for must, must_not in found if must or must_not]
 
 
-def _as_typed(own: Column, query: str, form: Callable[[str], str] = str) -> Column:
-    """Whether an array of words, in a form, matches any alternative of a query."""
+def stem_phrase(phrase: list[str], language: str) -> list[str | None]:
+    """Stems of a phrase of raw words, None for stop words inside; [] if there is nothing else."""
+    stems = [None if w in STOP_WORDS[language] else STEMMERS[language](w) for w in phrase]
+    held = [i for i, x in enumerate(stems) if x is not None]
+    return stems[held[0] : held[-1] + 1] if held else []
+
+
+def stem_alternatives(query: str, language: str) -> list[tuple[list[list[str | None]], list[list[str | None]]]]:
+    """alternatives() by stem_phrase(), without what holds stop words only."""
+    each = [([x for p in must if (x := stem_phrase(p, language))], [x for p in must_not if (x := stem_phrase(p, language))]) for must, must_not in alternatives(query, raw=True)]
+    return [(must, must_not) for must, must_not in each if must or must_not]
+
 
-    def phrase(words: list[str]) -> Column:
-        words = [*map(form, words)]
-        if len(words) == 1:
-            return F.array_contains(own, words[0])
+def stem_terms(query: str, language: str) -> list[str | None]:
+    """Of each raw term its stem, None for a stop word."""
+    return [None if t in STOP_WORDS[language] else STEMMERS[language](t) for t in raw_terms(query)]
+
+
+def _as_typed(own: Column, alts: list) -> Column:
+    """Whether an array of words, or of stems, matches any alternative."""
+
+    def phrase(terms: list[str | None]) -> Column:
+        if len(terms) == 1:
+            return F.array_contains(own, terms[0])
         joined = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
-        return F.contains(joined, F.lit(f" {' '.join(words)} "))
+        return F.contains(joined, F.lit(f" {' '.join(terms)} ")) if None not in terms else joined.rlike(" " + " ".join(r"\S+" if t is None else re.escape(t) for t in terms) + " ")
 
-    each = [reduce(Column.__and__, [*map(phrase, must), *[~phrase(w) for w in must_not]]) for must, must_not in alternatives(query)]
+    each = [reduce(Column.__and__, [*map(phrase, must), *[~phrase(w) for w in must_not]]) for must, must_not in alts]
     return reduce(Column.__or__, each, F.lit(False))
 
 
-def matches(own: Column, query: str, stems: Column | None = None) -> Column:
-    """Whether an array of tokens, and of their stems, matches a query in any branch."""
+def matches(own: Column, query: str, stems: dict[str, Column] | None = None) -> Column:
+    """Whether an array of tokens, and of their stems by language, matches a query in any branch."""
     prefixes = prefix_terms(query)
     if not prefixes:
         return F.lit(False)
@@ -88,34 +127,39 @@ def matches(own: Column, query: str, stems: Column | None = None) -> Column:
     def begins(p: str) -> Column:
         return F.exists(own, lambda t: t.startswith(p))
 
-    by_prefix = reduce(Column.__and__, map(begins, prefixes))
-    found = by_prefix | _as_typed(own, query)
-    return found if stems is None else found | _as_typed(stems, query, porter)
+    found = reduce(Column.__and__, map(begins, prefixes)) | _as_typed(own, alternatives(query))
+    return reduce(Column.__or__, [_as_typed(c, stem_alternatives(query, language)) for language, c in (stems or {}).items()], found)
+
 
+def _either(hit: Column, stems: Column, asked: list[str]) -> Column:
+    """hit (array of booleans), or where the stem is asked for."""
+    return F.zip_with(hit, stems, lambda h, s: h | s.isin(*asked))
 
-def rank(own: Column, query: str, stems: Column | None = None) -> Column:
-    """A token counts for a term that it begins with, or whose stem is its own."""
 
-    def term(p: str) -> Column:
-        if stems is None:
-            counted = F.filter(own, lambda t: t.startswith(p))
-        else:
-            counted = F.filter(F.zip_with(own, stems, lambda t, s: t.startswith(p) | (s == porter(p))), lambda hit: hit)
-        tf = F.size(counted).cast("double")
+def rank(own: Column, query: str, stems: dict[str, Column] | None = None) -> Column:
+    """A token counts for a term that it begins with, or whose stem in a language is its own."""
+    by_term = [(p, [(c, s) for language, c in (stems or {}).items() if (s := stem_terms(query, language)[i]) is not None]) for i, p in enumerate(prefix_terms(query))]
+
+    def term(p: str, own_stems: list[tuple[Column, str]]) -> Column:
+        hit = F.transform(own, lambda t: t.startswith(p))
+        for c, s in own_stems:
+            hit = _either(hit, c, [s])
+        tf = F.size(F.filter(hit, lambda h: h)).cast("double")
         return tf / (tf + 1)
 
-    return reduce(Column.__add__, [term(p) for p in prefix_terms(query)], F.lit(0.0))
+    return reduce(Column.__add__, [term(*x) for x in by_term], F.lit(0.0))
 
 
-def snippet(text: Column, query: str, before: int = 4, words: int = 16, fragments: int = 1, by_stem: bool = False) -> Column:
+def snippet(text: Column, query: str, before: int = 4, words: int = 16, fragments: int = 1, languages: tuple[str, ...] = ()) -> Column:
     """Some words around the first hit, and around the first hit after these, and so on; hits between sentinels."""
     parts = F.split(text, r"\s+", -1)
     terms = prefix_terms(query)
-    own = lambda w: unaccent(F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))
-    hit = lambda w: reduce(Column.__or__, [own(w).startswith(p) for p in terms], F.lit(False))
+    own = lambda w: F.lower(F.regexp_replace(w, APART, ""))
+    hit = lambda w: reduce(Column.__or__, [unaccent(own(w)).startswith(p) for p in terms], F.lit(False))
     marks = F.transform(parts, hit)
-    if by_stem and terms:
-        marks = F.zip_with(marks, stemmed(F.transform(parts, own)), lambda m, s: m | s.isin(*map(porter, terms)))
+    for language in languages:
+        if asked := [s for s in stem_terms(query, language) if s is not None]:
+            marks = _either(marks, stemmed(F.transform(parts, own), language), asked)
 
     def window(start: Column) -> Column:
         cut = [F.slice(x, start.cast("int"), F.lit(words)) for x in (parts, marks)]
@@ -131,30 +175,27 @@ def snippet(text: Column, query: str, before: int = 4, words: int = 16, fragment
     return F.concat_ws(" ... ", *found)
 
 
-def may_match(text: Column, query: str, by_stem: bool = False) -> Column:
-    """False only for texts that match in no branch: told from the text, before it is cut into tokens.
-
-    A word begins with its stem but for the last letter of that.
-    """
+def may_match(text: Column, query: str) -> Column:
+    """False only for texts that match in no branch but those by stems: told from the text, before it is cut into tokens."""
     folded = unaccent(F.lower(text))
     holds = lambda words: reduce(Column.__and__, [F.contains(folded, F.lit(w)) for w in words], F.lit(True))
-    begin = [prefix_terms(query)]
-    for must, _ in alternatives(query):
-        words = [w for phrase in must for w in phrase]
-        begin += [words, [porter(w)[:-1] for w in words]] if by_stem else [words]
-    return reduce(Column.__or__, map(holds, begin))
+    return reduce(Column.__or__, [holds([w for phrase in must for w in phrase]) for must, _ in alternatives(query)], holds(prefix_terms(query)))
 
 
 def hits(texts: DataFrame, query: str, source: str, with_snippet: bool = False, languages: tuple[str, ...] = (), fragments: int = 1) -> DataFrame:
-    """(file_id, rank, source[, snippet]) of texts that match; languages adds a branch by stems."""
-    if unknown := set(languages) - set(LANGUAGES):
+    """(file_id, rank, source[, snippet]) of texts that match; languages adds a branch by stems for each.
+
+    The texts themselves are read; TextIndex.find() gives the same files and ranks from stored postings.
+    """
+    if unknown := set(languages) - set(STEMMERS):
         raise ValueError(f"no stems for {sorted(unknown)}")
-    own = texts.where(may_match(F.col("content"), query, bool(languages))).withColumn("tokens", tokens(F.col("content")))
-    stems = None
-    if languages:
-        own, stems = own.withColumn("stems", stemmed(F.col("tokens"))), F.col("stems")
+    own = texts if languages else texts.where(may_match(F.col("content"), query))
+    own = own.withColumn("tokens", tokens(F.col("content")))
+    for language in languages:
+        own = own.withColumn(f"_{language}", stemmed(raw_tokens(F.col("content")), language))
+    stems = {language: F.col(f"_{language}") for language in languages}
     own = own.where(matches(F.col("tokens"), query, stems))
-    extra = [snippet(F.col("content"), query, fragments=fragments, by_stem=bool(languages)).alias("snippet")] if with_snippet else []
+    extra = [snippet(F.col("content"), query, fragments=fragments, languages=languages).alias("snippet")] if with_snippet else []
     return own.select("file_id", rank(F.col("tokens"), query, stems).alias("rank"), F.lit(source).alias("source"), *extra)
 
 
@@ -178,22 +219,6 @@ def search(
     return merge_hits(*sources)
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """token_vectors() dealt out and sorted by token, as they are stored: a prefix reads a range of them."""
-    return token_vectors(texts).repartitionByRange("token").sortWithinPartitions("token", "file_id")
-
-
-def search_postings(stored: DataFrame, query: str) -> DataFrame:
-    """(file_id, rank) by the prefix branch alone, from stored postings (file_id, token, n); no text is read."""
-    terms = prefix_terms(query)
-    if not terms:
-        return stored.select("file_id", F.lit(0.0).alias("rank")).limit(0)
-    reach = reduce(Column.__or__, [(F.col("token") >= t) & (F.col("token") < t + "\U0010ffff") for t in terms])
-    counts = [F.sum(F.when(F.col("token").startswith(t), F.col("n"))).alias(f"n{i}") for i, t in enumerate(terms)]
-    found = stored.where(reach).groupBy("file_id").agg(*counts).where(" and ".join(f"n{i} is not null" for i in range(len(terms))))
-    return found.select("file_id", reduce(Column.__add__, [F.col(f"n{i}").cast("double") / (F.col(f"n{i}") + 1) for i in range(len(terms))]).alias("rank"))
-
-
 def page(found: DataFrame, files: DataFrame, page_number: int = 1, page_size: int = 25) -> DataFrame:
     """A page of hits by rank and path; the size is held to 1..100."""
     size = min(max(page_size, 1), 100)

@@ -6,9 +6,16 @@ shelfmark.plans.oracle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators.scratch import shared_dir
+from shelfmark.operators.textindex import TextIndex
+
+#: Indexes that this session wrote, by application, table and its state.
+_INDEXES: dict[tuple, TextIndex] = {}
 PAGES, CHATS, MUSIC = 10_000_000, 20_000_000, 30_000_000
 
 
@@ -26,6 +33,19 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(*_file(F.col("doc_id"), path, F.octet_length("text"), "text/plain", F.col("text")))
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index of document_files(), written when it is first asked for and again when the table is another."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = (fs.getFileStatus(where).getModificationTime(), fs.getContentSummary(where).getLength())
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    if key not in _INDEXES:
+        index = TextIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}")
+        index.refresh(document_files(spark, sf_dir).select("file_id", "content"))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def page_path() -> Column:
     bare = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[a-z]+://", "")
     return F.concat(F.lit("web/"), bare)

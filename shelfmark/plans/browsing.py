@@ -145,7 +145,7 @@ def search_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content and attributes by stems too, with two fragments each; SQL has no stems, so tests compare this with plain loops."""
     contents = a.files(spark, sf_dir).where(F.col("mime").startswith("text/")).select("file_id", "content")
-    return search.search(contents, normalize.normalize(a.text_raw(spark, sf_dir)), "ering oning", with_snippet=True, languages=("english",), fragments=2)
+    return search.search(contents, normalize.normalize(a.text_raw(spark, sf_dir)), "ering oning", with_snippet=True, languages=search.LANGUAGES, fragments=2)
 
 
 @query("search_fragments", f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks, string_split_regex(text, '\\s+') AS ws FROM documents),
@@ -162,7 +162,7 @@ def search_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("search_postings", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id, {_rank(['thesing', 'eron'])} AS rank FROM d WHERE {_all(['thesing', 'eron'])}")
 def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix branch from postings alone."""
-    return search.search_postings(search.postings(a.document_files(spark, sf_dir)), "Thesing eron")
+    return a.document_index(spark, sf_dir).find("Thésing ERON")
 
 
 # --- folders, items and edits ----------------------------------------------------------

@@ -11,7 +11,7 @@ from shelfmark.functions import classify, coerce, paths
 from shelfmark.operators import associate as assoc
 from shelfmark.operators import collections as coll
 from shelfmark.operators import dedup, facets, layers, normalize, search
-from shelfmark.operators.scratch import shared_dir
+from shelfmark.operators.scratch import numbered, shared_dir
 from shelfmark.plans import adapters as a
 from shelfmark.plans import oracle as o
 from shelfmark.sources import readers
@@ -90,7 +90,10 @@ def facet_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.date_folders(dates, by_month=True)
 
 
-@query("facet_leaf_sorted", f"SELECT p_partkey + 30000000 AS file_id, p_name || ' ' || p_partkey || '.flac' AS name, p_partkey AS sort_number, {o.natural(chr(40) + chr(112) + '_name || ' + chr(39) + ' ' + chr(39) + ' || p_partkey || ' + chr(39) + '.flac' + chr(39) + ')')} AS \"natural\" FROM part WHERE p_brand = 'Brand#11'")
+_LEAF_NAME = o.natural("(p_name || ' ' || p_partkey || '.flac')")
+
+
+@query("facet_leaf_sorted", f"SELECT p_partkey + 30000000 AS file_id, p_name || ' ' || p_partkey || '.flac' AS name, p_partkey AS sort_number, {_LEAF_NAME} AS \"natural\" FROM part WHERE p_brand = 'Brand#11'")
 def facet_leaf_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     attributes = _music(spark, sf_dir)
     ids = facets.drill(facets.with_mime(a.music_files(spark, sf_dir), ("audio/",)), attributes, (3,), ("Brand#11",))
@@ -252,20 +255,28 @@ def coerce_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- media, names and classes -------------------------------------------------
 
 
-@query("media_rollup", """WITH s AS (SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS stream, CASE l_linenumber % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'video' ELSE 'subtitle' END AS kind,
-  (l_quantity * 1000)::BIGINT AS bit_rate, l_extendedprice AS duration, CASE WHEN l_linenumber % 3 = 1 THEN l_partkey % 1920 + 1 END AS width, CASE WHEN l_linenumber % 3 = 1 THEN l_suppkey % 1080 + 1 END AS height FROM lineitem),
-b AS (SELECT file_id, width, height FROM s WHERE width IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY width * height DESC, stream) = 1)
-SELECT s.file_id, count(*) AS n_streams, sum(bit_rate) FILTER (WHERE kind <> 'subtitle')::BIGINT AS bit_rate, max(duration) AS duration, any_value(b.width) AS width, any_value(b.height) AS height, any_value(b.width::DOUBLE / b.height) AS aspect_ratio FROM s LEFT JOIN b USING (file_id) GROUP BY s.file_id""")
+@query("media_rollup", """WITH s AS (SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS stream,
+  ['video', 'audio', 'subtitle', 'data'][(l_partkey % 4 + 1)::INT] AS kind, CASE WHEN l_linenumber % 5 > 0 THEN (l_quantity * 1000)::BIGINT END AS bit_rate, l_extendedprice AS duration, l_partkey % 1920 + 1 AS width,
+  CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey % 1080 + 1 END AS height, CASE WHEN l_partkey % 7 = 0 THEN 1.5::DOUBLE END AS aspect, CASE l_linenumber % 3 WHEN 0 THEN l_quantity WHEN 1 THEN 0.0 END AS real_rate, l_tax * 100 AS average, l_orderkey % 9000 AS frames,
+  8 * (l_partkey % 3 + 1) AS bits, l_linenumber::BIGINT AS channels, 8000 * (l_suppkey % 6 + 1) AS sample_rate FROM lineitem),
+b AS (SELECT file_id, width, height, aspect FROM s WHERE kind = 'video' AND height IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY width * height DESC, stream) = 1),
+c AS (SELECT o_orderkey AS file_id, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey * 7 WHEN 1 THEN 0 END AS given FROM orders)
+SELECT s.file_id, count(*) AS n_streams, coalesce(nullif(any_value(given), 0), nullif(sum(bit_rate) FILTER (WHERE kind IN ('audio', 'video')), 0))::BIGINT AS bit_rate, max(duration) FILTER (WHERE kind IN ('audio', 'video')) AS duration,
+  any_value(b.width) AS width, any_value(b.height) AS height, any_value(b.width * b.height) AS pixels, any_value(coalesce(b.aspect, b.width::DOUBLE / b.height)) AS aspect_ratio, max(coalesce(nullif(real_rate, 0), average)) FILTER (WHERE kind = 'video') AS frame_rate,
+  max(frames) FILTER (WHERE kind = 'video') AS frames, max(bits) FILTER (WHERE kind = 'audio') AS bits, max(channels) FILTER (WHERE kind = 'audio') AS channels, max(sample_rate) FILTER (WHERE kind = 'audio') AS sample_rate
+FROM s LEFT JOIN b USING (file_id) LEFT JOIN c USING (file_id) GROUP BY s.file_id""")
 def media_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as streams of four kinds, all with pictures, rates and channels: only those of the right kind count."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    kind = F.element_at(F.array(F.lit("audio"), F.lit("video"), F.lit("subtitle")), F.col("l_linenumber") % 3 + 1)
-    video = kind == "video"
+    line, part, supplier, order = (F.col(f"l_{c}") for c in ("linenumber", "partkey", "suppkey", "orderkey"))
     streams = a.table(spark, sf_dir, "lineitem").withColumn("stream", F.row_number().over(w)).select(
-        F.col("l_orderkey").alias("file_id"), "stream", kind.alias("kind"), (F.col("l_quantity") * 1000).cast("long").alias("bit_rate"), F.col("l_extendedprice").alias("duration"),
-        F.when(video, F.col("l_partkey") % 1920 + 1).alias("width"), F.when(video, F.col("l_suppkey") % 1080 + 1).alias("height"), F.lit(None).cast("double").alias("frame_rate"), F.lit(None).cast("double").alias("average_rate"),
-        F.lit(None).cast("int").alias("channels"), F.lit(None).cast("int").alias("sample_rate"),
+        order.alias("file_id"), "stream", F.element_at(F.array(*map(F.lit, ("video", "audio", "subtitle", "data"))), (part % 4 + 1).cast("int")).alias("kind"), F.when(line % 5 > 0, (F.col("l_quantity") * 1000).cast("long")).alias("bit_rate"),
+        F.col("l_extendedprice").alias("duration"), (part % 1920 + 1).alias("width"), F.when(supplier % 3 > 0, supplier % 1080 + 1).alias("height"), F.when(part % 7 == 0, 1.5).alias("aspect_ratio"),
+        F.when(line % 3 == 0, F.col("l_quantity")).when(line % 3 == 1, 0.0).alias("frame_rate"), (F.col("l_tax") * 100).alias("average_rate"), (order % 9000).alias("frames"), (8 * (part % 3 + 1)).alias("bits"),
+        line.alias("channels"), (8000 * (supplier % 6 + 1)).alias("sample_rate"),
     )
-    return layers.media_rollup(streams).select("file_id", "n_streams", "bit_rate", "duration", "width", "height", "aspect_ratio")
+    rate = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") * 7).when(F.col("o_orderkey") % 3 == 1, 0)
+    return layers.media_rollup(streams, a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), rate.alias("bit_rate")))
 
 
 @query("filename_tv_parse", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Star Show' ELSE 'Show ' || (o_custkey % 10) END AS series, CASE WHEN o_orderkey % 3 < 2 THEN (o_custkey % 20 + 1)::INT END AS season, CASE WHEN o_orderkey % 3 < 2 THEN (o_orderkey % 90 + 1)::INT END AS episode, CASE o_orderkey % 3 WHEN 1 THEN 'Part ' || o_orderstatus END AS title FROM orders WHERE o_orderkey % 3 < 2")
@@ -341,6 +352,27 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.table(spark, sf_dir, "customer").select("c_custkey", "c_name", paths.natural_key(F.col("c_name")).alias("natural"))
 
 
+@query("natural_long_numbers", "WITH n AS (SELECT s_suppkey, repeat(lpad((s_suppkey * 7919)::VARCHAR, 15, '0'), (1 + s_suppkey % 4)::INT) AS digits FROM supplier) SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey % 2, length(ltrim(digits, '0')), ltrim(digits, '0'), length(digits) DESC, s_suppkey)::INT AS place FROM n")
+def natural_long_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names around numbers of up to 60 digits, in order, with capitals that do not count."""
+    k = F.col("s_suppkey")
+    digits = F.expr("repeat(lpad(cast(s_suppkey * 7919 as string), 15, '0'), cast(1 + s_suppkey % 4 as int))")
+    name = F.concat(F.when(k % 2 == 0, F.when(k % 3 == 0, "a ").otherwise("A ")).otherwise("b "), digits, F.lit(" end"))
+    named = numbered(a.table(spark, sf_dir, "supplier").select("s_suppkey", paths.natural_key(name).alias("natural")), ["natural", "s_suppkey"], "place", 1)
+    return named.select("s_suppkey", F.col("place").cast("int").alias("place"))
+
+
+@query("value_keys", "WITH v AS (SELECT o_custkey AS file_id, o_orderdate::TIMESTAMP + to_microseconds((o_orderkey % 3 * 100001)::BIGINT) AS d, o_orderkey AS seq FROM orders), f AS (SELECT file_id, strftime(d, '%Y-%m-%dT%H:%M:%S.%f') || '0Z' AS value_key, min(seq) AS seq FROM v GROUP BY ALL) SELECT * FROM f UNION ALL SELECT o_orderkey, base64(encode(o_orderstatus)), o_orderkey FROM orders WHERE o_orderkey % 10 = 0")
+def value_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates that differ below a second and bytes, each kept once."""
+    t = a.table(spark, sf_dir, "orders")
+    none = [F.lit(None).cast(k).alias(n) for n, k in (("value_text", "string"), ("value_int", "long"), ("value_float", "double"))]
+    late = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 3 * 100001)
+    row = lambda df, id_, definition, date, blob: df.select(F.col(id_).alias("file_id"), F.lit(definition).alias("definition"), F.col("o_orderkey").alias("seq"), F.lit("n").alias("namespace"), F.lit("k").alias("key"), *none, date.cast("timestamp").alias("value_date"), blob.cast("binary").alias("value_blob"))
+    both = row(t, "o_custkey", 45, late, F.lit(None)).unionByName(row(t.where("o_orderkey % 10 = 0"), "o_orderkey", 99, F.lit(None), F.col("o_orderstatus")))
+    return normalize.first_wins(both).select("file_id", "value_key", "seq")
+
+
 @query("folder_tree", f"WITH {o.FILES}, p AS (SELECT file_id, string_split(path, '/') AS s FROM files WHERE mime = 'text/html') SELECT array_to_string(s[1:i], '/') AS folder, count(*) AS n_below FROM p, unnest(range(1, len(s))) AS u(i) GROUP BY 1")
 def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every folder above a page, and how many pages lie below."""
@@ -361,13 +393,26 @@ def association_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assoc.counters(assoc.associate(_tree(spark, sf_dir)))
 
 
-@query("promote_sidecars", f"WITH {o.TREE}, {o.ASSOCIATED}, g AS (SELECT item_id AS file_id, CASE kind WHEN 'Lrc' THEN 15 WHEN 'Nfo' THEN 38 END AS definition, arg_min('text of ' || path, path) AS value_text FROM associated WHERE role = 'Sidecar' AND item_id IS NOT NULL AND kind <> 'Opf' GROUP BY ALL) SELECT * FROM g WHERE NOT (definition = 38 AND file_id % 2 = 0)")
+@query("promote_sidecars", f"""WITH {o.TREE}, {o.ASSOCIATED}, side AS (SELECT * FROM associated WHERE role = 'Sidecar' AND item_id IS NOT NULL),
+g AS (SELECT item_id AS file_id, CASE kind WHEN 'Lrc' THEN 15 WHEN 'Nfo' THEN 38 END AS definition, arg_min('text of ' || path, path) AS value_text FROM side WHERE kind <> 'Opf' GROUP BY ALL),
+x AS (SELECT file_id, d AS definition, v AS value_text FROM tree, LATERAL (VALUES (76, 'writer ' || file_id % 5), (59, CASE WHEN file_id % 2 = 0 THEN 'press' END), (41, 'not given')) AS y(d, v) WHERE path LIKE '%.opf'),
+known AS (SELECT file_id, 76 AS definition, 'writer 1' AS value_text FROM tree WHERE file_id % 3 = 0),
+dates AS (SELECT item_id AS file_id, 45 AS definition, arg_min(TIMESTAMP '2001-01-01' + to_seconds(file_id), path) AS value_date FROM side WHERE kind = 'Opf' GROUP BY item_id)
+SELECT *, NULL::TIMESTAMP AS value_date FROM g WHERE NOT (definition = 38 AND file_id % 2 = 0)
+UNION ALL SELECT DISTINCT s.item_id, x.definition, x.value_text, NULL::TIMESTAMP FROM side s JOIN x USING (file_id) WHERE s.kind = 'Opf' AND x.value_text IS NOT NULL AND x.definition <> 41 AND (s.item_id, x.definition, x.value_text) NOT IN (SELECT (file_id, definition, value_text) FROM known)
+UNION ALL SELECT file_id, definition, NULL, value_date FROM dates""")
 def promote_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with blanks around them, and writers, publishers and dates of .opf files; some files have a comment or that writer already."""
     files = _tree(spark, sf_dir)
-    contents = files.select("file_id", F.concat(F.lit("text of "), "path").alias("content"))
-    # The tables give .opf files no attributes, so there is none to promote and no date.
-    known = files.where(F.col("file_id") % 2 == 0).select("file_id", F.lit(38).alias("definition"), F.lit(None).cast("string").alias("value_text"), F.lit(None).cast("timestamp").alias("value_date"))
-    return assoc.promotions(assoc.associate(files), contents, known).drop("value_date")
+    contents = files.select("file_id", F.concat(F.lit(" \t\u2003text of "), "path", F.lit(" \r\n")).alias("content"))
+    row = lambda df, definition, text=None, date=None: df.select("file_id", F.lit(definition).alias("definition"), F.lit(text).cast("string").alias("value_text"), F.lit(date).cast("timestamp").alias("value_date"))
+    opf = files.where(F.col("path").endswith(".opf"))
+    released = F.timestamp_seconds(F.lit(978307200) + F.col("file_id"))
+    given = [(76, F.concat(F.lit("writer "), (F.col("file_id") % 5).cast("string")), None), (59, F.when(F.col("file_id") % 2 == 0, "press"), None), (41, "not given", None), (45, None, released)]
+    known = row(files.where("file_id % 2 = 0"), 38).unionByName(row(files.where("file_id % 3 = 0"), 76, "writer 1"))
+    for definition, text, date in given:
+        known = known.unionByName(row(opf, definition, text, date))
+    return assoc.promotions(assoc.associate(files), contents, known).withColumn("value_date", F.col("value_date").cast("timestamp_ntz"))
 
 
 def _region_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,7 +537,7 @@ def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- search --------------------------------------------------------------------------
 
-_WORDS = "list_filter(string_split_regex(strip_accents(lower({0})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_WORDS = "list_filter(string_split_regex(strip_accents(replace(replace(replace(translate(lower({0}), 'øđłħŧıς', 'odlhtiσ'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda t: t <> '')"
 _TF = "len(list_filter(toks, lambda t: starts_with(t, '{0}')))::DOUBLE"
 
 
@@ -506,19 +551,65 @@ def _all(terms: list[str]) -> str:
 
 @query("search_simple_prefix", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id, {_rank(['thesing', 'eron'])} AS rank FROM d WHERE {_all(['thesing', 'eron'])}")
 def search_simple_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hits(a.document_files(spark, sf_dir), "Thesing eron", "content").select("file_id", "rank")
+    """From the stored index, as the following three; no text is read."""
+    return a.document_index(spark, sf_dir).find("Thesing eron")
 
 
 @query("search_negated", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id FROM d WHERE ({_all(['thesing', 'thon'])}) OR (list_contains(toks, 'thesing') AND NOT list_contains(toks, 'thon'))")
 def search_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A negated word still matches through the prefix branch."""
-    return search.hits(a.document_files(spark, sf_dir), "thesing -thon", "content").select("file_id")
+    return a.document_index(spark, sf_dir).find("thesing -thon").select("file_id")
 
 
 @query("search_phrase", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id, contains(' ' || array_to_string(toks, ' ') || ' ', ' of the ') AS exact FROM d WHERE {_all(['of', 'the'])}")
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = a.document_files(spark, sf_dir).withColumn("toks", search.tokens(F.col("content"))).where(search.matches(F.col("toks"), '"of the"'))
-    return own.select("file_id", F.contains(F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")), F.lit(" of the ")).alias("exact"))
+    """Files that hold both words as prefixes, and whether the phrase is among the words as typed."""
+    index = a.document_index(spark, sf_dir)
+    # The last alternative can match by its phrase only: no word begins like its other term.
+    exact = index.find('zzzzzz or "of the"').select("file_id", F.lit(True).alias("found"))
+    return index.find("of the").select("file_id").join(exact, "file_id", "left").select("file_id", F.coalesce("found", F.lit(False)).alias("exact"))
+
+
+@query("search_scan", f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents) SELECT doc_id AS file_id, {_rank(['thesing', 'thon'])} AS rank FROM d WHERE ({_all(['thesing', 'thon'])}) OR list_contains(toks, 'thesing') AND NOT list_contains(toks, 'thon') OR contains(' ' || array_to_string(toks, ' ') || ' ', ' of the ')".replace(_rank(["thesing", "thon"]), _rank(["thesing", "thon", "or", "of", "the"])).replace(_all(["thesing", "thon"]), _all(["thesing", "thon", "or", "of", "the"])))
+def search_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same kinds of terms over texts that have no index."""
+    return search.hits(a.document_files(spark, sf_dir), 'thesing -thon or "of the"', "content").select("file_id", "rank")
+
+
+#: Each letter as one of another script, with marks of its own: Cyrillic, Greek and Vietnamese.
+_SCRIPTS = {"ru": "абвгдеёжзийклмнопрстуфхцчш", "el": "άβγδέζήθίκλμνξόπρσύτύφχψώάε", "vi": "ảbcđẽfghịjklmnờpqrstủvwxỹz"}
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_IN_SCRIPTS = " UNION ALL ".join(f"SELECT doc_id * 3 + {i} AS file_id, translate(lower(text), '{_LATIN}', '{letters}') AS content FROM documents WHERE lang = 'en'" for i, letters in enumerate(_SCRIPTS.values()))
+
+
+@query("search_scripts", f"WITH t AS ({_IN_SCRIPTS}), d AS (SELECT file_id, {_WORDS.format('content')} AS toks FROM t) SELECT file_id, {' + '.join(f'({_TF.format(w)} / ({_TF.format(w)} + 1)) * CAST({_TF.format(w)} > 0 AS INT)' for w in ('тхе', 'θηε', 'the'))} AS rank FROM d WHERE {' OR '.join(f'{_TF.format(w)} > 0' for w in ('тхе', 'θηε', 'the'))}")
+def search_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents in the letters of three scripts with accents, searched with and without them."""
+    docs = a.table(spark, sf_dir, "documents").where("lang = 'en'")
+    parts = [docs.select((F.col("doc_id") * 3 + i).alias("file_id"), F.translate(F.lower("text"), _LATIN, letters).alias("content")) for i, letters in enumerate(_SCRIPTS.values())]
+    texts = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    found = search.merge_hits(*[search.hits(texts, word, "content") for word in ("ТХЕ", "θηε", "thẽ")])
+    return found.select("file_id", "rank")
+
+
+_BM25_TERMS = ["the", "thesing", "eron"]
+_BM25 = f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents), n AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM d),
+c AS (SELECT doc_id, len(toks) AS size, t, len(list_filter(toks, lambda x: x = t)) AS tf FROM d, (SELECT unnest({_BM25_TERMS}) AS t)), f AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM c GROUP BY t),
+r AS (SELECT doc_id AS file_id, sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / avg_len))) AS rank FROM c JOIN f USING (t), n WHERE tf > 0 GROUP BY doc_id)
+SELECT file_id, rank FROM r ORDER BY round(rank, 9) DESC, file_id LIMIT 50"""
+
+
+@query("search_bm25", _BM25)
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents by BM25, from stored frequencies, lengths and bounds of blocks."""
+    return a.document_index(spark, sf_dir).top(" ".join(_BM25_TERMS), 50)
+
+
+@query("index_postings", f"SELECT tok AS token, count(DISTINCT doc_id) AS n_files, count(*) AS n, min(pos - 1)::INT AS earliest FROM (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM (SELECT doc_id, {_WORDS.format('text')} AS toks FROM documents)) GROUP BY tok")
+def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each token of the stored index its files, places and earliest place."""
+    by_file = a.document_index(spark, sf_dir).postings()
+    return by_file.groupBy("token").agg(F.count_distinct("file_id").alias("n_files"), F.sum("n").alias("n"), F.min(F.col("positions")[0]).alias("earliest"))
 
 
 _UNION = f"""WITH {o.FILES}, d AS (SELECT file_id, 'content' AS source, {_WORDS.format('content')} AS toks FROM files WHERE mime LIKE 'text/%'
@@ -550,7 +641,7 @@ def search_path_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hits(scoped, "the", "content").join(scoped.select("file_id", "path"), "file_id").select("file_id", "path", "rank")
 
 
-_CLEAN = "strip_accents(lower(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')))"
+_CLEAN = "strip_accents(replace(lower(regexp_replace(w, '[^\\p{L}\\p{N}\\p{M}]', '', 'g')), 'ß', 'ss'))"
 
 
 @query("search_snippet", f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS toks, string_split_regex(text, '\\s+') AS ws FROM documents),

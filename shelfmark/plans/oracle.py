@@ -83,9 +83,8 @@ associated AS (SELECT * FROM bundled UNION ALL SELECT * FROM foldered)"""
 
 
 def natural(name: str) -> str:
-    """The sort key of shelfmark.functions.paths.natural_key."""
+    """The sort key of shelfmark.functions.paths.natural_key, for names with ASCII digits."""
     runs = rf"regexp_extract_all({name}, '([0-9]+|[^0-9]+)', 1)"
-    return (
-        rf"array_to_string(list_transform({runs}, lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END, 20, '0') ELSE lower(x) END), '') || chr(0) || "
-        rf"lpad((9999 - length(array_to_string(list_transform({runs}, lambda x: regexp_extract(x, '^(0*)[0-9]', 1)), '')))::VARCHAR, 4, '0')"
-    )
+    plain = "CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END"
+    number = f"lpad(length({plain})::VARCHAR, 10, '0') || {plain} || lpad((2147483648 - length(x) + length({plain}))::VARCHAR, 10, '0')"
+    return rf"array_to_string(list_transform({runs}, lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN {number} ELSE lower(x) END), '')"
