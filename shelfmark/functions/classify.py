@@ -180,16 +180,22 @@ def tv_episode(name: Column, folder: Column, parent: Column) -> Column:
     the series, what follows the title. Without the former the folder gives the
     series, or the one above if the folder is a season's.
     """
-    base = F.trim(F.regexp_replace(name, END_TAG, ""))
-    parsed = F.lit(None)
     show = F.trim(F.coalesce(F.when(F.trim(folder).rlike(SEASON_FOLDER), parent).otherwise(folder), F.lit("")))
-    show = _spaced(F.trim(F.regexp_replace(show, SHOW_YEAR, "")))
-    for code in reversed(EPISODE_CODES):
-        at, whole = F.regexp_instr(base, F.lit(code)), F.regexp_extract(base, code, 0)
-        before = _spaced(F.btrim(F.substring(base, F.lit(1), at - 1), F.lit(SEPARATORS)))
-        after = _spaced(F.btrim(F.substring(base, at + F.length(whole), F.length(base)), F.lit(SEPARATORS)))
-        one = F.struct(
-            F.when(before == "", show).otherwise(before).alias("series"), F.regexp_extract(base, code, 1).try_cast("int").alias("season"), F.regexp_extract(base, code, 2).try_cast("int").alias("episode"), F.nullif(after, F.lit("")).alias("title")
-        )
-        parsed = F.when(at > 0, one).otherwise(parsed)
-    return parsed
+    both = F.struct(F.trim(F.regexp_replace(name, END_TAG, "")).alias("base"), _spaced(F.trim(F.regexp_replace(show, SHOW_YEAR, ""))).alias("show"))
+
+    def parsed(code: str, x: Column) -> Column:
+        """What the first place of a code tells; that place is looked for once."""
+
+        def one(m: Column) -> Column:
+            at, whole = m["at"], m["whole"]
+            before = _spaced(F.btrim(F.substring(x["base"], F.lit(1), at - 1), F.lit(SEPARATORS)))
+            after = _spaced(F.btrim(F.substring(x["base"], at + F.length(whole), F.length(x["base"])), F.lit(SEPARATORS)))
+            number = lambda i: F.regexp_extract(whole, code, i).try_cast("int")
+            told = F.struct(F.when(before == "", x["show"]).otherwise(before).alias("series"), number(1).alias("season"), number(2).alias("episode"), F.nullif(after, F.lit("")).alias("title"))
+            return F.when(at > 0, told)
+
+        place = F.struct(F.regexp_instr(x["base"], F.lit(code)).alias("at"), F.regexp_extract(x["base"], code, 0).alias("whole"))
+        return F.get(F.transform(F.array(place), one), 0)
+
+    # Functions of arrays of one bind a value to a name, so that it is told once, however often it is used.
+    return F.get(F.transform(F.array(both), lambda x: F.coalesce(*[parsed(code, x) for code in EPISODE_CODES])), 0)

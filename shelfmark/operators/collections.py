@@ -119,6 +119,43 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     )
 
 
+def contexts(nodes: DataFrame, covers: DataFrame) -> DataFrame:
+    """(id, trail, cover) of nodes (id, parent_id, name): the names from the top down to the node, and the nearest cover (id, cover) at or above it.
+
+    Each node knows a run of nodes from itself up, and who comes after them; joined with
+    the run that begins there it knows one twice as long. MAX_HOPS nodes at most are told,
+    also of those that are their own ancestors. A parent that is no node ends the trail.
+    """
+    at = nodes.join(covers, "id", "left").select("id", F.col("parent_id").alias("next"), F.array("name").alias("names"), "cover")
+    for _ in range((MAX_HOPS - 1).bit_length()):
+        at = stored(at, "trails")
+        if at.where("next is not null").isEmpty():
+            break
+        above = at.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("names").alias("_names"), F.col("cover").alias("_cover"))
+        joined = at.join(above, "next", "left")
+        at = joined.select("id", F.col("_next").alias("next"), F.concat("names", F.coalesce("_names", F.array().cast("array<string>"))).alias("names"), F.coalesce("cover", "_cover").alias("cover"))
+    return at.select("id", F.reverse("names").alias("trail"), "cover")
+
+
+def folder_contexts(folded: DataFrame, associated: DataFrame) -> DataFrame:
+    """contexts() of the collections among folders, with the covers that lie in them."""
+    own = folded.where("is_collection")
+    up = own.select(F.col("folder").alias("parent"), F.col("folder").alias("parent_id"))
+    nodes = own.join(up, "parent", "left").select(F.col("folder").alias("id"), "parent_id", name_of(F.col("folder")).alias("name"))
+    art = associated.where("kind = 'CompanionArt'").select("path", F.col("folder").alias("id")).join(nodes.select("id"), "id", "left_semi")
+    return contexts(nodes, best_cover(art, "id"))
+
+
+def item_contexts(folded: DataFrame, associated: DataFrame, item_covers: DataFrame) -> DataFrame:
+    """(item_id, trail, cover) of all items: where they belong, and their own cover (item_id, cover), else the nearest of a collection above.
+
+    What lies in an archive cannot be shown from there, so its own cover is passed over.
+    """
+    placed = item_collections(folded, associated).join(folder_contexts(folded, associated).withColumnRenamed("id", "collection"), "collection", "left")
+    own = item_covers.where(~F.contains("cover", F.lit("!/"))).select("item_id", F.col("cover").alias("own"))
+    return placed.join(own, "item_id", "left").select("item_id", F.coalesce("trail", F.array().cast("array<string>")).alias("trail"), F.coalesce("own", "cover").alias("cover"))
+
+
 def child_counts(nodes: DataFrame, items: DataFrame) -> DataFrame:
     """(id, name, n_children, n_items) of each collection."""
     kids = nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n_children"))

@@ -152,17 +152,47 @@ def listing(files: DataFrame, attributes: DataFrame, definitions: DataFrame, cat
     return found.join(own, "file_id", "left_semi").groupBy("folder").agg(F.min("number").alias("number"), F.count_distinct("file_id").alias("n_files"))
 
 
+def _memberships(files: DataFrame, attributes: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(file_id, label, categories): the name of the type and the keys of the categories that files belong to, told by one pass over each side."""
+    by_attribute = [c for c in CATEGORIES if c.attribute is not None and not c.mime]
+    by_group = [c for c in CATEGORIES if c.group is not None and c.attribute is None and not c.mime]
+    groups = definitions.where(F.col("group").isin(*[c.group for c in by_group])).select("definition", "group")
+    marked = attributes.join(F.broadcast(groups), "definition", "left").where(F.col("group").isNotNull() | F.col("definition").isin(*[c.attribute for c in by_attribute]))
+    flags = [F.bool_or(F.col("definition") == c.attribute).alias(c.key) for c in by_attribute] + [F.bool_or(F.coalesce(F.col("group") == c.group, F.lit(False))).alias(c.key) for c in by_group]
+    label = media_label(best_mime(F.col("mime"), F.lit(None).cast("string")))
+    # Each content type is named once.
+    labels = files.select("mime").where("mime is not null").distinct().select("mime", label.alias("label"))
+    both = files.join(marked.groupBy("file_id").agg(*flags), "file_id", "left").join(labels, "mime", "left")
+
+    def belongs(c: Category) -> Column:
+        if c.mime:
+            return reduce(Column.__or__, [F.col("mime").startswith(p) for p in c.mime])
+        return F.col(c.key) if c in by_attribute + by_group else F.lit(True)
+
+    keys = F.array_compact(F.array(*[F.when(belongs(c), F.lit(c.key)) for c in CATEGORIES]))
+    return both.select("file_id", "label", keys.alias("categories"))
+
+
 def count_views(files: DataFrame, attributes: DataFrame, definitions: DataFrame, date_definition: int = 0) -> DataFrame:
-    """(view, n) of all views: folders at their top, or files where they have no levels."""
+    """(view, n) of all views: folders at their top, or files where they have no levels.
+
+    Each file and top level is met once; the views that it counts in follow from the file's categories.
+    """
+    views = [(c.key, f"{c.key}/{v.key}", str(v.path[0]) if v.path else "") for c in CATEGORIES for v in c.view]
     attributes = stored(file_level(attributes).select("file_id", "definition", "value_text", "value_int", "value_date"), "attributes")
-    files = stored(shown(files).select("file_id", "path", "mime"), "files")
-    out = []
-    for category in CATEGORIES:
-        own = _candidates(files, attributes, definitions, category)
-        for view in category.view:
-            found = level_values(view.path[0], own, attributes, date_definition).join(own, "file_id", "left_semi").select("folder") if view.path else own.select(F.col("file_id").cast("string").alias("folder"))
-            out.append(found.agg(F.count_distinct("folder").alias("n")).select(F.lit(f"{category.key}/{view.key}").alias("view"), "n"))
-    return reduce(DataFrame.unionByName, out)
+    own = stored(_memberships(shown(files).select("file_id", "mime"), attributes, definitions), "memberships")
+    named = {lv for _, _, lv in views}
+    of_file = F.array(F.struct(F.lit("").alias("level"), F.col("file_id").cast("string").alias("folder")), F.struct(F.lit(TYPE).alias("level"), F.col("label").alias("folder")))
+    level = F.when((F.col("definition") == date_definition) & F.col("value_date").isNotNull(), YEAR).otherwise(F.col("definition").cast("string"))
+    # A date counts for its file by the earliest year; of other levels each value is a folder.
+    tops = attributes.select("file_id", level.alias("level"), F.when(level == YEAR, F.year("value_date").cast("string")).otherwise(level_value()).alias("folder")).where(F.col("level").isin(*named) & F.col("folder").isNotNull())
+    years = tops.where(F.col("level") == YEAR).groupBy("file_id", "level").agg(F.min_by("folder", F.col("folder").cast("int")).alias("folder"))
+    found = own.join(tops.where(F.col("level") != YEAR).unionByName(years), "file_id").select("categories", "level", "folder")
+    found = found.unionByName(own.select("categories", F.explode(of_file).alias("x")).select("categories", "x.*").where("folder is not null"))
+    counted = F.array_compact(F.array(*[F.when((F.col("level") == lv) & F.array_contains("categories", c), F.lit(v)) for c, v, lv in views]))
+    counts = found.select(F.explode(counted).alias("view"), "folder").distinct().groupBy("view").agg(F.count("*").alias("n"))
+    every = own.sparkSession.createDataFrame([(v,) for _, v, _ in views], "view string")
+    return every.join(counts, "view", "left").select("view", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def in_leaf_order(found: DataFrame) -> DataFrame:

@@ -7,15 +7,18 @@ shelfmark.plans.oracle.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators.scratch import shared_dir
+from shelfmark.operators.scratch import shared_dir, stored
 from shelfmark.operators.textindex import TextIndex
 
 #: Indexes that this session wrote, by application, table and its state.
 _INDEXES: dict[tuple, TextIndex] = {}
+#: Layers that this session wrote, alike.
+_LAYERS: dict[tuple, DataFrame] = {}
 PAGES, CHATS, MUSIC = 10_000_000, 20_000_000, 30_000_000
 
 
@@ -33,12 +36,16 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(*_file(F.col("doc_id"), path, F.octet_length("text"), "text/plain", F.col("text")))
 
 
+def _state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """What tells a table of this session from another or a later one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return spark.sparkContext.applicationId, sf_dir, fs.getFileStatus(where).getModificationTime(), fs.getContentSummary(where).getLength()
+
+
 def document_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The stored index of document_files(), written when it is first asked for and again when the table is another."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    state = (fs.getFileStatus(where).getModificationTime(), fs.getContentSummary(where).getLength())
-    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    key = _state(spark, sf_dir, "documents")
     if key not in _INDEXES:
         index = TextIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}")
         index.refresh(document_files(spark, sf_dir).select("file_id", "content"))
@@ -46,6 +53,14 @@ def document_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     return _INDEXES[key]
 
 
+def kept(spark: SparkSession, sf_dir: str, table_name: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A layer that queries share: made from a table and written when it is first asked for, and again when the table is another."""
+    key = (name, *_state(spark, sf_dir, table_name))
+    if key not in _LAYERS:
+        _LAYERS[key] = stored(make(), name)
+    return _LAYERS[key]
+
+
 def page_path() -> Column:
     bare = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[a-z]+://", "")
     return F.concat(F.lit("web/"), bare)

@@ -12,7 +12,7 @@ from shelfmark.operators import collections as coll
 from shelfmark.plans import adapters as a
 from shelfmark.plans import oracle as o
 from shelfmark.plans import vocabulary
-from shelfmark.plans.catalog import _CLEAN, _FOLD, _UNION, _WORDS, _all, _music, _rank, _tree, query
+from shelfmark.plans.catalog import _CLEAN, _FOLD, _NODES, _UNION, _WORDS, _all, _associated, _folded, _music, _rank, _region_nodes, _tree, query
 from shelfmark.sources import readers
 from shelfmark.streaming import debounce as quiet
 
@@ -216,12 +216,12 @@ def entries_read_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("item_members", f"WITH {o.TREE}, {o.ASSOCIATED} SELECT item_id, CASE role WHEN 'Primary' THEN 'content' WHEN 'Sidecar' THEN 'sidecars' ELSE 'resources' END AS \"group\", regexp_extract(path, '([^/]*)$', 1) AS name, path, false AS in_archive FROM associated WHERE item_id IS NOT NULL")
 def item_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return browse.item_members(assoc.associate(_tree(spark, sf_dir)))
+    return browse.item_members(_associated(spark, sf_dir))
 
 
 @query("item_covers", f"WITH {o.TREE}, {o.ASSOCIATED}, art AS (SELECT * FROM associated WHERE role = 'Companion' AND path LIKE '%.jpg'), mine AS (SELECT item_id, min(path) AS c FROM art WHERE item_id IS NOT NULL GROUP BY item_id), near AS (SELECT folder, min(path) AS c FROM art GROUP BY folder), p AS (SELECT * FROM associated WHERE role = 'Primary' AND item_id = file_id) SELECT p.item_id, coalesce(CASE WHEN p.path LIKE '%.jpg' THEN p.path END, mine.c, near.c) AS cover FROM p LEFT JOIN mine USING (item_id) LEFT JOIN near ON near.folder = p.folder WHERE cover IS NOT NULL")
 def item_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return browse.item_covers(assoc.associate(_tree(spark, sf_dir)))
+    return browse.item_covers(_associated(spark, sf_dir))
 
 
 @query("display_groups", f"WITH {o.RAW}, {o.TEXTS}, {_DEFINITIONS} SELECT DISTINCT file_id, grp AS \"group\", name, value FROM text_attributes JOIN defs USING (definition) WHERE value <> ''")
@@ -281,21 +281,49 @@ _FOLDED = _FOLD.rsplit("\nSELECT folder", 1)[0]
 @query("collection_art", _FOLDED + "\nSELECT file_id, a.folder AS collection, CASE kind WHEN 'Nfo' THEN 'Sidecar' ELSE 'Companion' END AS role FROM associated a JOIN done d ON d.folder = a.folder AND (d.is_c OR d.st) WHERE kind IN ('CompanionArt', 'Nfo')")
 def collection_art(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Art and .nfo files that belong to collections."""
-    associated = assoc.associate(_tree(spark, sf_dir))
-    return coll.owned_files(coll.fold(associated), associated)
+    associated = _associated(spark, sf_dir)
+    return coll.owned_files(_folded(spark, sf_dir), associated)
 
 
 @query("item_collections", _FOLDED + "\nSELECT DISTINCT a.item_id, CASE WHEN d.is_c OR d.st THEN d.folder WHEN p.is_c OR p.st THEN p.folder END AS collection FROM associated a JOIN done d ON d.folder = a.folder LEFT JOIN done p ON p.folder = d.parent WHERE a.role = 'Primary' AND a.item_id IS NOT NULL")
 def item_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    associated = assoc.associate(_tree(spark, sf_dir))
-    return coll.item_collections(coll.fold(associated), associated)
+    associated = _associated(spark, sf_dir)
+    return coll.item_collections(_folded(spark, sf_dir), associated)
 
 
 @query("collection_pins", _FOLDED + "\nSELECT folder, CASE WHEN is_c THEN CASE WHEN zk THEN 'Show' ELSE 'Generic' END WHEN regexp_matches(name, '^(?i)(season|series|saison|s)[\\s._-]*\\d+$|^(?i)(specials?|extras)$') THEN 'Season' ELSE 'Generic' END AS kind, 'Auto' AS source FROM done WHERE (is_c OR st) AND folder <> 'tree/Show 1' UNION ALL SELECT * FROM (VALUES ('tree/Show 1', 'Series', 'Manual'), ('elsewhere', 'Album', 'Manual')) AS x(folder, kind, source)")
 def collection_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collections made by hand stand instead of folded ones."""
     manual = spark.createDataFrame([("tree/Show 1", "Series"), ("elsewhere", "Album")], "folder string, kind string")
-    return coll.with_manual(coll.fold(assoc.associate(_tree(spark, sf_dir))), manual)
+    return coll.with_manual(_folded(spark, sf_dir), manual)
+
+
+_SHOWN_ART = "(SELECT item_id, min(path) AS c FROM associated WHERE role = 'Companion' AND path LIKE '%.jpg' AND item_id IS NOT NULL GROUP BY item_id)"
+
+
+@query("item_contexts", _FOLDED.replace("WITH", "WITH RECURSIVE", 1) + f""",
+c AS (SELECT d.folder, CASE WHEN p.is_c OR p.st THEN p.folder END AS up FROM done d LEFT JOIN done p ON p.folder = d.parent WHERE d.is_c OR d.st),
+art AS (SELECT folder, min(path) AS c FROM associated WHERE kind = 'CompanionArt' GROUP BY folder),
+up(id, at_, hop) AS (SELECT folder, folder, 1 FROM c UNION ALL SELECT up.id, c.up, hop + 1 FROM up JOIN c ON c.folder = up.at_ WHERE c.up IS NOT NULL),
+ctx AS (SELECT id, string_agg(regexp_extract(at_, '([^/]*)$', 1), ' / ' ORDER BY hop DESC) AS trail, arg_min(art.c, hop) FILTER (WHERE art.c IS NOT NULL) AS cover FROM up LEFT JOIN art ON art.folder = up.at_ GROUP BY id),
+i AS (SELECT DISTINCT a.item_id, CASE WHEN d.is_c OR d.st THEN d.folder WHEN p.is_c OR p.st THEN p.folder END AS collection FROM associated a JOIN done d ON d.folder = a.folder LEFT JOIN done p ON p.folder = d.parent WHERE a.role = 'Primary' AND a.item_id IS NOT NULL),
+first AS (SELECT * FROM associated WHERE role = 'Primary' AND item_id = file_id), near AS (SELECT folder, min(path) AS c FROM associated WHERE role = 'Companion' AND path LIKE '%.jpg' GROUP BY folder)
+SELECT i.item_id, coalesce(ctx.trail, '') AS trail, coalesce(CASE WHEN first.path LIKE '%.jpg' THEN first.path END, mine.c, near.c, ctx.cover) AS cover
+FROM i LEFT JOIN ctx ON ctx.id = i.collection LEFT JOIN {_SHOWN_ART} mine ON mine.item_id = i.item_id LEFT JOIN first ON first.item_id = i.item_id LEFT JOIN near ON near.folder = first.folder""")
+def item_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each item belongs, and its cover, if need be that of a collection above."""
+    associated = _associated(spark, sf_dir)
+    found = coll.item_contexts(_folded(spark, sf_dir), associated, browse.item_covers(associated))
+    return found.select("item_id", F.array_join("trail", " / ").alias("trail"), "cover")
+
+
+@query("collection_contexts", f"""WITH {_NODES}, s AS (SELECT *, CASE WHEN id BETWEEN 100 AND 999 AND id % 3 = 0 OR id < 3 THEN 'art of ' || name END AS cover FROM nodes)
+SELECT a.id, concat_ws(' / ', c.name, b.name, a.name) AS trail, coalesce(a.cover, b.cover, c.cover) AS cover FROM s a LEFT JOIN s b ON b.id = a.parent_id LEFT JOIN s c ON c.id = b.parent_id""")
+def collection_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trails and nearest covers of suppliers in nations in regions."""
+    nodes = _region_nodes(spark, sf_dir)
+    covers = nodes.where("id between 100 and 999 and id % 3 = 0 or id < 3").select("id", F.concat(F.lit("art of "), "name").alias("cover"))
+    return coll.contexts(nodes, covers).select("id", F.array_join("trail", " / ").alias("trail"), "cover")
 
 
 @query("collections_by_name", "SELECT n_nationkey + 100 AS id, n_name AS name, row_number() OVER (ORDER BY lower(n_name))::INT AS place FROM nation ORDER BY place LIMIT 10")
@@ -390,7 +418,7 @@ def full_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All layers anew: files, attributes, items and search vectors, each counted."""
     files = a.files(spark, sf_dir).agg(F.count("*").alias("n_files"))
     texts = normalize.first_wins(normalize.normalize(a.raw(spark, sf_dir))).where("value_text is not null").agg(F.count("*").alias("n_texts"))
-    items = assoc.counters(assoc.associate(_tree(spark, sf_dir))).select(F.col("items").alias("n_items"))
+    items = assoc.counters(_associated(spark, sf_dir)).select(F.col("items").alias("n_items"))
     vectors = search.token_vectors(a.document_files(spark, sf_dir)).agg(F.count("*").alias("n_postings"))
     return files.crossJoin(texts).crossJoin(items).crossJoin(vectors)
 

@@ -1,9 +1,13 @@
-"""Queries of what changes over time: stored snapshots, and events of a watcher in batch and stream."""
+"""Queries of what changes over time and of what lies in stores: snapshots, events of a watcher in batch and stream, folders, archives."""
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from shelfmark.operators.scratch import shared_dir
 from shelfmark.operators.snapshots import Catalogue, Snapshot
 from shelfmark.plans import adapters as a
 from shelfmark.plans.catalog import _snapshots, query
+from shelfmark.sources.stores import opened
+from shelfmark.sources import archives, foldertree
 from shelfmark.streaming import watch
 
 
@@ -89,3 +95,53 @@ def stream_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = Snapshot(spark, f"{where}/state", watch.STATE, buckets=8)
     watch.run(spark.readStream.schema(events.schema).parquet(f"{where}/in"), state, f"{where}/checkpoint", "1 hour", _HOUR)
     return state.read().withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("indexed", "at")})
+
+
+@query("folder_walk", """WITH f AS (SELECT DISTINCT 'size=' || p_size AS a, 'k=' || p_partkey % 3 AS b FROM part) SELECT DISTINCT a AS path, (SELECT count(DISTINCT b) FROM f g WHERE g.a = f.a) AS n_folders, 0::BIGINT AS n_rows FROM f
+UNION ALL SELECT 'size=' || p_size || '/k=' || p_partkey % 3, 0, count(*) FROM part GROUP BY 1""")
+def folder_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written by size and key, and the tree of their folders walked: each with the folders in it, and the rows of its files."""
+    where = _place(spark, "parts")
+    parts = a.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("size"), (F.col("p_partkey") % 3).alias("k"))
+    parts.repartition("size").write.partitionBy("size", "k").parquet(where)
+    foldertree.register(spark)
+    walked = spark.read.format("folder_tree").option("partitions", 8).load(where)
+    inside = F.regexp_extract("path", r"/parts-[0-9a-f]{12}/(.*)$", 1)
+    up = F.regexp_extract(inside, "^(.*)/[^/]*$", 1)
+    folders = walked.where("is_dir").select(inside.alias("path"))
+    below = walked.where("is_dir").groupBy(up.alias("path")).agg(F.count("*").alias("n_folders"))
+    files = walked.where("not is_dir and path like '%.parquet'").select("path", up.alias("folder"))
+    rows = spark.read.parquet(where).select(F.col("_metadata.file_path").alias("read")).groupBy("read").agg(F.count("*").alias("n"))
+    held = files.join(rows, F.endswith("read", F.regexp_extract("path", r"(/[^/]*)$", 1)) & (F.substring_index("read", "/", -3) == F.substring_index("path", "/", -3)))
+    n_rows = held.groupBy(F.col("folder").alias("path")).agg(F.sum("n").alias("n_rows"))
+    return folders.join(below, "path", "left").join(n_rows, "path", "left").fillna(0, ["n_folders", "n_rows"])
+
+
+def _written_archives(docs: DataFrame, where: str) -> DataFrame:
+    """(archive): each task writes its documents (doc_id, text) into one archive below a shared folder, one entry after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = opened(where)
+        store.create_dir(folder)
+        name = f"{uuid.uuid4().hex}.zip"
+        with store.open_output_stream(f"{folder}/{name}") as out, zipfile.ZipFile(io.BufferedWriter(out), "w", zipfile.ZIP_DEFLATED) as z:
+            for batch in batches:
+                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    z.writestr(f"texts/Doc {doc_id}.TXT", text or "")
+        yield pa.RecordBatch.from_pydict({"archive": [f"{where}/{name}"]})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "archive string")
+
+
+@query("archive_contents", "SELECT 'texts/Doc ' || doc_id || '.TXT' AS internal, 'TEXTS/doc ' || doc_id || '.txt' AS asked, octet_length(encode(coalesce(text, '')))::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents")
+def archive_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into ZIP archives, listed, asked for in other letters and read in place."""
+    where = _place(spark, "zips")
+    made = _written_archives(a.table(spark, sf_dir, "documents"), where).collect()
+    listed = archives.archive_entries(spark.createDataFrame(made, "archive string"))
+    asked = listed.select("archive", F.replace(F.lower("internal"), F.lit("texts"), F.lit("TEXTS")).alias("internal"))
+    found = archives.found_entries(listed, asked)
+    parts = archives.entry_parts(found)
+    whole = parts.groupBy("archive", "internal").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("parts"), F.max("error").alias("error")).where("error is null")
+    content = F.aggregate("parts", F.lit(b""), lambda out, p: F.concat(out, F.coalesce(p["content"], F.lit(b""))))
+    return whole.select("archive", "internal", F.md5(content).alias("digest")).join(found.select("archive", "internal", "asked", "size"), ["archive", "internal"]).select("internal", "asked", "size", "digest")
