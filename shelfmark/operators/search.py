@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.paths import fold, unaccent
+from shelfmark.functions.paths import MARK_BLOCKS, fold, unaccent
 from shelfmark.functions.stems import STEMMERS, STOP_WORDS, stemmed
 
 START, STOP = "\x01", "\x02"
@@ -34,9 +34,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(unaccent(F.lower(text)), f"{APART}+", -1), lambda t: t != "")
 
 
+#: Words that consist of marks only, of which folding leaves nothing.
+_BARE_MARKS = "".join(f"\\u{low:04x}-\\u{high - 1:04x}" for low, high in MARK_BLOCKS)
+_LONE = rf"(?<![\p{{L}}\p{{N}}\p{{M}}])[{_BARE_MARKS}]+(?![\p{{L}}\p{{N}}\p{{M}}])"
+
+
 def raw_tokens(text: Column) -> Column:
     """The words behind tokens(), one to one, in lower case but with their accents."""
-    return F.filter(F.split(F.lower(text), f"{APART}+", -1), lambda t: unaccent(t) != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(text), _LONE, " "), f"{APART}+", -1), lambda t: t != "")
 
 
 def raw_words(text: str) -> list[str]:

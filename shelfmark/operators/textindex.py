@@ -24,10 +24,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.paths import unaccent
 from shelfmark.functions.stems import STEMMERS, stem_column
 from shelfmark.operators.scratch import stored
-from shelfmark.operators.search import alternatives, prefix_terms, raw_tokens, stem_alternatives, stem_terms, words
+from shelfmark.operators.search import alternatives, prefix_terms, raw_tokens, stem_alternatives, stem_terms, tokens, words
 
 POSTINGS = "token string, raw string, file_id long, n int, positions array<int>"
 FILES = "file_id long, stamp string, segment int, length long"
@@ -42,12 +41,15 @@ K1, B = 1.2, 0.75
 
 
 def positional(texts: DataFrame) -> DataFrame:
-    """POSTINGS of texts (file_id, content), dealt out by ranges of their order and sorted: one shuffle, of words."""
-    pairs = F.transform(raw_tokens(F.col("content")), lambda r: F.struct(unaccent(r).alias("token"), r.alias("raw")))
+    """POSTINGS of texts (file_id, content), dealt out by ranges of their order and sorted.
+
+    Words are brought together by file first, so that the ranges are found from postings and each text is cut into words once.
+    """
+    pairs = F.arrays_zip(tokens(F.col("content")).alias("token"), raw_tokens(F.col("content")).alias("raw"))
     each = texts.select("file_id", F.posexplode(pairs).alias("pos", "w")).select("w.token", "w.raw", "file_id", "pos")
     key = ["token", "raw", "file_id"]
-    listed = each.repartitionByRange(*key).groupBy(*key).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return listed.select(*key, F.size("positions").alias("n"), "positions").sortWithinPartitions(*key)
+    listed = each.groupBy(*key).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return listed.select(*key, F.size("positions").alias("n"), "positions").repartitionByRange(*key).sortWithinPartitions(*key)
 
 
 def _few(df: DataFrame) -> bool:
