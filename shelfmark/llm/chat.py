@@ -58,8 +58,10 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     empty table gives an empty one. Texts are rendered whole, however long.
     """
     none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
-    names = [c for c in pairs.columns if c not in ("chosen", "rejected", "prompt_turns", "prompt", "chosen_mask", "rejected_mask")]
-    both = pairs.select(*names, F.coalesce("chosen", none).alias("_c"), F.coalesce("rejected", none).alias("_r"))
+    kept = [c for c in pairs.columns if c not in ("chosen", "rejected", "prompt_turns", "prompt", "chosen_mask", "rejected_mask")]
+    # Other columns go under names of their own until the end, so that none can clash.
+    names = [f"c{i}" for i in range(len(kept))]
+    both = pairs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(kept, names)], F.coalesce("chosen", none).alias("_c"), F.coalesce("rejected", none).alias("_r"))
     shorter = F.least(F.size("_c"), F.size("_r"))
 
     def differs(i: Column) -> Column:
@@ -70,13 +72,17 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     both = both.withColumn("prompt_turns", F.coalesce(F.get(F.filter(places, differs), 0), shorter).cast("int"))
     c, r = (F.slice(x, F.col("prompt_turns") + 1, F.size(x)) for x in ("_c", "_r"))
     c, r = (F.when(F.size(x) > F.col("prompt_turns"), y).otherwise(none) for x, y in (("_c", c), ("_r", r)))
-    return both.select(
+    done = both.select(
         *names, "prompt_turns", render(F.slice("_c", F.lit(1), F.col("prompt_turns"))).alias("prompt"), render(c).alias("chosen"), trained_ranges(c).alias("chosen_mask"), render(r).alias("rejected"), trained_ranges(r).alias("rejected_mask")
     )
+    return done.toDF(*kept, *done.columns[len(kept) :])
 
 
 def neighbour_pairs(turns: DataFrame) -> DataFrame:
-    """(pair_id, chosen_id, rejected_id, chosen, rejected): conversations 2 k and 2 k + 1 as a pair, where both exist."""
+    """(pair_id, chosen_id, rejected_id, chosen, rejected): conversations 2 k and 2 k + 1 as a pair, where both exist.
+
+    Repeated rows are turns of their own, an empty table gives no pair, and other columns are not looked at.
+    """
     own = conversations(turns)
     side = F.pmod(F.col("conv_id"), F.lit(2)) == 0
     pair = own.groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).agg(

@@ -170,9 +170,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "links")
     while True:
-        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(1_000_000).alias("up")))
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         # A root is nobody's u, and any other node is one u only.
-        if not ends.groupBy("x").agg(F.sum("up").alias("up")).where("up > 1 and up % 1000000 > 0").take(1):
+        if not ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 0 and up + down > 1").take(1):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -416,18 +416,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near duplicates, the least by id and then by hash of its text, with its own columns.
 
     Rows without an id or without words are never linked and all stay. Of rows
-    alike in id and text any one stays for its group.
+    alike in id and text any one stays for its group. Other columns may have any
+    name; an empty table gives an empty one; texts are compared whole.
     """
-    rows = _judged(docs, "doc_id", "text", SHINGLE_WORDS, MIN_SIMILARITY, BANDS, ROWS_PER_BAND).where("root is not null")
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    rows = _judged(inner, key, text, SHINGLE_WORDS, MIN_SIMILARITY, BANDS, ROWS_PER_BAND).where("root is not null")
     texts = rows.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     best = texts.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
     marked = texts.join(best, "root").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n", (F.struct("doc_id", "text_hash") == F.col("best")).alias("stays"))
     marked = materialise(marked.where("not stays or n > 1"), "marked")
-    own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
-    left = docs.join(sent_if_few(marked.where("not stays").select("_id", "_hash"), MAX_SENT_KEYS), own, "left_anti")
+    own = (F.col(key).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash"))
+    left = inner.join(sent_if_few(marked.where("not stays").select("_id", "_hash"), MAX_SENT_KEYS), own, "left_anti")
     again = marked.where("stays").select("_id", "_hash")
     if not again.take(1):
-        return left
+        return left.toDF(*docs.columns)
     again = sent_if_few(again, MAX_SENT_KEYS)
-    one = left.join(again, own, "left_semi").withColumn("_text_hash", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
-    return left.join(again, own, "left_anti").unionByName(one).select(*docs.columns)
+    one = left.join(again, own, "left_semi").withColumn("_text_hash", F.xxhash64(F.col(text).cast("string"))).dropDuplicates([key, "_text_hash"]).drop("_text_hash")
+    return left.join(again, own, "left_anti").unionByName(one).toDF(*docs.columns)

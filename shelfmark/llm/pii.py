@@ -7,8 +7,9 @@ IC(e) = -log2 p(e) and PMI(t, e) = log2 p(e|t) / p(e), a term discloses an
 entity if PMI >= ALPHA * IC, which is p(e|t) >= p(e) ** (1 - ALPHA). A term
 counts for an entity if it stands within CONTEXT_CHARS of it; p(e|t) divides the
 different texts where it does by all different texts that hold the term, smoothed
-towards p(e) by SMOOTHING texts, so that one text alone is weaker evidence. Every
-entity is judged. A disclosing term is removed where p(e|t) >= REMOVE_FROM, and else
+towards p(e) by SMOOTHING texts. One text shows nothing about a term, as any word of
+it stands beside the entity there: SUPPORT different texts must hold both, whatever
+the size of the corpus. Every entity is judged. A disclosing term is removed where p(e|t) >= REMOVE_FROM, and else
 generalised to the kind of the entity, wherever it stands in the corpus.
 """
 
@@ -34,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 ALPHA = 0.9
 #: Texts that p(e) weighs in p(e|t).
 SMOOTHING = 0.5
+#: Different texts that must hold a term beside an entity.
+SUPPORT = 2
 REMOVE_FROM = 0.9
 CONTEXT_CHARS = 100
 MIN_TERM_CHARS = 4
@@ -139,7 +142,7 @@ def disclosing_terms(rows: DataFrame, text: str, spans: DataFrame) -> DataFrame:
     hits = hits.select("text_hash", "kind", F.lower("s.value").alias("entity"), F.concat_ws(" ", "s.before", "s.after").alias("around"))
     known = hits.groupBy("kind", "entity").agg(F.count_distinct("text_hash").alias("c_e"))
     near = hits.join(known, ["kind", "entity"]).select("kind", "entity", "c_e", "text_hash", F.explode(_terms(F.col("around"))).alias("term"))
-    joint = near.groupBy("kind", "entity", "c_e", "term").agg(F.count_distinct("text_hash").alias("c_te"))
+    joint = near.groupBy("kind", "entity", "c_e", "term").agg(F.count_distinct("text_hash").alias("c_te")).where(F.col("c_te") >= SUPPORT)
     joint = materialise(joint, "joint")
     # Every term is counted, added up task by task before it moves; only then is it met with the candidates.
     # Copies of a text add up to one.
@@ -179,8 +182,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null text counts as empty. row is a hash of id and text: rows alike in both
     share it and their spans; repeated and null ids are rows like all others.
-    An empty table gives an empty result; other columns are not looked at. Texts
-    are read whole, however long. Entities and terms are counted when this is called.
+    An empty table gives an empty result, and all texts without spans are rows too;
+    other columns are not looked at. Texts are read whole, however long. Entities and terms are counted when this is called.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"row": _row(F.col("id"), F.col("text")), "text_hash": F.xxhash64("text")})
@@ -205,7 +208,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Base spans become their kind in brackets, generalised terms the kind with
     "context", removed terms nothing. Where spans overlap, the one that starts
-    first (then the longest) stands. Null texts stay null.
+    first (then the longest) stands. Null texts stay null. Rows are rewritten one by
+    one, repeated ones alike; an empty table gives an empty one; no column is lost.
     """
     names = docs.columns
     found = find_personal_data(docs, id_col, text_col).dropDuplicates(["row"])
