@@ -109,5 +109,7 @@ def promotions(associated: DataFrame, contents: DataFrame, attributes: DataFrame
     return whole.unionByName(texts).unionByName(dates, allowMissingColumns=True)
 
 
-def counters(associated: DataFrame) -> DataFrame:
-    return associated.agg(F.count_distinct("item_id").alias("items"), F.count_if(F.col("role") == "Sidecar").alias("sidecars"), F.count_if(F.col("role") == "Companion").alias("companions"))
+def counters(associated: DataFrame, promoted: DataFrame | None = None) -> DataFrame:
+    """(items, sidecars, companions[, promotions]) of associate() and promotions()."""
+    found = associated.agg(F.count_distinct("item_id").alias("items"), F.count_if(F.col("role") == "Sidecar").alias("sidecars"), F.count_if(F.col("role") == "Companion").alias("companions"))
+    return found if promoted is None else found.crossJoin(promoted.agg(F.count("*").alias("promotions")))

@@ -72,6 +72,21 @@ def owned_files(folded: DataFrame, associated: DataFrame) -> DataFrame:
     return own.join(folded.where("is_collection").select(F.col("folder").alias("collection")), "collection", "left_semi").select("file_id", "collection", "role")
 
 
+#: The definition of comments.
+COMMENT = 38
+
+
+def comments(folded: DataFrame, associated: DataFrame, contents: DataFrame, known: DataFrame) -> DataFrame:
+    """(collection, definition, value): the text of a collection's .nfo file, without blanks around it, as its comment.
+
+    Given once, by the first path that has text, where known (collection, definition) has none yet.
+    """
+    own = owned_files(folded, associated).where("role = 'Sidecar'").join(associated.select("file_id", "path"), "file_id")
+    text = contents.select("file_id", F.regexp_replace("content", r"(?U)^\s+|\s+$", "").alias("value")).where("value <> ''")
+    first = own.join(text, "file_id").groupBy("collection").agg(F.min_by("value", "path").alias("value"))
+    return first.join(known.where(F.col("definition") == COMMENT).select("collection"), "collection", "left_anti").select("collection", F.lit(COMMENT).alias("definition"), "value")
+
+
 def item_collections(folded: DataFrame, associated: DataFrame) -> DataFrame:
     """(item_id, collection): the folder that is the item's collection: its own, else the one above, which it is handed to."""
     items = associated.where("role = 'Primary' and item_id is not null and folder <> ''").select("item_id", "folder").distinct()

@@ -63,17 +63,19 @@ def rename(files: DataFrame, old: str, new: str) -> DataFrame:
     return files.withColumn("path", F.when(under(F.col("path"), old), F.concat(F.lit(new), F.substring("path", F.lit(len(old) + 1), F.length("path")))).otherwise(F.col("path")))
 
 
-def expand_archives(entries: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """(archive_id, path, internal, size) of virtual files; entries is (archive_id, archive_path, internal, size).
+def expand_archives(entries: DataFrame, max_entries: int = MAX_ENTRIES, archives: DataFrame | None = None) -> DataFrame:
+    """(archive_id, path, internal, size[, created, modified]) of virtual files; entries is (archive_id, archive_path, internal, size).
 
     Entries of one path become one, the largest. An archive of more entries than
-    the limit stays opaque; paths too long are left out.
+    the limit stays opaque; paths too long are left out. Times are those of the
+    archive, from archives (archive_id, created, modified).
     """
     inner = entries.withColumn("internal", internal_path(F.col("internal"))).where("internal <> ''")
     one = inner.groupBy("archive_id", "archive_path", "internal").agg(F.max("size").alias("size"))
     few = one.groupBy("archive_id").agg(F.count("*").alias("n")).where(F.col("n") <= max_entries).select("archive_id")
     out = one.join(few, "archive_id", "left_semi").withColumn("path", F.concat("archive_path", F.lit("!/"), "internal"))
-    return out.where(F.length("path") <= MAX_PATH).select("archive_id", "path", "internal", "size")
+    out = out.where(F.length("path") <= MAX_PATH).select("archive_id", "path", "internal", "size")
+    return out if archives is None else out.join(archives.select("archive_id", "created", "modified"), "archive_id", "left")
 
 
 def stale_entries(known: DataFrame, expanded: DataFrame) -> DataFrame:

@@ -84,17 +84,28 @@ def unmapped(raw: DataFrame) -> DataFrame:
     return counts.join(rules, (_rule_key("namespace") == F.col("rule_ns")) & (_rule_key("key") == F.col("rule_key")), "left_anti")
 
 
-def resolve_aliases(pairs: DataFrame, name: str = "name") -> DataFrame:
-    """pairs with the definition their name is an alias of, else the one it names; ignored aliases drop out.
+def fits_type(value: Column, kind: Column) -> Column:
+    """Whether a text can be a value of a type; any can be text, none is bytes."""
+    whole, floating = coerce.integer(value).isNotNull(), coerce.floating(value).isNotNull()
+    return (
+        F.when(kind == "Integer", whole).when(kind == "Float", floating).when(kind == "Date", coerce.iso_date(value).isNotNull())
+        .when(kind == "TimeSpan", coerce.duration(value).isNotNull()).when(kind == "Blob", F.lit(False)).otherwise(F.lit(True))
+    )
 
-    definition is null for names that are new to the vocabulary.
+
+def resolve_aliases(pairs: DataFrame, name: str = "name", value: str | None = None) -> DataFrame:
+    """pairs with the definition their name is an alias of, else the first one of that name; ignored aliases drop out.
+
+    With value, only definitions whose type the value fits are taken by name; an alias holds whatever
+    the value. definition is null for names that are new to the vocabulary, or new with such a value.
     """
     spark = pairs.sparkSession
     alias = F.broadcast(aliases_table(spark).withColumnRenamed("definition", "alias_definition"))
-    named = F.broadcast(definitions_table(spark).groupBy(F.lower(F.trim("name")).alias("known")).agg(F.min("definition").alias("named_definition")))
+    known = definitions_table(spark).groupBy(F.lower(F.trim("name")).alias("known")).agg(F.array_sort(F.collect_list(F.struct("definition", "type"))).alias("named"))
     key = F.lower(F.trim(F.col(name)))
-    out = pairs.join(alias, key == F.col("alias"), "left").join(named, key == F.col("known"), "left").where(~F.coalesce("ignored", F.lit(False)))
-    return out.withColumn("definition", F.coalesce("alias_definition", "named_definition")).drop("alias", "ignored", "known", "alias_definition", "named_definition")
+    out = pairs.join(alias, key == F.col("alias"), "left").join(F.broadcast(known), key == F.col("known"), "left").where(~F.coalesce("ignored", F.lit(False)))
+    fit = F.col("named") if value is None else F.filter("named", lambda d: fits_type(F.col(value), d["type"]))
+    return out.withColumn("definition", F.coalesce("alias_definition", F.get(fit, 0)["definition"])).drop("alias", "ignored", "known", "alias_definition", "named")
 
 
 def mint_definitions(names: DataFrame, first_id: int = 1_000_000) -> DataFrame:
