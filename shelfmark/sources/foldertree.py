@@ -77,7 +77,7 @@ class Walk:
 class FolderReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
-        self.lines = [*IGNORED, *(options.get("ignore") or "").split("\n")]
+        self.lines = [*(IGNORED if options.get("usual", "true") == "true" else []), *(options.get("ignore") or "").split("\n")]
         self.marker = options.get("marker", MARKER)
         self.wanted = int(options.get("partitions", "64"))
 
@@ -102,7 +102,7 @@ class FolderReader(DataSourceReader):
 
 
 class FolderTree(DataSource):
-    """Options: path (of the root), ignore (lines of an ignore file after the usual ones), marker, partitions."""
+    """Options: path (of the root), ignore (lines of an ignore file after the usual ones), usual (false leaves those out), marker ("" for none), partitions."""
 
     @classmethod
     def name(cls) -> str:

@@ -33,16 +33,15 @@ def listing(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
     """(path, size, modified) of the files below root; contents are not read.
 
     Spark's listing passes over names that begin with a dot, and so over markers.
-    With hidden the driver lists all files itself, one by one.
+    With hidden the folder source lists them too, in tasks; nothing is ignored there.
     """
     if hidden:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
-        rows = []
-        while found.hasNext():
-            one = found.next()
-            rows.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
-        return spark.createDataFrame(rows, "path string, size long, modified long").withColumn("modified", F.timestamp_millis("modified"))
+        from shelfmark.sources import foldertree
+
+        foldertree.register(spark)
+        found = spark.read.format(foldertree.FolderTree.name()).options(usual="false", marker="").load(root).where("not is_dir")
+        scheme = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:(//[^/]+)?", root)
+        return found.select(F.concat(F.lit(scheme[0] if scheme else "file:"), "path").alias("path"), "size", "modified")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
