@@ -55,7 +55,7 @@ def normalize(raw: DataFrame, definitions: Iterable[int] | None = None) -> DataF
     rules = F.broadcast(rules.withColumnsRenamed({"namespace": "rule_ns", "key": "rule_key"}))
     ruled = raw.join(rules, (_rule_key("namespace") == F.col("rule_ns")) & (_rule_key("key") == F.col("rule_key")))
     value = F.replace(F.col("value"), F.lit("\x00"), F.lit(""))
-    parts = ruled.withColumn("part", F.explode(F.when(F.col("kind") == "M", coerce.split_values(value)).otherwise(F.array(value))))
+    parts = ruled.withColumn("part", F.explode(F.when(F.col("kind") == "texts", coerce.split_values(value)).otherwise(F.array(value))))
     kept = parts.where(F.when(F.col("keep") == "meaningful_tag", coerce.meaningful_tag(F.col("part"))).when(F.col("keep") == "real_date", coerce.real_date(F.col("part"))).otherwise(True))
     typed = kept.withColumns({"value_text": _coerced(coerce.TEXT_COERCERS, used, "string"), "value_int": _coerced(coerce.INTEGER_COERCERS, used, "long"), "value_float": _coerced(coerce.FLOAT_COERCERS, used, "double"), "value_date": _coerced(coerce.DATE_COERCERS, used, "timestamp")})
     number = F.coalesce(F.col("value_int").cast("double"), "value_float")

@@ -5,7 +5,9 @@ Everything here is fixed values: names, keys and bounds that results depend on.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 # id|group|name|type|unit|read-only
 DEFINITIONS_TEXT = """
@@ -245,175 +247,6 @@ filename|||Ignore
 show|General|Collection|
 """
 
-# namespace|key|kind|definition|extra. Kinds: T text, M several texts
-# split at ";", I integer, F float, D date, U duration. "{6 ns}" and "vorbis/id3"
-# stand for one rule in each of TEMPLATES[...].
-RULES_TEXT = """
-dc|title|T|73|
-dc|publisher|T|59|
-dc|description|T|46|
-dc|language|T|54|
-dc|subject|M|72|IsMeaningfulTag
-dc|rights|T|42|
-dcterms|created|D|44|
-dcterms|modified|D|45|
-tika|content-type|T|41|MimeType
-exif|datetimeoriginal|D|86|ExifDate
-matroska|title|T|73|
-quicktime|title|T|73|
-matroska|genre|M|92|
-matroska|comment|T|38|
-quicktime|comment|T|38|
-matroska|description|T|46|
-matroska|synopsis|T|71|
-matroska|summary|T|70|
-matroska|show|T|37|
-matroska|season_number|I|104|
-matroska|episode_sort|I|91|
-{6 ns}|imdb_id|T|122|
-{6 ns}|imdbid|T|122|
-{6 ns}|imdb|T|122|
-{6 ns}|tmdb_id|T|123|
-{6 ns}|tmdbid|T|123|
-{6 ns}|themoviedb|T|123|
-{6 ns}|tvdb_id|T|124|
-{6 ns}|tvdbid|T|124|
-{6 ns}|thetvdb|T|124|
-file|imagewidth|I|82|
-file|imageheight|I|80|
-exif|exifimagewidth|I|82|
-exif|exifimageheight|I|80|
-png|imagewidth|I|82|
-png|imageheight|I|80|
-tiff|imagewidth|I|82|
-tiff|imagelength|I|80|
-tika|image width|I|82|IntegerLoose
-tika|image height|I|80|IntegerLoose
-quicktime|imagewidth|I|82|
-quicktime|imageheight|I|80|
-xmpdm|album|T|2|
-xmpdm|artist|T|7|
-xmpdm|tracknumber|I|20|
-xmpdm|genre|M|92|
-xmpdm|releasedate|D|45|
-tika|albumartist|T|3|
-tika|album artist|T|3|
-xmpdm|albumartist|T|3|
-tika|totaltracks|I|19|
-tika|tracktotal|I|19|
-tika|discnumber|I|87|
-tika|disc|I|87|
-tika|totaldiscs|I|108|
-tika|disctotal|I|108|
-tika|originalyear|I|77|
-tika|composer|T|12|
-xmpdm|composer|T|12|
-tika|lyrics|T|15|
-tika|label|T|93|
-tika|copyright|T|42|
-tika|script|T|64|
-tika|releasecountry|T|60|
-tika|releasestatus|T|62|
-tika|releasetype|T|63|
-tika|catalognumber|T|35|
-tika|barcode|T|34|
-tika|asin|T|33|
-tika|musicbrainz_albumid|T|96|
-tika|musicbrainz_artistid|T|97|
-tika|musicbrainz_albumartistid|T|95|
-tika|musicbrainz_trackid|T|100|
-tika|musicbrainz_releasegroupid|T|98|
-tika|musicbrainz_releasetrackid|T|99|
-tika|acoustid_id|T|1|
-tika|replaygain_track_gain|F|22|Number
-tika|replaygain_track_peak|F|23|Number
-tika|replaygain_album_gain|F|5|Number
-tika|replaygain_album_peak|F|6|Number
-tika|replaygain_reference_loudness|F|17|Number
-tika|samplerate|I|18|unit Frequency, min: 8000, max: 192000
-xmpdm|audiosamplerate|I|18|unit Frequency, min: 8000, max: 192000
-tika|channels|I|11|
-tika|bits|I|10|
-flac|samplerate|I|18|unit Frequency, min: 8000, max: 192000
-flac|channels|I|11|
-flac|bitspersample|I|10|
-tika|bitrate|I|84|unit DataRate
-composite|avgbitrate|I|84|unit DataRate
-quicktime|audiobitrate|I|84|unit DataRate
-xmpdm|duration|U|88|
-tika|duration|U|88|
-quicktime|duration|U|88|
-composite|duration|U|88|
-xmpdm|videoframerate|F|119|unit FrameRate, min: 1, max: 240
-quicktime|videoframerate|F|119|unit FrameRate, min: 1, max: 240
-xmpdm|audiocompressor|T|85|
-xmpdm|videocompressor|T|85|
-quicktime|compressorid|T|85|
-tika|artists|T|7|
-tika|artistsort|T|8|
-tika|albumartistsort|T|4|
-tika|grouping|T|37|
-tika|media|T|94|
-tika|originaldate|D|44|
-tika|musicbrainz_albumstatus|T|62|
-tika|musicbrainz_albumtype|T|63|
-vorbis/id3|title|T|73|
-vorbis/id3|artist|T|7|
-vorbis/id3|artists|T|7|
-vorbis/id3|album|T|2|
-vorbis/id3|albumartist|T|3|
-vorbis/id3|band|T|3|
-vorbis/id3|composer|T|12|
-vorbis/id3|artistsort|T|8|
-vorbis/id3|albumartistsort|T|4|
-vorbis/id3|track|I|20|
-vorbis/id3|tracknumber|I|20|
-vorbis/id3|tracktotal|I|19|
-vorbis/id3|totaltracks|I|19|
-vorbis/id3|discnumber|I|87|
-vorbis/id3|disctotal|I|108|
-vorbis/id3|totaldiscs|I|108|
-vorbis/id3|year|I|77|
-vorbis/id3|originalyear|I|77|
-vorbis/id3|date|D|45|
-vorbis/id3|originaldate|D|44|
-vorbis/id3|label|T|93|
-vorbis/id3|barcode|T|34|
-vorbis/id3|catalognumber|T|35|
-vorbis/id3|asin|T|33|
-vorbis/id3|media|T|94|
-vorbis/id3|script|T|64|
-vorbis/id3|releasestatus|T|62|
-vorbis/id3|releasetype|T|63|
-vorbis/id3|releasecountry|T|60|
-vorbis/id3|organization|T|57|
-vorbis/id3|grouping|T|37|
-vorbis/id3|musicbrainzalbumid|T|96|
-vorbis/id3|musicbrainzartistid|T|97|
-vorbis/id3|musicbrainzalbumartistid|T|95|
-vorbis/id3|musicbrainztrackid|T|100|
-vorbis/id3|musicbrainzreleasegroupid|T|98|
-vorbis/id3|musicbrainzreleasetrackid|T|99|
-vorbis/id3|acoustidid|T|1|
-vorbis/id3|replaygaintrackgain|F|22|Number
-vorbis/id3|replaygaintrackpeak|F|23|Number
-vorbis/id3|replaygainalbumgain|F|5|Number
-vorbis/id3|replaygainalbumpeak|F|6|Number
-vorbis|genre|M|92|
-dc|creator|T|76|
-tika|publisher|T|59|
-machine|platform|T|116|
-machine|machinetype|T|110|
-exe|productname|T|58|
-exe|companyname|T|59|
-exe|filedescription|T|46|
-exe|legalcopyright|T|42|
-exe|fileversion|T|109|
-exe|productversion|T|109|
-exe|machinetype|T|110|PeMachineType
-"""
-TEMPLATES = {"{6 ns}": ("tika", "matroska", "id3", "vorbis", "xmpdm", "quicktime"), "vorbis/id3": ("vorbis", "id3")}
-
 
 @dataclass(frozen=True)
 class Definition:
@@ -457,30 +290,207 @@ def aliases() -> list[Alias]:
     return [Alias(alias, by_name.get((group, name)), role == "Ignore") for alias, group, name, role in _lines(ALIASES_TEXT)]
 
 
-_PLAIN = {"T": "text", "M": "text", "I": "integer", "F": "float", "D": "iso_date", "U": "duration"}
-_NAMED = {"MimeType": "mime", "IntegerLoose": "integer_loose", "Number": "number", "PeMachineType": "pe_machine", "ExifDate": "exif_date"}
+def each(namespaces: tuple[str, ...], make: Callable[..., Rule], key: str, definition: int, **more: Any) -> list[Rule]:
+    """The same rule in several namespaces."""
+    return [make(namespace, key, definition, **more) for namespace in namespaces]
+
+
+def text(namespace: str, key: str, definition: int, coercer: str = "text", keep: str | None = None) -> Rule:
+    return Rule(namespace, key, "text", definition, coercer, keep, None, None)
+
+
+def texts(namespace: str, key: str, definition: int, coercer: str = "text", keep: str | None = None) -> Rule:
+    """Several texts, split at semicolons."""
+    return Rule(namespace, key, "texts", definition, coercer, keep, None, None)
+
+
+def integer(namespace: str, key: str, definition: int, coercer: str = "integer", low: float | None = None, high: float | None = None) -> Rule:
+    return Rule(namespace, key, "integer", definition, coercer, None, low, high)
+
+
+def float_(namespace: str, key: str, definition: int, coercer: str = "float", low: float | None = None, high: float | None = None) -> Rule:
+    return Rule(namespace, key, "float", definition, coercer, None, low, high)
+
+
+def date(namespace: str, key: str, definition: int, coercer: str = "iso_date") -> Rule:
+    """Placeholders of a missing date are not kept."""
+    return Rule(namespace, key, "date", definition, coercer, "real_date", None, None)
+
+
+def duration(namespace: str, key: str, definition: int, coercer: str = "duration", low: float | None = None, high: float | None = None) -> Rule:
+    return Rule(namespace, key, "duration", definition, coercer, None, low, high)
 
 
-def _rule(namespace: str, key: str, kind: str, definition: str, extra: str) -> Rule:
-    coercer, keep, low, high = _PLAIN[kind], None, None, None
-    for part in filter(None, (x.strip() for x in extra.split(","))):
-        if part in _NAMED:
-            coercer = _NAMED[part]
-        elif part.startswith("unit "):
-            coercer = f"{'integer' if kind == 'I' else 'float'}_in_{part[5:]}"
-        elif part.startswith("min: "):
-            low = float(part[5:])
-        elif part.startswith("max: "):
-            high = float(part[5:])
-        elif part == "IsMeaningfulTag":
-            keep = "meaningful_tag"
-    return Rule(namespace, key, kind, int(definition), coercer, keep or ("real_date" if kind == "D" else None), low, high)
+# The namespaces in which some rules stand alike.
+CATALOGUE_NAMESPACES = ("tika", "matroska", "id3", "vorbis", "xmpdm", "quicktime")
+TAG_NAMESPACES = ("vorbis", "id3")
+# The rules, by namespace and key; of several for one namespace and key the last stands.
+RULES = [
+    text("dc", "title", 73),
+    text("dc", "publisher", 59),
+    text("dc", "description", 46),
+    text("dc", "language", 54),
+    texts("dc", "subject", 72, keep="meaningful_tag"),
+    text("dc", "rights", 42),
+    date("dcterms", "created", 44),
+    date("dcterms", "modified", 45),
+    text("tika", "content-type", 41, coercer="mime"),
+    date("exif", "datetimeoriginal", 86, coercer="exif_date"),
+    text("matroska", "title", 73),
+    text("quicktime", "title", 73),
+    texts("matroska", "genre", 92),
+    text("matroska", "comment", 38),
+    text("quicktime", "comment", 38),
+    text("matroska", "description", 46),
+    text("matroska", "synopsis", 71),
+    text("matroska", "summary", 70),
+    text("matroska", "show", 37),
+    integer("matroska", "season_number", 104),
+    integer("matroska", "episode_sort", 91),
+    *each(CATALOGUE_NAMESPACES, text, "imdb_id", 122),
+    *each(CATALOGUE_NAMESPACES, text, "imdbid", 122),
+    *each(CATALOGUE_NAMESPACES, text, "imdb", 122),
+    *each(CATALOGUE_NAMESPACES, text, "tmdb_id", 123),
+    *each(CATALOGUE_NAMESPACES, text, "tmdbid", 123),
+    *each(CATALOGUE_NAMESPACES, text, "themoviedb", 123),
+    *each(CATALOGUE_NAMESPACES, text, "tvdb_id", 124),
+    *each(CATALOGUE_NAMESPACES, text, "tvdbid", 124),
+    *each(CATALOGUE_NAMESPACES, text, "thetvdb", 124),
+    integer("file", "imagewidth", 82),
+    integer("file", "imageheight", 80),
+    integer("exif", "exifimagewidth", 82),
+    integer("exif", "exifimageheight", 80),
+    integer("png", "imagewidth", 82),
+    integer("png", "imageheight", 80),
+    integer("tiff", "imagewidth", 82),
+    integer("tiff", "imagelength", 80),
+    integer("tika", "image width", 82, coercer="integer_loose"),
+    integer("tika", "image height", 80, coercer="integer_loose"),
+    integer("quicktime", "imagewidth", 82),
+    integer("quicktime", "imageheight", 80),
+    text("xmpdm", "album", 2),
+    text("xmpdm", "artist", 7),
+    integer("xmpdm", "tracknumber", 20),
+    texts("xmpdm", "genre", 92),
+    date("xmpdm", "releasedate", 45),
+    text("tika", "albumartist", 3),
+    text("tika", "album artist", 3),
+    text("xmpdm", "albumartist", 3),
+    integer("tika", "totaltracks", 19),
+    integer("tika", "tracktotal", 19),
+    integer("tika", "discnumber", 87),
+    integer("tika", "disc", 87),
+    integer("tika", "totaldiscs", 108),
+    integer("tika", "disctotal", 108),
+    integer("tika", "originalyear", 77),
+    text("tika", "composer", 12),
+    text("xmpdm", "composer", 12),
+    text("tika", "lyrics", 15),
+    text("tika", "label", 93),
+    text("tika", "copyright", 42),
+    text("tika", "script", 64),
+    text("tika", "releasecountry", 60),
+    text("tika", "releasestatus", 62),
+    text("tika", "releasetype", 63),
+    text("tika", "catalognumber", 35),
+    text("tika", "barcode", 34),
+    text("tika", "asin", 33),
+    text("tika", "musicbrainz_albumid", 96),
+    text("tika", "musicbrainz_artistid", 97),
+    text("tika", "musicbrainz_albumartistid", 95),
+    text("tika", "musicbrainz_trackid", 100),
+    text("tika", "musicbrainz_releasegroupid", 98),
+    text("tika", "musicbrainz_releasetrackid", 99),
+    text("tika", "acoustid_id", 1),
+    float_("tika", "replaygain_track_gain", 22, coercer="number"),
+    float_("tika", "replaygain_track_peak", 23, coercer="number"),
+    float_("tika", "replaygain_album_gain", 5, coercer="number"),
+    float_("tika", "replaygain_album_peak", 6, coercer="number"),
+    float_("tika", "replaygain_reference_loudness", 17, coercer="number"),
+    integer("tika", "samplerate", 18, coercer="integer_in_Frequency", low=8000.0, high=192000.0),
+    integer("xmpdm", "audiosamplerate", 18, coercer="integer_in_Frequency", low=8000.0, high=192000.0),
+    integer("tika", "channels", 11),
+    integer("tika", "bits", 10),
+    integer("flac", "samplerate", 18, coercer="integer_in_Frequency", low=8000.0, high=192000.0),
+    integer("flac", "channels", 11),
+    integer("flac", "bitspersample", 10),
+    integer("tika", "bitrate", 84, coercer="integer_in_DataRate"),
+    integer("composite", "avgbitrate", 84, coercer="integer_in_DataRate"),
+    integer("quicktime", "audiobitrate", 84, coercer="integer_in_DataRate"),
+    duration("xmpdm", "duration", 88),
+    duration("tika", "duration", 88),
+    duration("quicktime", "duration", 88),
+    duration("composite", "duration", 88),
+    float_("xmpdm", "videoframerate", 119, coercer="float_in_FrameRate", low=1.0, high=240.0),
+    float_("quicktime", "videoframerate", 119, coercer="float_in_FrameRate", low=1.0, high=240.0),
+    text("xmpdm", "audiocompressor", 85),
+    text("xmpdm", "videocompressor", 85),
+    text("quicktime", "compressorid", 85),
+    text("tika", "artists", 7),
+    text("tika", "artistsort", 8),
+    text("tika", "albumartistsort", 4),
+    text("tika", "grouping", 37),
+    text("tika", "media", 94),
+    date("tika", "originaldate", 44),
+    text("tika", "musicbrainz_albumstatus", 62),
+    text("tika", "musicbrainz_albumtype", 63),
+    *each(TAG_NAMESPACES, text, "title", 73),
+    *each(TAG_NAMESPACES, text, "artist", 7),
+    *each(TAG_NAMESPACES, text, "artists", 7),
+    *each(TAG_NAMESPACES, text, "album", 2),
+    *each(TAG_NAMESPACES, text, "albumartist", 3),
+    *each(TAG_NAMESPACES, text, "band", 3),
+    *each(TAG_NAMESPACES, text, "composer", 12),
+    *each(TAG_NAMESPACES, text, "artistsort", 8),
+    *each(TAG_NAMESPACES, text, "albumartistsort", 4),
+    *each(TAG_NAMESPACES, integer, "track", 20),
+    *each(TAG_NAMESPACES, integer, "tracknumber", 20),
+    *each(TAG_NAMESPACES, integer, "tracktotal", 19),
+    *each(TAG_NAMESPACES, integer, "totaltracks", 19),
+    *each(TAG_NAMESPACES, integer, "discnumber", 87),
+    *each(TAG_NAMESPACES, integer, "disctotal", 108),
+    *each(TAG_NAMESPACES, integer, "totaldiscs", 108),
+    *each(TAG_NAMESPACES, integer, "year", 77),
+    *each(TAG_NAMESPACES, integer, "originalyear", 77),
+    *each(TAG_NAMESPACES, date, "date", 45),
+    *each(TAG_NAMESPACES, date, "originaldate", 44),
+    *each(TAG_NAMESPACES, text, "label", 93),
+    *each(TAG_NAMESPACES, text, "barcode", 34),
+    *each(TAG_NAMESPACES, text, "catalognumber", 35),
+    *each(TAG_NAMESPACES, text, "asin", 33),
+    *each(TAG_NAMESPACES, text, "media", 94),
+    *each(TAG_NAMESPACES, text, "script", 64),
+    *each(TAG_NAMESPACES, text, "releasestatus", 62),
+    *each(TAG_NAMESPACES, text, "releasetype", 63),
+    *each(TAG_NAMESPACES, text, "releasecountry", 60),
+    *each(TAG_NAMESPACES, text, "organization", 57),
+    *each(TAG_NAMESPACES, text, "grouping", 37),
+    *each(TAG_NAMESPACES, text, "musicbrainzalbumid", 96),
+    *each(TAG_NAMESPACES, text, "musicbrainzartistid", 97),
+    *each(TAG_NAMESPACES, text, "musicbrainzalbumartistid", 95),
+    *each(TAG_NAMESPACES, text, "musicbrainztrackid", 100),
+    *each(TAG_NAMESPACES, text, "musicbrainzreleasegroupid", 98),
+    *each(TAG_NAMESPACES, text, "musicbrainzreleasetrackid", 99),
+    *each(TAG_NAMESPACES, text, "acoustidid", 1),
+    *each(TAG_NAMESPACES, float_, "replaygaintrackgain", 22, coercer="number"),
+    *each(TAG_NAMESPACES, float_, "replaygaintrackpeak", 23, coercer="number"),
+    *each(TAG_NAMESPACES, float_, "replaygainalbumgain", 5, coercer="number"),
+    *each(TAG_NAMESPACES, float_, "replaygainalbumpeak", 6, coercer="number"),
+    texts("vorbis", "genre", 92),
+    text("dc", "creator", 76),
+    text("tika", "publisher", 59),
+    text("machine", "platform", 116),
+    text("machine", "machinetype", 110),
+    text("exe", "productname", 58),
+    text("exe", "companyname", 59),
+    text("exe", "filedescription", 46),
+    text("exe", "legalcopyright", 42),
+    text("exe", "fileversion", 109),
+    text("exe", "productversion", 109),
+    text("exe", "machinetype", 110, coercer="pe_machine"),
+]
 
 
 def rules() -> list[Rule]:
     """All rules; of several for one namespace and key the last stands."""
-    found: dict[tuple[str, str], Rule] = {}
-    for namespace, key, kind, definition, extra in _lines(RULES_TEXT):
-        for one in TEMPLATES.get(namespace, (namespace,)):
-            found[(one, key)] = _rule(one, key, kind, definition, extra)
-    return list(found.values())
+    return list({(r.namespace, r.key): r for r in RULES}.values())
