@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,11 +129,31 @@ def factory_float(c: Column) -> Column:
     return F.coalesce(quantity_number(c), floating(c))
 
 
+def date_shape(form: str) -> str:
+    """A pattern that all texts of a date format fit, and few others: a format that does not fit is dear to try.
+
+    Years have five digits at most; of more, the time could not be told and would end the query.
+    """
+    parts = {"y": r"[+-]?\d{1,5}", "S": r"\d+", "X": r"\S+", "[": "(?:", "]": ")?"}
+    out, i = "", 0
+    while i < len(form):
+        c = form[i]
+        n = len(form[i:]) - len(form[i:].lstrip(c)) if c.isalpha() else 1
+        if c == "'":
+            end = form.index("'", i + 1)
+            out, i = out + re.escape(form[i + 1 : end]), end + 1
+            continue
+        out += parts.get(c) or (r"[\p{L}.]+" if c == "M" and n > 2 else r"\d+" if c.isalpha() else re.escape(c))
+        i += n
+    return f"(?iu)^{out}$"
+
+
 def _date(c: Column, formats: tuple[str, ...]) -> Column:
     # No more decimals than can be told; the rest is cut.
     v = F.regexp_replace(strip(c), r"(\.\d{9})\d+", "$1")
     plain = F.regexp_replace(F.regexp_replace(v, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"\s+(?i:GMT|UTC)$", " Z")
-    return F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in formats], *[F.try_to_timestamp(plain, F.lit(f)) for f in LENIENT_FORMATS])
+    read = lambda text, form: F.when(text.rlike(date_shape(form)), F.try_to_timestamp(text, F.lit(form)))
+    return F.coalesce(*[read(v, f) for f in formats], *[read(plain, f) for f in LENIENT_FORMATS])
 
 
 def iso_date(c: Column) -> Column:
