@@ -153,7 +153,9 @@ def _date(c: Column, formats: tuple[str, ...]) -> Column:
     v = F.regexp_replace(strip(c), r"(\.\d{9})\d+", "$1")
     plain = F.regexp_replace(F.regexp_replace(v, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"\s+(?i:GMT|UTC)$", " Z")
     read = lambda text, form: F.when(text.rlike(date_shape(form)), F.try_to_timestamp(text, F.lit(form)))
-    return F.coalesce(*[read(v, f) for f in formats], *[read(plain, f) for f in LENIENT_FORMATS])
+    # A function of an array of one binds both texts, which are then told once for all formats, and keeps the generated code small.
+    both = F.array(F.struct(v.alias("v"), plain.alias("plain")))
+    return F.get(F.transform(both, lambda x: F.coalesce(*[read(x["v"], f) for f in formats], *[read(x["plain"], f) for f in LENIENT_FORMATS])), 0)
 
 
 def iso_date(c: Column) -> Column:

@@ -407,7 +407,7 @@ def association_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("promote_sidecars", f"""WITH {o.TREE}, {o.ASSOCIATED}, side AS (SELECT * FROM associated WHERE role = 'Sidecar' AND item_id IS NOT NULL),
 g AS (SELECT item_id AS file_id, CASE kind WHEN 'Lrc' THEN 15 WHEN 'Nfo' THEN 38 END AS definition, arg_min('text of ' || path, path) AS value_text FROM side WHERE kind <> 'Opf' GROUP BY ALL),
 x AS (SELECT file_id, d AS definition, v AS value_text FROM tree, LATERAL (VALUES (76, 'writer ' || file_id % 5), (59, CASE WHEN file_id % 2 = 0 THEN 'press' END), (41, 'not given')) AS y(d, v) WHERE path LIKE '%.opf'),
-known AS (SELECT file_id, 76 AS definition, 'writer 1' AS value_text FROM tree WHERE file_id % 3 = 0),
+known AS (SELECT file_id, 76 AS definition, 'writer 1' AS value_text FROM tree WHERE file_id % 3 = 0 AND path NOT LIKE '%.opf'),
 dates AS (SELECT item_id AS file_id, 45 AS definition, arg_min(TIMESTAMP '2001-01-01' + to_seconds(file_id), path) AS value_date FROM side WHERE kind = 'Opf' GROUP BY item_id)
 SELECT *, NULL::TIMESTAMP AS value_date FROM g WHERE NOT (definition = 38 AND file_id % 2 = 0)
 UNION ALL SELECT DISTINCT s.item_id, x.definition, x.value_text, NULL::TIMESTAMP FROM side s JOIN x USING (file_id) WHERE s.kind = 'Opf' AND x.value_text IS NOT NULL AND x.definition <> 41 AND (s.item_id, x.definition, x.value_text) NOT IN (SELECT (file_id, definition, value_text) FROM known)
@@ -420,7 +420,7 @@ def promote_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     opf = files.where(F.col("path").endswith(".opf"))
     released = F.timestamp_seconds(F.lit(978307200) + F.col("file_id"))
     given = [(76, F.concat(F.lit("writer "), (F.col("file_id") % 5).cast("string")), None), (59, F.when(F.col("file_id") % 2 == 0, "press"), None), (41, "not given", None), (45, None, released)]
-    known = row(files.where("file_id % 2 = 0"), 38).unionByName(row(files.where("file_id % 3 = 0"), 76, "writer 1"))
+    known = row(files.where("file_id % 2 = 0"), 38).unionByName(row(files.where("file_id % 3 = 0 and path not like '%.opf'"), 76, "writer 1"))
     for definition, text, date in given:
         known = known.unionByName(row(opf, definition, text, date))
     return assoc.promotions(_associated(spark, sf_dir), contents, known).withColumn("value_date", F.col("value_date").cast("timestamp_ntz"))
