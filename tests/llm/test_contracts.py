@@ -194,7 +194,7 @@ def test_long_texts_are_read_whole(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_with_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
     found = QUERIES[name](spark, DIR)
     columns = sorted(found.columns)
