@@ -6,6 +6,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -121,18 +122,22 @@ def folder_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.join(below, "path", "left").join(n_rows, "path", "left").fillna(0, ["n_folders", "n_rows"])
 
 
-def _written_archives(docs: DataFrame, where: str) -> DataFrame:
-    """(archive): each task writes its documents (doc_id, text) into one archive below a shared folder, one entry after the other."""
+def _written_archives(docs: DataFrame, where: str, most: int = archives.MAX_ENTRIES) -> DataFrame:
+    """(archive): each task writes its documents (doc_id, text) into archives below a shared folder, one entry after the other.
+
+    An archive takes as many entries as a listing allows, then the next is begun.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = opened(where)
         store.create_dir(folder)
-        name = f"{uuid.uuid4().hex}.zip"
-        with store.open_output_stream(f"{folder}/{name}") as out, zipfile.ZipFile(io.BufferedWriter(out), "w", zipfile.ZIP_DEFLATED) as z:
-            for batch in batches:
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+        rows = ((doc_id, text) for batch in batches for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)))
+        for first in rows:
+            name = f"{uuid.uuid4().hex}.zip"
+            with store.open_output_stream(f"{folder}/{name}") as out, zipfile.ZipFile(io.BufferedWriter(out), "w", zipfile.ZIP_DEFLATED) as z:
+                for doc_id, text in chain([first], islice(rows, most - 1)):
                     z.writestr(f"texts/Doc {doc_id}.TXT", text or "")
-        yield pa.RecordBatch.from_pydict({"archive": [f"{where}/{name}"]})
+            yield pa.RecordBatch.from_pydict({"archive": [f"{where}/{name}"]})
 
     return docs.select("doc_id", "text").mapInArrow(run, "archive string")
 
