@@ -17,6 +17,12 @@ def test_type_of_files_that_share_an_id(spark):
     assert {(r.folder, r.n_files) for r in found.collect()} == {("Text document", 1), ("HTML document", 1)}
 
 
+def test_mime_filter_of_files_that_share_an_id(spark, monkeypatch):
+    rows = [(1, "text/plain"), (1, "audio/flac"), (2, "text/html")]
+    monkeypatch.setattr(adapters, "files", lambda *_: spark.createDataFrame(rows, "file_id long, mime string"))
+    assert {(r.mime, r.n) for r in catalog.filter_mime_prefix(spark, "").collect()} == {("text/plain", 1), ("text/html", 1)}
+
+
 def test_a_full_archive_is_followed_by_another(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(7)], "doc_id long, text string").coalesce(1)
     made = living._written_archives(docs, f"file://{tmp_path}/zips", 3).collect()
