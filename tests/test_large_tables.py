@@ -28,3 +28,16 @@ def test_a_full_archive_is_followed_by_another(spark, tmp_path):
     made = living._written_archives(docs, f"file://{tmp_path}/zips", 3).collect()
     listed = archives.archive_entries(spark.createDataFrame(made, "archive string"), 3)
     assert len(made) == 3 and {r.internal for r in listed.collect()} == {f"texts/Doc {i}.TXT" for i in range(7)}
+
+
+def test_rows_are_dealt_out_before_each_becomes_many(spark):
+    """One file is one task: what follows the explosion may not stay in it."""
+    for raw in (adapters.music_raw, adapters.date_raw, adapters.text_raw):
+        plan = raw(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert all("RepartitionByExpression" in part for part in plan.split("Generate explode")[1:])
+
+
+def test_text_definitions_leave_no_text_out(spark):
+    raw = adapters.raw(spark, "/root/testdata/sf0.001")
+    some, every = (normalize.first_wins(normalize.normalize(raw, d)).where("value_text is not null") for d in (catalog.TEXT_DEFINITIONS, None))
+    assert some.count() == every.count() and some.exceptAll(every.select(*some.columns)).isEmpty()
