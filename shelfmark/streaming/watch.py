@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 from typing import Any
 
 import pandas as pd
@@ -24,6 +25,8 @@ from shelfmark.operators.snapshots import Snapshot
 QUIET = 750_000
 WAITS, CANCELS = ("created", "changed"), ("created", "changed", "deleted")
 ACTIONS = "path string, target string, at timestamp, action string, seq long"
+#: Groups of paths by hash; a task decides the held events of one at a time, so take more where over some hundred million are held at once.
+SHARDS = 1024
 
 
 def actions(events: DataFrame, quiet: int = QUIET) -> DataFrame:
@@ -37,49 +40,61 @@ def actions(events: DataFrame, quiet: int = QUIET) -> DataFrame:
 
 
 class Debounce(StatefulProcessor):
-    """Holds a path's events until the watermark tells that all that could cancel them have come."""
+    """Holds the events of a shard of paths until the watermark tells that all that could cancel them have come.
+
+    What comes together is held together, as lists. A shard has one timer, for the first of its
+    events: it decides all that are due by then and is set again for those that are not.
+    """
+
+    HELD = ["path", "target", "t", "event", "seq"]
+    TOLD = "path string, target string, t long, action string, seq long"
 
     def __init__(self, quiet: int):
         self.quiet = quiet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "target string, t long, event string, seq long")
+        self.held = handle.getListState("held", "path array<string>, target array<string>, t array<long>, event array<string>, seq array<long>")
 
-    def _due(self, t: int) -> int:
+    def _due(self, t: Any) -> Any:
         """The millisecond at which an event of microsecond t is decided."""
         return -(-(t + self.quiet) // 1000)
 
+    def _lists(self, events: pd.DataFrame) -> tuple[list, ...]:
+        target = events["target"].astype(object)
+        return tuple(c.tolist() for c in (events["path"], target.where(target.notna(), None), events["t"], events["event"], events["seq"]))
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first = []
         for frame in rows:
-            new = [(None if pd.isna(a) else a, int(t), e, int(s)) for a, t, e, s in zip(frame["target"], frame["t"], frame["event"], frame["seq"])]
-            self.held.appendList(new)
-            for due in {self._due(t) for _, t, _, _ in new}:
-                self.handle.registerTimer(due)
+            self.held.appendValue(self._lists(frame))
+            first.append(int(frame["t"].min()))
+        due = self._due(min(first))
+        set_ = list(self.handle.listTimers())
+        if all(due < at for at in set_):
+            for at in set_:
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(due)
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        events = sorted(self.held.get(), key=lambda e: (e[1], e[3])) if self.held.exists() else []
-        done, open_ = [], []
-        following: int | None = None
-        for target, t, event, seq in reversed(events):
-            if self._due(t) > now:
-                open_.append((target, t, event, seq))
-            elif event not in WAITS:
-                done.append((key[0], target, t, event, seq))
-            elif following is None or following - t >= self.quiet:
-                done.append((key[0], None, t + self.quiet, "index", seq))
-            following = t if event in CANCELS else following
-        if len(open_) < len(events):
-            if open_:
-                self.held.put(open_[::-1])
-            else:
-                self.held.clear()
-        if done:
-            out = pd.DataFrame(done, columns=["path", "target", "at", "action", "seq"])
-            out["at"] = pd.to_datetime(out["at"], unit="us")
-            yield out
+        if not self.held.exists():
+            return
+        columns = zip(*self.held.get())
+        events = pd.DataFrame({name: list(chain.from_iterable(lists)) for name, lists in zip(self.HELD, columns)}).sort_values(["path", "t", "seq"])
+        t, waits = events["t"], events["event"].isin(WAITS)
+        open_ = self._due(t) > timerValues.getCurrentWatermarkInMs()
+        cancels = t.astype("Int64").where(events["event"].isin(CANCELS))
+        following = cancels.groupby(events["path"]).bfill().groupby(events["path"]).shift(-1)
+        done = events[~open_ & (~waits | (following - t >= self.quiet).fillna(True))]
+        if open_.any():
+            self.held.put([self._lists(events[open_])])
+            self.handle.registerTimer(self._due(int(t[open_].min())))
+        else:
+            self.held.clear()
+        if len(done):
+            index = done["event"].isin(WAITS)
+            yield pd.DataFrame({"path": done["path"], "target": done["target"].mask(index, None), "t": done["t"] + self.quiet * index, "action": done["event"].mask(index, "index"), "seq": done["seq"]})
 
 
 @contextmanager
@@ -96,16 +111,18 @@ def settings(spark: SparkSession, **own: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def action_stream(events: DataFrame, watermark: str, quiet: int = QUIET) -> DataFrame:
+def action_stream(events: DataFrame, watermark: str, quiet: int = QUIET, shards: int = SHARDS) -> DataFrame:
     """actions() of a stream, each told once the watermark has passed the end of its wait.
 
     Events that come twice (with the same path and seq) within the watermark count once; those that
     come later than it are passed over. What is not decided when the stream stops is told when it goes on.
     The stream keeps its state in RocksDB, which must be set when it starts, see settings() and run().
+    The number of shards stays as it was when the stream first started.
     """
     own = events.where("path is not null and ts is not null and event is not null").withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["path", "seq"])
-    own = own.withColumn("t", F.unix_micros("ts")).select("path", "target", "ts", "t", "event", "seq")
-    return own.groupBy("path").transformWithStateInPandas(Debounce(quiet), ACTIONS, "Append", "EventTime")
+    own = own.select(F.pmod(F.xxhash64("path"), F.lit(shards)).cast("int").alias("shard"), "path", "target", "ts", F.unix_micros("ts").alias("t"), "event", "seq")
+    told = own.groupBy("shard").transformWithStateInPandas(Debounce(quiet), Debounce.TOLD, "Append", "EventTime")
+    return told.select("path", "target", F.timestamp_micros("t").alias("at"), "action", "seq")
 
 
 #: State of a path: whether it exists, and when and by which event it last changed.
@@ -136,7 +153,7 @@ def apply_once(state: Snapshot, batch: DataFrame, batch_id: int) -> list[int]:
     return state.apply(told_paths(batch), applied, batch_id)
 
 
-def run(events: DataFrame, state: Snapshot, checkpoint: str, watermark: str, quiet: int = QUIET, trigger: dict[str, Any] | None = None) -> list[dict]:
+def run(events: DataFrame, state: Snapshot, checkpoint: str, watermark: str, quiet: int = QUIET, trigger: dict[str, Any] | None = None, shards: int = SHARDS) -> list[dict]:
     """Applies a stream of events to a snapshot of STATE until it ends; gives its progress.
 
     By default the stream takes what there is and stops, so that a scheduler can start it in turns that do
@@ -145,7 +162,7 @@ def run(events: DataFrame, state: Snapshot, checkpoint: str, watermark: str, qui
     """
     spark = events.sparkSession
     with settings(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
-        out = action_stream(events, watermark, quiet).writeStream.foreachBatch(lambda batch, n: _noted(apply_once(state, batch.persist(), n), batch))
+        out = action_stream(events, watermark, quiet, shards).writeStream.foreachBatch(lambda batch, n: _noted(apply_once(state, batch.persist(), n), batch))
         query = out.option("checkpointLocation", checkpoint).outputMode("append").queryName(f"watch-{uuid.uuid4().hex[:8]}").trigger(**(trigger or {"availableNow": True})).start()
         query.awaitTermination()
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "watermark": p["eventTime"].get("watermark"), "state": sum(s["numRowsTotal"] for s in p["stateOperators"])} for p in query.recentProgress]

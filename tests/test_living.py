@@ -5,6 +5,7 @@ import random
 import time
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,70 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert state.versions() == versions and sorted(tuple(r) for r in state.read().collect()) == want
 
 
+def test_a_path_waits_by_one_timer(spark, tmp_path):
+    """Timers grow with the paths, not with their events."""
+    ms = lambda n: T0 + dt.timedelta(milliseconds=n)
+    rows = [(f"p{i % 3}", None, ms(100 * i), "changed", i) for i in range(150)] + [("last", None, ms(20_650), "deleted", 150)]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    out = watch.action_stream(spark.readStream.schema(EVENTS).parquet(f"file://{tmp_path}/in"), "5 seconds").writeStream.format("memory").queryName("one_timer")
+    with watch.settings(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        stream = out.option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        stream.awaitTermination()
+    timers = sum(s["customMetrics"].get("numRegisteredTimers", 0) for p in stream.recentProgress for s in p["stateOperators"])
+    assert 0 < timers <= 4
+    # The watermark ends exactly with the wait of p2, which is told.
+    assert sorted((r.path, r.action, r.seq) for r in spark.table("one_timer").collect()) == [("p0", "index", 147), ("p1", "index", 148), ("p2", "index", 149)]
+
+
+class Held(list):
+    """State of one shard and its timers, in place of Spark's."""
+
+    def __init__(self):
+        self.timers, self.most = set(), 0
+
+    getListState = lambda self, *_: self
+    exists = lambda self: bool(self)
+    get = lambda self: iter(list(self))
+    appendValue = list.append
+
+    def put(self, values):
+        self[:] = values
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.most = max(self.most, len(self.timers))
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Mark(int):
+    def getCurrentWatermarkInMs(self):
+        return int(self)
+
+
+@pytest.mark.parametrize("size", [1, 17, 240])
+def test_paths_of_a_shard_do_not_mix(size):
+    """Many paths in one shard, in batches that come out of order, tell what each event tells over all others."""
+    micro = lambda t: round((t - T0).total_seconds() * 1e6)
+    rows = sorted(events(), key=lambda r: micro(r[2]) + random.Random(r[4]).randint(0, 4_000_000))
+    held, step, got, mark = Held(), watch.Debounce(watch.QUIET), [], 0
+    step.init(held)
+    for at in range(0, len(rows) + size, size):
+        part = rows[at : at + size]
+        if part:
+            frame = pd.DataFrame([(p, target, micro(t), e, s) for p, target, t, e, s in part], columns=["path", "target", "t", "event", "seq"])
+            assert list(step.handleInputRows((0,), iter([f for f in (frame[:9], frame[9:]) if len(f)]), Mark(mark))) == []
+        mark = max(mark, max((micro(r[2]) // 1000 - 5000 for r in part), default=10**9))
+        for due in sorted(d for d in held.timers if d <= mark):
+            got += [tuple(None if pd.isna(v) else v for v in r) for f in step.handleExpiredTimer((0,), Mark(mark), None) for r in f.itertuples(index=False)]
+            held.deleteTimer(due)
+    assert sorted(got, key=str) == actions_of(rows) and not held and held.most <= 2
+
+
 @pytest.mark.parametrize("order", [[0, 1, 2], [2, 0, 1]])
 def test_state_does_not_go_back(spark, tmp_path, order):
     rows = [("a", None, T0, "index", 1), ("a", "b", T0 + dt.timedelta(seconds=1), "renamed", 2), ("a", None, T0 + dt.timedelta(seconds=2), "index", 3)]
